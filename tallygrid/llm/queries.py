@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrid.llm import decontaminate, exact_dedup, mixing, sharding, simhash
+from tallygrid.llm import decontaminate, exact_dedup, language, mixing, sharding, simhash
 from tallygrid.llm._common import table
 
 
@@ -29,6 +29,21 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def held_out(doc_id: Column) -> Column:
+    """Documents that the language model never learns from."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs.where(~held_out(F.col("doc_id"))))
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select(
+        "row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), F.col("found.lang").alias("lang_pred"),
+        "found.score", "found.ambiguous",
+    )
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     size = mixing.space_words(F.col("text"))
@@ -54,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_simhash": op2_simhash,
         "op3_decontaminate": op3_decontaminate,
+        "op4_language_id": op4_language_id,
         "op5_mix_sources": op5_mix_sources,
         "op6_shard": op6_shard,
         "op7_exact_dedup": op7_exact_dedup,
