@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrid.llm import decontaminate, exact_dedup, language, mixing, sharding, simhash
+from tallygrid.llm import decontaminate, exact_dedup, language, mixing, sharding, simhash, substring
 from tallygrid.llm._common import table
 
 
@@ -65,6 +65,11 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.removal(table(spark, sf_dir, "documents").select("doc_id", "text"), window=20)
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_simhash": op2_simhash,
@@ -73,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_mix_sources": op5_mix_sources,
         "op6_shard": op6_shard,
         "op7_exact_dedup": op7_exact_dedup,
+        "op10_substring_dedup": op10_substring_dedup,
     }
 
 
