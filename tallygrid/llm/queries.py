@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrid.llm import decontaminate, exact_dedup, language, mixing, sharding, simhash, substring
+from tallygrid.llm import decontaminate, exact_dedup, language, mixing, sharding, simhash, substring, tokens
 from tallygrid.llm._common import table
 
 
@@ -65,6 +66,14 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op8_token_count(spark: SparkSession, sf_dir: str, path: str | None = None, limit: int = 1024) -> DataFrame:
+    path = path or public_tokenizers.path("byte_bpe_50k.json")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+                          tokens.token_count(F.col("text"), path).alias("n_tokens"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > limit)
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.removal(table(spark, sf_dir, "documents").select("doc_id", "text"), window=20)
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
@@ -78,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_mix_sources": op5_mix_sources,
         "op6_shard": op6_shard,
         "op7_exact_dedup": op7_exact_dedup,
+        "op8_token_count": op8_token_count,
         "op10_substring_dedup": op10_substring_dedup,
     }
 
