@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrid.llm import decontaminate, exact_dedup, language, mixing, sharding, simhash, substring, tokens
+from tallygrid.llm import decontaminate, exact_dedup, language, mixing, secrets, sharding, simhash, substring, tokens
 from tallygrid.llm._common import table
 
 
@@ -74,6 +74,22 @@ def op8_token_count(spark: SparkSession, sf_dir: str, path: str | None = None, l
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("found", lambda s: s["kind"] != secrets.RANDOM)
+
+    def listed(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select(
+        F.col("id").alias("doc_id"), number("assign").alias("n_assign"), number("access").alias("n_access"), number("hex").alias("n_hex"),
+        F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"),
+    )
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.removal(table(spark, sf_dir, "documents").select("doc_id", "text"), window=20)
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
@@ -88,6 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_shard": op6_shard,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_token_count": op8_token_count,
+        "op9_secrets": op9_secrets,
         "op10_substring_dedup": op10_substring_dedup,
     }
 
