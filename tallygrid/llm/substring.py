@@ -120,14 +120,48 @@ def survey(text: bytes | None, window: int, gram: int) -> tuple[int, str, np.nda
     return len(words), hashlib.sha256(b" ".join(words)).hexdigest(), found.view(np.int64), found[counts > 1].view(np.int64)
 
 
-def shared_blocks(text: bytes, shared: np.ndarray, window: int, gram: int) -> Iterator[tuple[int, Words, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per piece: offset, words, first and last windows of the blocks whose anchor is shared, and
-    the anchors' positions."""
+def shared_blocks(text: bytes, shared: np.ndarray, window: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Per piece the blocks whose anchor is shared: two hashes of their words and shape, the hash
+    of the anchor, the first window and the number of windows."""
     for at, piece, own in pieces(text.split(), window):
         places, hashes = anchors_of(piece, own, window, gram)
         first, last = blocks_of(places, window)
         keep = np.isin(hashes[first].view(np.int64), shared)
-        yield at, piece, first[keep], last[keep], places[first[keep]]
+        first, last = first[keep], last[keep]
+        shape = ((places[first] - first) * (window + 1) + last - first).astype(np.uint64)
+        key = mixed(piece.runs(first, last + window - 1) + shape)
+        key2 = mixed(piece.runs(first, first + window - 1) ^ (shape << np.uint64(40)))
+        yield key.view(np.int64), key2.view(np.int64).astype(np.int32), hashes[first].view(np.int64), at + first, last - first + 1
+
+
+def windows_at(text: bytes, starts: np.ndarray, window: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Per piece the hashes of the windows at ``starts`` (sorted), and those starts."""
+    for at, piece, own in pieces(text.split(), window):
+        mine = starts[(starts >= at) & (starts < at + own)] - at
+        yield piece.runs(mine, mine + window - 1).view(np.int64), at + mine
+
+
+def gathered(rows: Iterator[tuple[object, int, tuple[np.ndarray, ...]]], columns: list[str], most: int = 200_000) -> Iterator[pd.DataFrame]:
+    """Rows (id, t, arrays) as DataFrames of about ``most`` rows with id and t repeated."""
+    ids, ts, sizes, parts = [], [], [], []
+
+    def frame() -> pd.DataFrame:
+        data = {"id": np.repeat(np.array(ids, dtype=object), sizes), "t": np.repeat(np.array(ts, np.int64), sizes)}
+        frame = pd.DataFrame(data | {c: np.concatenate([p[i] for p in parts]) for i, c in enumerate(columns)})
+        for held in (ids, ts, sizes, parts):
+            held.clear()
+        return frame
+
+    for id_, t, arrays in rows:
+        if len(arrays[0]):
+            ids.append(id_)
+            ts.append(t)
+            sizes.append(len(arrays[0]))
+            parts.append(arrays)
+            if sum(sizes) >= most:
+                yield frame()
+    if ids:
+        yield frame()
 
 
 def _bytes(df: DataFrame) -> DataFrame:
@@ -144,7 +178,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
         return pd.DataFrame([survey(t, window, gram) for t in texts], columns=["n_words", "sha", "anchors", "twice"])
 
     facts = stored(rows.select(
-        "id", "t", F.coalesce(F.octet_length("text"), F.lit(-1)).alias("size"), F.crc32("text").alias("c"),
+        "id", "t", F.coalesce(F.octet_length("text"), F.lit(-1)).alias("size"), F.coalesce(F.crc32("text"), F.lit(-1)).cast("long").alias("c"),
         survey_of(F.col("text").cast("binary")).alias("s"),
     ).select("id", "t", "size", "c", "s.*"))
     # Of equal texts the least id stands for all.
@@ -161,44 +195,36 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     texts = stored(both.select("r.id", "r.t", "r.text", "l.shared").dropDuplicates(["id", "t"]))
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    block_type = f"id {id_type}, t long, k long, k2 int, at int, n int"
 
     def list_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for id_, t, text, near in batch.itertuples(index=False):
-                for at, piece, first, last, places in shared_blocks(text, near, window, gram):
-                    if len(first):
-                        key = piece.runs(first, last + window - 1)
-                        shape = ((places - first) * (window + 1) + last - first).astype(np.uint64)
-                        key = mixed(key + shape)
-                        key2 = mixed(piece.runs(first, first + window - 1) ^ (shape << np.uint64(40)))
-                        yield pd.DataFrame({"id": id_, "t": t, "k": key.view(np.int64), "k2": key2.view(np.int64).astype(np.int32), "at": at + first, "n": last - first + 1})
+        each = ((id_, t, arrays) for batch in batches for id_, t, text, near in batch.itertuples(index=False) for arrays in shared_blocks(text, near, window, gram))
+        return gathered(each, ["k", "k2", "a", "at", "n"])
 
     columns = _bytes(texts).select("id", "t", "text", "shared")
-    blocks = stored(columns.mapInPandas(list_blocks, block_type))
+    blocks = stored(columns.mapInPandas(list_blocks, f"id {id_type}, t long, k long, k2 int, a long, at int, n int"))
     place = F.struct("id", "t", "at")
-    kinds = blocks.groupBy("k", "k2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"))
+    kinds = blocks.groupBy("k", "k2").agg(F.min(place).alias("first"))
     placed = blocks.join(kinds, ["k", "k2"]).withColumn("earliest", place.eqNullSafe(F.col("first")))
-    placed = stored(placed.select("id", "t", "at", "n", "earliest"))
+    placed = stored(placed.select("id", "t", "a", "at", "n", "earliest"))
     copied = placed.where("NOT earliest").select("id", "t", F.col("at").alias("lo"), (F.col("at") + F.col("n") - 1).alias("hi"))
 
-    # Factor boundaries: windows of blocks that copy none whole.
-    firsts = placed.where("earliest").groupBy("id", "t").agg(F.collect_list(F.struct("at", "n")).alias("blocks"))
+    # Factor boundaries: windows of the earliest blocks. Equal windows have equal anchors, so
+    # where an anchor has blocks of one kind only there is nothing to find.
+    earliest = placed.where("earliest")
+    varied = earliest.groupBy("a").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("a")
+    firsts = earliest.join(varied, "a", "left_semi").groupBy("id", "t").agg(F.collect_list(F.struct("at", "n")).alias("blocks"))
     same = (F.col("x.t") == F.col("f.t")) & F.col("x.id").eqNullSafe(F.col("f.id"))
     checked = _bytes(texts).alias("x").join(firsts.alias("f"), same).select(
         "x.id", "x.t", "x.text", F.col("blocks.at").alias("ats"), F.col("blocks.n").alias("ns"))
 
     def list_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for id_, t, text, ats, ns in batch.itertuples(index=False):
-                starts = np.sort(np.concatenate([np.arange(a, a + n) for a, n in zip(ats, ns, strict=True)]))
-                for at, piece, count in pieces(text.split(), window):
-                    own = starts[(starts >= at) & (starts < at + count)] - at
-                    if len(own):
-                        yield pd.DataFrame({"id": id_, "t": t, "w": piece.runs(own, own + window - 1).view(np.int64), "at": at + own})
-
-    windows = checked.mapInPandas(list_windows, f"id {id_type}, t long, w long, at int")
-    windows = stored(windows)
+        each = (
+            (id_, t, arrays) for batch in batches for id_, t, text, ats, ns in batch.itertuples(index=False)
+            for arrays in windows_at(text, np.sort(np.repeat(ats, ns) + np.arange(ns.sum()) - np.repeat(np.cumsum(ns) - ns, ns)), window)
+        )
+        return gathered(each, ["w", "at"])
+
+    windows = stored(checked.mapInPandas(list_windows, f"id {id_type}, t long, w long, at int"))
     kinds = windows.groupBy("w").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     late = windows.join(kinds, "w").where(~place.eqNullSafe(F.col("first"))).select("id", "t", F.col("at").alias("lo"), F.col("at").alias("hi"))
     spans = copied.unionByName(late).groupBy("id", "t").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
