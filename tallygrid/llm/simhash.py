@@ -83,11 +83,11 @@ def exceeds(planes: Iterator[np.ndarray], radius: int) -> np.ndarray:
     counters: list[np.ndarray] = []
     over = None
     for step, (one, two) in enumerate(zip(planes, planes, strict=True)):
-        if not counters:
+        if over is None:
             counters = [np.zeros_like(one) for _ in range(radius.bit_length())]
             over = np.zeros_like(one)
         if counters:
-            half = counters[0] ^ one if radius else one
+            half = counters[0] ^ one
             carry = (counters[0] & one) | (half & two)
             counters[0] = half ^ two
             for i in range(1, len(counters)):
