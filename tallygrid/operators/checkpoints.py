@@ -36,7 +36,7 @@ def column_order_issues(columns: Sequence[str], expected: Sequence[str]) -> list
     """What is wrong with the order of a checkpoint's columns."""
     issues = [f"missing column: {c}" for c in expected if c not in columns]
     issues += [f"duplicate column: {c}" for c in dict.fromkeys(columns) if list(columns).count(c) > 1]
-    common = [c for c in columns if c in expected]
+    common = [c for c in dict.fromkeys(columns) if c in expected]
     if common != [c for c in expected if c in columns]:
         issues.append("columns out of order")
     return issues

@@ -84,7 +84,7 @@ def read_checkpoints(spark: SparkSession, pattern: str, format: str = "parquet")
 
 def read_text(spark: SparkSession, path: str) -> str:
     """A prompt file."""
-    return spark.read.option("wholetext", True).text(path).first()[0]
+    return spark.read.text(path, wholetext=True).first()[0]
 
 
 def read_ids(spark: SparkSession, path: str, name: str = "subject") -> DataFrame:
