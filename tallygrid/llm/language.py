@@ -99,13 +99,14 @@ def train(x: np.ndarray, labels: Sequence[str], steps: int = 300, rate: float =
     code = codewords(len(languages))
     target = code[y]
     share = 1.0 / np.bincount(y, minlength=len(languages))[y] / len(languages) if len(y) else np.zeros(0)
-    w, b = np.zeros((x.shape[1], code.shape[1])), np.zeros(code.shape[1])
+    x, target, share = x.astype(np.float32, copy=False), target.astype(np.float32), share.astype(np.float32)
+    w, b = np.zeros((x.shape[1], code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
     pace_w, pace_b = np.zeros_like(w), np.zeros_like(b)
     for _ in range(steps if len(languages) > 1 else 0):
         pull = target / (1 + np.exp(np.clip(target * (x @ w + b), -30, 30))) * share[:, None]
-        pace_w = 0.9 * pace_w + x.T @ pull - decay * w
-        pace_b = 0.9 * pace_b + pull.sum(axis=0)
-        w, b = w + rate * pace_w, b + rate * 0.01 * pace_b
+        pace_w = np.float32(0.9) * pace_w + x.T @ pull - np.float32(decay) * w
+        pace_b = np.float32(0.9) * pace_b + pull.sum(axis=0)
+        w, b = w + np.float32(rate) * pace_w, b + np.float32(rate * 0.01) * pace_b
     right = (target * (x @ w + b) > 0).astype(float)
     trust = np.array([right[y == i].mean(axis=0) for i in range(len(languages))]) if languages else np.zeros((0, 1))
     trust = trust / np.maximum(trust.sum(axis=1, keepdims=True), 1e-9) * trust.shape[1] if languages else trust
@@ -127,13 +128,14 @@ def fit(docs: DataFrame, label_col: str = "lang", text_col: str = "text", sample
     rate = F.create_map(*[F.lit(v) for k, n in per_label.items() for v in (k, min(1.0, each / n))])
     draw = F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
-    @pandas_udf("array<float>")
+    @pandas_udf("binary")
     def vector(texts: pd.Series) -> pd.Series:
-        return texts.map(features)
+        return texts.map(lambda t: features(t).tobytes())
 
     chosen = known.where(draw < rate[F.col("label")]).where(F.col("text").rlike(r"\p{L}"))
     sample = chosen.select("label", vector("text").alias("x"), F.xxhash64("text").alias("h")).toPandas().sort_values(["label", "h"])
-    return train(np.stack(sample["x"].to_numpy()) if len(sample) else np.zeros((0, FEATURES)), sample["label"].tolist())
+    x = np.frombuffer(b"".join(sample["x"]), np.float32).reshape(-1, FEATURES)
+    return train(x, sample["label"].tolist())
 
 
 def predict(text: Column, model: LanguageModel, clear: float = 0.35) -> Column:
