@@ -7,7 +7,8 @@ per path again and fused by multiplication. Paths whose fused ratio reaches a sh
 spread over the page are content paths. The content root is the deepest element that holds
 nearly all text of content paths, or the article or main element around it; the result is every
 block below it (so that short paragraphs and headings come along) that is not page furniture:
-menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments.
+menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments. What
+is furniture by a class or id only, but holds most of a page's text, is taken for a wrapper.
 
 Character references are decoded, white space within a block becomes one space, blocks are
 trimmed and joined by a line feed in page order.
@@ -67,33 +68,49 @@ THRESHOLD = 0.5
 HOLDS = 0.9
 
 
-def furniture(name: str, attributes: str, in_article: bool) -> bool:
+#: How furniture is known: surely (tag, role, state, reader comments) or by the words of a name only.
+SURE, NAMED = 1, 2
+READER_WORDS = frozenset("comment comments disqus respond replies hidden".split())
+#: An element that is furniture by its name only, but holds so many times the text of the rest, is a wrapper.
+WRAPPER = 3.0
+#: Wrappers within wrappers that are looked for.
+WRAPPERS_DEEP = 4
+
+
+def furniture(name: str, attributes: str, in_article: bool) -> int:
     """Whether an element is page furniture, by its tag, role, state, class and id."""
     if name in ROOTS:
-        return False
+        return 0
     if name in FURNITURE and not (name == "header" and in_article):
-        return True
+        return SURE
     if "=" not in attributes and "hidden" not in attributes:
-        return False
+        return 0
+    found = 0
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
         if key == "role" and value.lower() in FURNITURE_ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
+            return SURE
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return SURE
         if key in ("class", "id"):
             for one in value.split():
                 words = [w.lower() for w in NAME_PART.findall(one)]
-                if words and words[0] not in NOT_OWN and (words[0] in FURNITURE_WORDS or words[-1] in FURNITURE_WORDS):
-                    return True
-    return False
+                if words and words[0] not in NOT_OWN:
+                    if words[0] in READER_WORDS or words[-1] in READER_WORDS:
+                        return SURE
+                    if words[0] in FURNITURE_WORDS or words[-1] in FURNITURE_WORDS:
+                        found = NAMED
+    return found
 
 
 class Page:
     """Text nodes of a page with their elements, paths and blocks."""
 
-    def __init__(self, source: str):
-        self.name, self.parent, self.path, self.out, self.article = ["#root"], [0], [0], [False], [False]
+    def __init__(self, source: str, wrappers: frozenset[int] = frozenset()):
+        self.name, self.parent, self.path, self.out, self.article = ["#root"], [0], [0], [0], [False]
+        self.wrappers = wrappers
+        #: Outermost element that is furniture by name, for each element; text that such hold, and the text kept.
+        self.named, self.named_text, self.kept_text = [0], {}, 0
         self.paths: dict[tuple[int, str], int] = {}
         self.stack = [0]
         self.open: dict[str, int] = {}
@@ -136,6 +153,10 @@ class Page:
         element = self.stack[-1]
         if not self.out[element]:
             self.nodes.append((element, html.unescape(raw) if "&" in raw else raw, self.block))
+            self.kept_text += len(raw) - raw.count(" ")
+        elif self.out[element] == NAMED:
+            outer = self.named[element]
+            self.named_text[outer] = self.named_text.get(outer, 0) + len(raw) - raw.count(" ")
 
     def pop_to(self, names: set[str] | frozenset[str], scope: frozenset[str]) -> None:
         """Close the nearest open element of ``names``, unless ``scope`` is in between."""
@@ -175,7 +196,13 @@ class Page:
         self.parent.append(above)
         self.path.append(self.paths.setdefault(key, len(self.paths) + 1))
         # Of a header inside an article only the headings belong to it.
-        self.out.append(self.out[above] or furniture(name, attributes, in_article) or (in_header and name not in HEADINGS and name not in INLINE and name not in ("div", "hgroup")))
+        own = furniture(name, attributes, in_article)
+        if own == NAMED and len(self.out) in self.wrappers:
+            own = 0
+        if in_header and name not in HEADINGS and name not in INLINE and name not in ("div", "hgroup"):
+            own = SURE
+        self.named.append(self.named[above] or (len(self.out) if own == NAMED else 0))
+        self.out.append(SURE if SURE in (own, self.out[above]) else own or self.out[above])
         self.article.append(in_article or name in ("article", "main"))
         self.stack.append(len(self.name) - 1)
         self.open[name] = self.open.get(name, 0) + 1
@@ -193,7 +220,13 @@ def main_text(source: str | None) -> str:
     """The main text of one page."""
     if not source:
         return ""
-    page = Page(source)
+    page, wrappers = Page(source), frozenset()
+    for _ in range(WRAPPERS_DEEP):
+        large = {e for e, held in page.named_text.items() if held > WRAPPER * page.kept_text}
+        if not large:
+            break
+        wrappers |= large
+        page = Page(source, wrappers)
     nodes = [(e, t, b) for e, t, b in page.nodes if not t.isspace()]
     if not nodes:
         return ""
