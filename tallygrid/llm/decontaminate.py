@@ -12,8 +12,8 @@ one window). A document word is hit if it lies inside any occurrence of a window
   offset and the length; what passes is verified word for word.
 
 Documents are never shuffled: the join with the prefix tokens and the verification run inside
-the scan, in one generated stage. The benchmark side is broadcast only where its windows number
-at most ``broadcast_windows``; beyond, the same join shuffles 8-byte tokens with document ids
+the scan, in one generated stage. The benchmark side is broadcast only where its windows and
+item ids take at most ``broadcast_bytes``; beyond, the same join shuffles 8-byte tokens with document ids
 and positions, and verification meets the words again by document.
 
 Edge cases: a null or empty text has no words; a null or empty item has no windows; items with
@@ -24,6 +24,8 @@ other than id and text are never read by the join.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -57,11 +59,12 @@ def shingle_key(words: Column, at: Column, size: Column, shingle: int) -> Column
 
 def find_windows(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-    item_text_col: str = "text", window: int = 10, shingle: int = 3, broadcast_windows: int = 500_000,
+    item_text_col: str = "text", window: int = 10, shingle: int = 3, broadcast_bytes: int = 32 << 20,
 ) -> DataFrame:
     """Occurrences of benchmark windows: ``id``, ``h`` (hash of the text), ``start``, ``len``, ``items``."""
     windows = cut(windows_of(benchmark, item_col, item_text_col, window).withColumn("len", F.size("win")))
-    small = windows.count() <= broadcast_windows
+    held = F.octet_length(F.array_join("win", " ")) + F.octet_length(F.array_join("items", ",")) + 64
+    small = (windows.agg(F.sum(held.cast("long"))).first()[0] or 0) <= broadcast_bytes
     hint = F.broadcast if small else (lambda df: df)
 
     # A window's shingles; windows shorter than a shingle are one shingle of their length.
@@ -99,11 +102,14 @@ def find_windows(
     return both.where(F.slice("w", F.col("start") + 1, F.col("len")) == F.col("win")).select("a.id", "a.h", "start", "len", "items")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kwargs) -> DataFrame:
-    """One row per row of ``docs``: ``row`` (struct of its columns), ``n_words``, ``n_hit``
-    and ``items`` (sorted ids, as strings, of the items with occurring windows)."""
+def contamination(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", columns: Sequence[str] | None = None, **kwargs,
+) -> DataFrame:
+    """One row per row of ``docs``: ``row`` (struct of ``columns``, by default of all),
+    ``n_words``, ``n_hit`` and ``items`` (sorted ids, as strings, of the items with occurring
+    windows)."""
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.struct(*[F.col(f"`{c}`") for c in columns or docs.columns]).alias("row"),
         F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"),
         F.size(words_of(F.col(text_col))).cast("long").alias("n_words"),
     )

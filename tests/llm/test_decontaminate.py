@@ -30,10 +30,10 @@ def items(texts):
     return [(1, " ".join(whole[:30])), (20, " ".join(whole[10:40])), (3, "one"), (4, "two THREE"), (5, None), (6, "  "), (7, " ".join(texts[9].split()[5:17])), (8, "loop " * 12), (9, "loop " * 12), (10, "nowhere at all to be seen in any of these texts ever"), (11, "é")]
 
 
-@pytest.mark.parametrize("bound", [500_000, 0])
+@pytest.mark.parametrize("bound", [32 << 20, 0])
 def test_windows(spark, docs, items, bound):
     benchmark = spark.createDataFrame(items, "item_id int, text string")
-    found = decontaminate.contamination(docs, benchmark, window=10, broadcast_windows=bound).collect()
+    found = decontaminate.contamination(docs, benchmark, window=10, broadcast_bytes=bound).collect()
     got = sorted((str(r["row"]["doc_id"]), r["row"]["text"] or "", r["n_words"], r["n_hit"], r["items"]) for r in found)
     want = sorted((str(r["doc_id"]), r["text"] or "", *slow(r["text"], items, 10)) for r in docs.collect())
     assert got == want
