@@ -100,3 +100,32 @@ def test_keys(spark):
     df = spark.createDataFrame([(turned(media.MAJOR, 7),), (turned(media.MINOR, 9),), ([1.0] * 12,)], "c array<double>")
     got = [tuple(r[0])[:2] for r in df.select(media.key_and_mode(F.col("c"))).collect()]
     assert got == [("G", "major"), ("A", "minor"), ("", "")]
+
+
+def tiff(entries, order="<"):
+    """A TIFF block with one folder; values are bytes, (kind, count, bytes)."""
+    head = (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(order + "I", 8)
+    rows, tail, at = b"", b"", 8 + 2 + 12 * len(entries) + 4
+    for tag, kind, n, raw in entries:
+        if len(raw) <= 4:
+            rows += struct.pack(order + "HHI", tag, kind, n) + raw.ljust(4, b"\0")
+        else:
+            rows += struct.pack(order + "HHII", tag, kind, n, at + len(tail))
+            tail += raw
+    return head + struct.pack(order + "H", len(entries)) + rows + b"\0" * 4 + tail
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_exif(spark, order):
+    from tallygrid.functions.exif import exif_fields
+
+    p = lambda *v: struct.pack(order + "I" * len(v), *v)
+    block = tiff([(0x010F, 2, 6, b"Maker\0"), (0x829A, 5, 1, p(1, 200)), (0x8827, 3, 1, struct.pack(order + "H", 400))], order)
+    gps = struct.pack(order + "H", 2) + struct.pack(order + "HHI", 1, 2, 2) + b"S\0\0\0" + struct.pack(order + "HHII", 2, 5, 3, 300) + b"\0" * 4
+    block2 = tiff([(0x8825, 4, 1, p(60))], order).ljust(60, b"\0") + gps
+    block2 = block2.ljust(300, b"\0") + p(10, 1, 30, 1, 0, 1)
+    jpeg = b"\xff\xd8\xff\xe1" + struct.pack(">H", len(block) + 8) + b"Exif\0\0" + block + b"\xff\xd9"
+    files = [(bytearray(x),) for x in (jpeg, block2, b"\xff\xd8\xff", b"II*\0\xff", b"text")] + [(None,)]
+    rows = [r[0] for r in spark.createDataFrame(files, "content binary").coalesce(1).select(exif_fields("content")).collect()]
+    assert (rows[0]["exif_camera_make"], rows[0]["exif_exposure_time"], rows[0]["exif_iso"]) == ("Maker", 0.005, 400)
+    assert rows[1]["exif_gps_lat"] == -10.5 and all(v is None for r in rows[2:] for v in r)
