@@ -22,6 +22,8 @@ struct and cannot clash.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,8 +61,9 @@ def shard(
     buckets: int = 16,
     whole_share: float = 0.5,
     tokens: Column | None = None,
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
-    """``row`` (struct of all columns), ``size`` (bytes of the text plus ``row_bytes``),
+    """``row`` (struct of ``columns``, by default of all), ``size`` (bytes of the text plus ``row_bytes``),
     ``shard`` (0 to ``shards`` - 1) and ``slot`` (gapless from 0 within the shard)."""
     spark = docs.sparkSession
     text = F.col(text_col)
@@ -101,7 +104,7 @@ def shard(
         "cell long, bucket long, shard int, ahead long",
     ))
     rows = celled(docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.struct(*[F.col(f"`{c}`") for c in columns or docs.columns]).alias("row"),
         group.alias("g"), spread.alias("h"), size.alias("size"), F.col(id_col).alias("id"),
     ))
     within = Window.partitionBy("cell", "bucket").orderBy("id", "g")
