@@ -395,6 +395,8 @@ def oracle_sql() -> dict[str, str]:
         "ckpt_scores": f"WITH {CKPT_SQL} SELECT 'quality_score' AS field, round(avg(quality_score::DOUBLE), 4) AS mean, round(median(quality_score::DOUBLE), 4) AS median, count(*) AS n FROM c",
         "ckpt_retry_summary": f"""WITH {CKPT_SQL} SELECT subject, count(*) AS total, count(*) FILTER (NOT model_ok AND coalesce(retry_count, 0) < 3) AS retryable,
             count(*) FILTER (NOT model_ok AND coalesce(retry_count, 0) >= 3) AS exhausted, round(count(*) FILTER (NOT model_ok) * 100.0 / count(*), 2)::DOUBLE AS error_pct FROM c GROUP BY ROLLUP (subject)""",
+        "ckpt_subjects": r"""SELECT page_id, CASE WHEN s <> '' THEN s ELSE 'default' END AS subject, coalesce(lower(regexp_extract(p, '\.[^./\\]+$')) IN ('.jpg', '.com'), false) AS media
+            FROM (SELECT page_id, p, trim(regexp_replace(coalesce(string_split(rtrim(p, '/'), '/')[-2], ''), '[<>:"/\\|?*\x00-\x1f]', '_', 'g'), '. ') AS s FROM (SELECT page_id, split_part(url, '?', 1) AS p FROM pages))""",
         "json_parse_fallback": "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events",
         "json_greedy": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
         "jsonl_build": rf"WITH {CKPT_SQL} SELECT subject || '::' || replace(file_path, '\', '/') AS key, 'u:' || file_path AS uri, 'Label: ' || CASE WHEN label = '' THEN 'Unknown' ELSE label END AS block FROM c WHERE NOT model_ok",
