@@ -28,6 +28,8 @@ points, the end exclusive; other columns are never read.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -52,20 +54,28 @@ ENCODINGS = (
 BUCKETS, PER_DECADE = 300, 10
 
 
-def spans(docs: DataFrame, kind: str, pattern: str, group: int, least: int) -> DataFrame:
-    """``id``, ``h``, ``kind``, ``start``, ``end``, ``match``: leftmost matches that do not
-    overlap, without those whose ``group`` is shorter than ``least``."""
-    text, p = F.col("text"), F.lit(pattern)
-    found = docs.select("id", "h", F.when(text.rlike(pattern), text).alias("text")).where("text IS NOT NULL").select(
-        "id", "h", F.regexp_extract_all(text, p, F.lit(0)).alias("match"),
-        F.transform(F.split(text, pattern, -1), F.length).alias("gap"),
-        F.transform(F.regexp_extract_all(text, p, F.lit(group)), F.length).alias("size"),
-    ).dropDuplicates(["id", "h"])
-    each = found.select("id", "h", F.posexplode(F.arrays_zip("match", "gap", "size")).alias("i", "m")).where("m.match IS NOT NULL")
-    so_far = Window.partitionBy("id", "h").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+def spans(rows: DataFrame, kinds: Sequence[tuple[str, str, int, int]]) -> DataFrame:
+    """``id``, ``h``, ``kind``, ``rank``, ``start``, ``end``, ``match``: leftmost matches of each
+    kind's pattern that do not overlap, without those whose group is too short.
+
+    One scan serves all kinds; texts without a match end there.
+    """
+    text = F.col("text")
+    marked = rows.select("id", "h", "text", *[text.rlike(pattern).alias(f"has{i}") for i, (_, pattern, _, _) in enumerate(kinds)])
+    found = [
+        F.when(F.col(f"has{i}"), F.struct(
+            F.lit(i).alias("rank"), F.lit(least).alias("least"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"),
+            F.transform(F.split(text, pattern, -1), F.length).alias("gap"), F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.length).alias("size")))
+        for i, (_, pattern, group, least) in enumerate(kinds)
+    ]
+    some = marked.where(" OR ".join(f"has{i}" for i in range(len(kinds)))).select("id", "h", F.explode(F.array_compact(F.array(*found))).alias("k"))
+    once = some.select("id", "h", "k.*").dropDuplicates(["id", "h", "rank"])
+    each = once.select("id", "h", "rank", "least", F.posexplode(F.arrays_zip("match", "gap", "size")).alias("i", "m")).where("m.match IS NOT NULL")
+    so_far = Window.partitionBy("id", "h", "rank").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     each = each.withColumn("end", F.sum(F.col("m.gap") + F.length("m.match")).over(so_far))
-    return each.where(F.col("m.size") >= least).select(
-        "id", "h", F.lit(kind).alias("kind"), (F.col("end") - F.length("m.match")).cast("int").alias("start"),
+    names = F.array(*[F.lit(kind) for kind, _, _, _ in kinds])
+    return each.where(F.col("m.size") >= F.col("least")).select(
+        "id", "h", F.get(names, F.col("rank")).alias("kind"), "rank", (F.col("end") - F.length("m.match")).cast("int").alias("start"),
         F.col("end").cast("int").alias("end"), F.col("m.match").alias("match"),
     )
 
@@ -79,40 +89,42 @@ def normal_tail(z: Column) -> Column:
     return F.when(z >= 0, tail).otherwise(1 - tail)
 
 
-def randomness(token: Column) -> Column:
-    """Struct ``encoding``, ``n``, ``bits`` and ``p`` of a token; null for one of no encoding."""
-    core = F.regexp_replace(token, "=+$", "")
-    n = F.length(core).cast("double")
-    fits: list[tuple[Column, Column]] = []
-    for name, test, alphabet in ENCODINGS:
-        k = float(len(alphabet))
-        counts = F.transform(F.array(*[F.lit(c) for c in alphabet]), lambda c: n - F.length(F.replace(core, c, F.lit(""))))
-        square = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * c)
-        chi = square * (k / n) - n
-        # Wilson-Hilferty, on the statistic brought to the usual variance.
-        scaled = (chi - (k - 1)) / F.sqrt((n - 1) / n) + (k - 1)
-        p_chi = normal_tail((F.cbrt(F.greatest(scaled, F.lit(0.0)) / (k - 1)) - (1 - 2 / (9 * (k - 1)))) / (2 / (9 * (k - 1))) ** 0.5)
-        index = F.transform(F.split(core, ""), lambda c: F.instr(F.lit(alphabet), c).cast("double") - 1)
-        high = F.transform(index, lambda x: F.when(x >= k / 2, 1.0).otherwise(0.0))
-        size = F.size(index)
-        turns = F.aggregate(F.zip_with(F.slice(high, F.lit(1), size - 1), F.slice(high, F.lit(2), size - 1), lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, c: a + c)
-        ups = F.aggregate(high, F.lit(0.0), lambda a, c: a + c)
-        both = 2 * ups * (n - ups)
-        spread = both * (both - n) / (n * n * (n - 1))
-        p_runs = F.when(spread > 0, 2 * normal_tail(F.abs((turns - both / n) / F.sqrt(spread)))).otherwise(F.lit(0.0))
-        mean = F.aggregate(index, F.lit(0.0), lambda a, c: a + c) / n
-        apart = F.transform(index, lambda x: x - mean)
-        energy = F.aggregate(apart, F.lit(0.0), lambda a, c: a + c * c)
-        lagged = F.aggregate(F.zip_with(F.slice(apart, F.lit(1), size - 1), F.slice(apart, F.lit(2), size - 1), lambda a, b: a * b), F.lit(0.0), lambda a, c: a + c)
-        p_serial = F.when(energy > 0, 2 * normal_tail(F.abs((lagged / energy + 1 / n) * F.sqrt(n)))).otherwise(F.lit(0.0))
-        bits = n * F.log2(F.lit(k))
-        p = F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial))
-        tested = F.struct(F.lit(name).alias("encoding"), n.cast("int").alias("n"), bits.alias("bits"), p.alias("p"))
-        fits.append((core.rlike(test), tested))
-    result = F.lit(None)
-    for fit, tested in reversed(fits):
-        result = F.when(fit, tested).otherwise(result)
-    return result
+def total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, c: a + c)
+
+
+def neighbours(values: str, join) -> Column:
+    """``join`` of each value and the next."""
+    n = F.size(values)
+    return F.zip_with(F.slice(values, F.lit(1), n - 1), F.slice(values, F.lit(2), n - 1), join)
+
+
+def randomness(tokens: DataFrame, token: str) -> DataFrame:
+    """``tokens`` of a known encoding with ``r``: ``encoding``, ``n``, ``bits`` and ``p``."""
+    kind = F.lit(None)
+    for name, test, alphabet in reversed(ENCODINGS):
+        kind = F.when(F.col("_core").rlike(test), F.struct(F.lit(name).alias("name"), F.lit(alphabet).alias("alphabet"), F.lit(float(len(alphabet))).alias("k"))).otherwise(kind)
+    names = tokens.columns
+    # One step a projection, so that each value is computed once.
+    t = tokens.withColumn("_core", F.regexp_replace(token, "=+$", "")).withColumn("_e", kind).where("_e IS NOT NULL")
+    t = t.select(*names, "_core", "_e.*", F.length("_core").cast("double").alias("n"))
+    t = t.withColumn("x", F.transform(F.split("_core", ""), lambda c: F.instr(F.col("alphabet"), c).cast("double") - 1))
+    t = t.withColumn("counts", F.transform(F.split("alphabet", ""), lambda c: F.col("n") - F.length(F.replace(F.col("_core"), c, F.lit("")))))
+    t = t.withColumn("high", F.transform("x", lambda v: F.when(v >= F.col("k") / 2, 1.0).otherwise(0.0))).withColumn("mean", total(F.col("x")) / F.col("n"))
+    t = t.withColumn("apart", F.transform("x", lambda v: v - F.col("mean"))).withColumn("ups", total(F.col("high")))
+    n, k = F.col("n"), F.col("k")
+    t = t.select(
+        *names, "name", "n", "k", total(F.transform("counts", lambda c: c * c)).alias("square"), (2 * F.col("ups") * (n - F.col("ups"))).alias("both"),
+        total(neighbours("high", lambda a, b: F.abs(a - b))).alias("turns"), total(F.transform("apart", lambda v: v * v)).alias("energy"), total(neighbours("apart", lambda a, b: a * b)).alias("lagged"),
+    )
+    # Chi-squared, brought to the usual variance, by Wilson and Hilferty.
+    scaled = (F.col("square") * k / n - n - (k - 1)) / F.sqrt((n - 1) / n) + (k - 1)
+    chi = (F.cbrt(F.greatest(scaled, F.lit(0.0)) / (k - 1)) - (1 - 2 / (9 * (k - 1)))) / F.sqrt(2 / (9 * (k - 1)))
+    spread = F.col("both") * (F.col("both") - n) / (n * n * (n - 1))
+    t = t.withColumn("z_chi", chi).withColumn("z_runs", F.when(spread > 0, F.abs(F.try_divide(F.col("turns") - F.col("both") / n, F.sqrt(F.greatest(spread, F.lit(0.0)))))))
+    t = t.withColumn("z_serial", F.when(F.col("energy") > 0, F.abs((F.try_divide(F.col("lagged"), F.col("energy")) + 1 / n) * F.sqrt(n))))
+    least = F.least(normal_tail(F.col("z_chi")), *[F.coalesce(2 * normal_tail(F.col(z)), F.lit(0.0)) for z in ("z_runs", "z_serial")])
+    return t.select(*names, F.struct(F.col("name").alias("encoding"), n.cast("int").alias("n"), (n * F.log2(k)).alias("bits"), F.least(F.lit(1.0), 3 * least).alias("p")).alias("r"))
 
 
 def too_regular(tested: DataFrame, q: float) -> DataFrame:
@@ -130,20 +142,17 @@ def scan(
     """One row per row of ``docs``: ``id`` and ``found``, its spans in order (structs ``start``,
     ``rank``, ``kind``, ``end``, ``encoding``, ``p``)."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    base = None
-    for rank, (kind, pattern, group, least) in enumerate(KINDS):
-        one = spans(rows, kind, pattern, group, least).select("id", "h", "kind", F.lit(rank).alias("rank"), "start", "end", F.lit(None).cast("string").alias("encoding"), F.lit(None).cast("double").alias("p"))
-        base = one if base is None else base.unionByName(one)
-
     pattern = rf"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_-]{{{shortest},}}={{0,2}}"
-    tested = spans(rows, RANDOM, pattern, 0, shortest).withColumn("r", randomness(F.col("match"))).where("r IS NOT NULL")
+    every = stored(spans(rows, (*KINDS, (RANDOM, pattern, 0, shortest))))
+    place = ["id", "h", "kind", "rank", "start", "end"]
+    base = every.where(F.col("kind") != RANDOM).select(*place, F.lit(None).cast("string").alias("encoding"), F.lit(None).cast("double").alias("p"))
+
+    tested = randomness(every.where(F.col("kind") == RANDOM), "match")
     bucket = F.least(F.lit(BUCKETS), F.floor(-F.log10(F.greatest("r.p", F.lit(1e-300))) * PER_DECADE)).cast("int")
-    tested = stored(tested.select("id", "h", "start", "end", "r", F.floor(F.log2("r.n")).cast("int").alias("c"), F.greatest(bucket, F.lit(0)).alias("b")))
+    tested = stored(tested.select(*place, "r", F.floor(F.log2("r.n")).cast("int").alias("c"), F.greatest(bucket, F.lit(0)).alias("b")))
     # At most one row per power of two of a length: small enough to broadcast.
     left = tested.join(F.broadcast(too_regular(tested, q)), "c", "left").where(F.col("cutoff").isNull() | (F.col("b") < F.col("cutoff")))
-    random = left.where(F.col("r.bits") >= least_bits).select(
-        "id", "h", F.lit(RANDOM).alias("kind"), F.lit(len(KINDS)).alias("rank"), "start", "end", "r.encoding", "r.p")
-
+    random = left.where(F.col("r.bits") >= least_bits).select(*place, "r.encoding", "r.p")
     every = base.unionByName(random)
     own = Window.partitionBy("id", "h").orderBy("start", "rank")
     fixed = F.col("rank") < len(KINDS)
