@@ -27,7 +27,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrid.llm._common import shared_dir
+from tallygrid.llm._common import shared_dir, stored
 
 
 def sha256(text: Column) -> Column:
@@ -82,8 +82,9 @@ def exact_dedup(
     runs = index.compact()
     found = rows.select("id", "digest").join(runs, "digest")
 
-    # Verification reads the texts of hits only: those whose digest has several rows.
-    hits = rows.join(runs.where("n > 1"), "digest")
+    # Verification reads the texts of hits only: those whose digest has several rows. They are
+    # written once, so texts without a copy are shuffled once and then left behind.
+    hits = stored(rows.join(runs.where("n > 1").select("digest", "keep_id"), "digest"))
     stays = hits.where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("text").alias("keep_text"))
     odd = hits.join(stays, "digest").where(F.col("text") != F.col("keep_text")).select("digest").distinct()
     if odd.isEmpty():
