@@ -7,7 +7,9 @@ copies. The expected copies are prefix-summed over the source's documents, one r
 is added, and a document is emitted once for every integer boundary its interval crosses.
 
 Documents stand in order of size, so the sample is stratified by size and the words taken
-from a source differ from its target by little more than its largest document.
+from a source differ from its target by little more than its largest document. The offset is a
+random number shifted by one of ``shifts`` even steps: by the one that brings the source's words
+nearest its target, which the histogram over sizes tells.
 
 The prefix sum never gathers a source in one task: a document's place is the number of
 smaller documents of its source (from a histogram over sizes), plus those of equal size in
@@ -68,49 +70,52 @@ def systematic_copies(
     weights: Sequence[float] = (5, 2, 1),
     cap: float = 3.0,
     seed: str = "",
+    shifts: int = 32,
 ) -> DataFrame:
     """One row per document: ``row`` (struct of all its columns), ``source``, ``size``,
     ``source_size``, ``target`` and ``copies``, the times the mix takes it."""
     size = space_words(F.col("text")) if size is None else size
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-        F.col(source_col).cast("string").alias("source"), size.cast("long").alias("size"), key.alias("key"),
-    ).withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
+    # Sources are compared as structs, which are never null, so that one exchange of the rows
+    # serves both the window and the join.
+    own = [F.struct(F.col(source_col).cast("string").alias("name")).alias("s"), size.cast("long").alias("size"), F.substring(key, 1, BUCKET_DIGITS).alias("bucket")]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("key"), *own)
 
     # The histograms read only the columns that they need.
-    cells = (
-        docs.select(F.col(source_col).cast("string").alias("source"), size.cast("long").alias("size"),
-                    F.substring(key, 1, BUCKET_DIGITS).alias("bucket"))
-        .groupBy("source", "size", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    )
-    by_size = cells.groupBy("source", "size").agg(F.sum("n").alias("n"))
-    targets = water_fill(by_size.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, cap)
-    smaller = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
-    by_size = by_size.select("source", "size", F.coalesce(F.sum("n").over(smaller), F.lit(0)).alias("smaller"))
-    by_size = by_size.alias("z").join(targets.alias("t"), F.col("z.source").eqNullSafe(F.col("t.source"))).select("z.*", "source_size", "target")
-    earlier = Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select("source", "size", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("earlier"))
-    cells = (
-        cells.alias("c")
-        .join(by_size.alias("z"), (F.col("c.size") == F.col("z.size")) & F.col("c.source").eqNullSafe(F.col("z.source")))
-        .select("c.source", "c.size", "c.bucket", (F.col("earlier") + F.col("smaller")).alias("ahead"), "source_size", "target")
-    )
+    cells = docs.select(*own).groupBy("s", "size", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    by_size = cells.groupBy("s", "size").agg(F.sum("n").alias("n"))
+    sources = by_size.groupBy("s").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
+    targets = water_fill(sources.select(F.col("s.name").alias("source"), "source_size"), weights, cap)
+    targets = targets.select(F.struct(F.col("source").alias("name")).alias("s"), "source_size", "target")
+    smaller = Window.partitionBy("s").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    by_size = by_size.select("s", "size", "n", F.coalesce(F.sum("n").over(smaller), F.lit(0)).alias("smaller")).join(targets, "s")
+    by_size = by_size.join(_offsets(by_size, seed, shifts), "s").drop("n")
+    earlier = Window.partitionBy("s", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select("s", "size", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("earlier")).join(by_size, ["s", "size"])
 
     # Rows with equal keys are copies of one document; the order of equal rows does not show.
-    within = Window.partitionBy("source", "size", "bucket").orderBy("key")
-    placed = rows.withColumn("place", F.row_number().over(within))
-    joined = (
-        placed.alias("r")
-        .join(cells.alias("c"), (F.col("r.size") == F.col("c.size")) & (F.col("r.bucket") == F.col("c.bucket")) & F.col("r.source").eqNullSafe(F.col("c.source")))
-        .select("r.row", "r.source", "r.size", "source_size", "target", (F.col("ahead") + F.col("place")).alias("rank"))
-    )
-    # One offset in [0, 1) per source, the same in every run.
-    name = F.concat(F.lit(seed), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
-    offset = F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    within = Window.partitionBy("s", "size", "bucket").orderBy("key")
+    joined = rows.withColumn("place", F.row_number().over(within)).join(cells, ["s", "size", "bucket"]).select(
+        "row", F.col("s.name").alias("source"), "size", "source_size", "target", "u", (F.col("smaller") + F.col("earlier") + F.col("place")).alias("rank"))
+    crossed = _crossings(F.col("rank") - 1, F.col("rank"), F.col("u"))
+    return joined.select("row", "source", "size", "source_size", "target", crossed.alias("copies"))
+
+
+def _crossings(low: Column, high: Column, offset: Column) -> Column:
+    """Integer boundaries between the prefix sums of two places."""
     rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
-    crossed = F.floor(rate * F.col("rank") + offset) - F.floor(rate * (F.col("rank") - 1) + offset)
-    return joined.select("row", "source", "size", "source_size", "target", crossed.cast("long").alias("copies"))
+    return (F.floor(rate * high + offset) - F.floor(rate * low + offset)).cast("long")
+
+
+def _offsets(by_size: DataFrame, seed: str, shifts: int) -> DataFrame:
+    """``u``, the offset in [0, 1) of each source ``s``, the same in every run."""
+    name = F.concat(F.lit(seed), F.coalesce(F.concat(F.lit("="), F.col("s.name")), F.lit("")))
+    drawn = F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    shifted = drawn + F.col("k") / F.lit(float(shifts))
+    tried = by_size.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(shifts - 1)))).withColumn("u", shifted - F.floor(shifted))
+    taken = F.sum(F.col("size") * _crossings(F.col("smaller"), F.col("smaller") + F.col("n"), F.col("u")))
+    sums = tried.groupBy("s", "k").agg(taken.alias("taken"), F.first("u").alias("u"), F.first("target").alias("target"))
+    return sums.groupBy("s").agg(F.min_by("u", F.struct(F.abs(F.col("taken") - F.col("target")), F.col("k"))).alias("u"))
 
 
 def mix(docs: DataFrame, **kwargs) -> DataFrame:

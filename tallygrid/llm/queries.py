@@ -168,12 +168,18 @@ WITH d AS (
   SELECT d.*, row_number() OVER (PARTITION BY source ORDER BY size, k) AS place FROM d
 ), r AS (
   SELECT p.*, source_size::DOUBLE AS total, t.target, coalesce(t.target / nullif(source_size::DOUBLE, 0), 0) AS rate,
-         ('0x' || substr(md5(coalesce('=' || p.source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
+         ('0x' || substr(md5(coalesce('=' || p.source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS drawn
   FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source
+), tried AS (
+  SELECT source, sh, any_value(target) AS target, (drawn + sh / 32.0::DOUBLE) - floor(drawn + sh / 32.0::DOUBLE) AS u,
+         sum(size * (floor(rate * place + ((drawn + sh / 32.0::DOUBLE) - floor(drawn + sh / 32.0::DOUBLE))) - floor(rate * (place - 1) + ((drawn + sh / 32.0::DOUBLE) - floor(drawn + sh / 32.0::DOUBLE))))) AS got
+  FROM r, (SELECT unnest(range(32)) AS sh) AS shifts GROUP BY source, sh, drawn
+), best AS (
+  SELECT source, u FROM (SELECT source, u, row_number() OVER (PARTITION BY source ORDER BY abs(got - target), sh) AS o FROM tried) WHERE o = 1
 )
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(total AS BIGINT) AS source_size, target,
        CAST(size * (floor(rate * place + u) - floor(rate * (place - 1) + u)) AS BIGINT) AS taken
-FROM r
+FROM r JOIN best ON r.source IS NOT DISTINCT FROM best.source
 """
 
 OP7_SQL = """
