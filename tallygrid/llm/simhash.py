@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from tallygrid.llm._common import cut
+from tallygrid.llm._common import cut, stored
 from tallygrid.llm._graph import components
 
 BITS = 64
@@ -274,13 +274,15 @@ def near_duplicates(
     least = prints.groupBy("fp").agg(F.min("id").alias("id"))
     labels = components(link(least.select("fp"), radius, blocks, tile))
     labelled = least.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "id", F.coalesce("label", "fp").alias("label"))
-    groups = labelled.groupBy("label").agg(F.min("id").alias("component_id"))
+    # A written table of one row per group: Spark then splits the partition of a large group.
+    groups = stored(labelled.groupBy("label").agg(F.min("id").alias("component_id")))
     of_print = labelled.join(groups, "label").select("fp", "component_id")
     return prints.join(of_print, "fp").select("id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **kwargs) -> DataFrame:
     """``docs`` with one document of each group: the one with the group's least id."""
-    stays = near_duplicates(docs, id_col, **kwargs).where(F.col("id").eqNullSafe(F.col("component_id"))).select("id").distinct()
-    kept = docs.alias("d").join(stays.alias("s"), F.col(f"d.{id_col}").eqNullSafe(F.col("s.id")), "left_semi")
-    return kept.dropDuplicates([id_col])
+    stays = near_duplicates(docs, id_col, **kwargs).where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.struct("id").alias("k")).distinct()
+    # The key is a struct, which is never null: one exchange serves the join and what follows.
+    rows = docs.select(F.struct(F.col(id_col).alias("id")).alias("k"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.join(stays, "k", "left_semi").dropDuplicates(["k"]).select("row.*")
