@@ -187,10 +187,13 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
 
     seen = facts.select("t", F.explode("anchors").alias("a"), F.lit(0).alias("twice")).unionByName(
         facts.select("t", F.explode("twice").alias("a"), F.lit(1).alias("twice")))
+    # Each step is written before the next begins, so the shuffles of only one stand at a time.
     shared = seen.groupBy("a").agg(F.min("t").alias("low"), F.max("t").alias("high"), F.max("twice").alias("twice")).where("low <> high OR twice = 1").select("a")
+    shared = stored(shared)
     lists = facts.select("id", "t", F.explode("anchors").alias("a")).join(shared, "a").groupBy("id", "t").agg(F.collect_set("a").alias("shared"))
     own = facts.select("id", "t", "size", "c").join(stands, ["t", "size", "c"]).where(F.col("id").eqNullSafe(F.col("stands"))).select("id", "t").distinct()
     lists = lists.alias("l").join(own.alias("o"), (F.col("l.t") == F.col("o.t")) & F.col("l.id").eqNullSafe(F.col("o.id")), "left_semi")
+    lists = stored(lists)
     both = rows.alias("r").join(lists.alias("l"), (F.col("r.t") == F.col("l.t")) & F.col("r.id").eqNullSafe(F.col("l.id")))
     texts = stored(both.select("r.id", "r.t", "r.text", "l.shared").dropDuplicates(["id", "t"]))
 
@@ -203,7 +206,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     columns = _bytes(texts).select("id", "t", "text", "shared")
     blocks = stored(columns.mapInPandas(list_blocks, f"id {id_type}, t long, k long, k2 int, a long, at int, n int"))
     place = F.struct("id", "t", "at")
-    kinds = blocks.groupBy("k", "k2").agg(F.min(place).alias("first"))
+    # Written tables of one row per hash: Spark then splits the partition of a hot one in the join.
+    kinds = stored(blocks.groupBy("k", "k2").agg(F.min(place).alias("first")))
     placed = blocks.join(kinds, ["k", "k2"]).withColumn("earliest", place.eqNullSafe(F.col("first")))
     placed = stored(placed.select("id", "t", "a", "at", "n", "earliest"))
     copied = placed.where("NOT earliest").select("id", "t", F.col("at").alias("lo"), (F.col("at") + F.col("n") - 1).alias("hi"))
@@ -225,7 +229,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
         return gathered(each, ["w", "at"])
 
     windows = stored(checked.mapInPandas(list_windows, f"id {id_type}, t long, w long, at int"))
-    kinds = windows.groupBy("w").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    kinds = stored(windows.groupBy("w").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies"))
     late = windows.join(kinds, "w").where(~place.eqNullSafe(F.col("first"))).select("id", "t", F.col("at").alias("lo"), F.col("at").alias("hi"))
     spans = copied.unionByName(late).groupBy("id", "t").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     found = texts.alias("x").join(spans.alias("f"), same).select("x.id", "x.t", "x.text", F.array_sort("spans").alias("spans"))
