@@ -165,21 +165,21 @@ WITH d AS (
          / nullif(sum(CASE WHEN capped THEN 0 ELSE w END) OVER (), 0)) END AS target
   FROM c
 ), p AS (
-  SELECT d.*, row_number() OVER (PARTITION BY source ORDER BY size, k) AS place FROM d
+  SELECT d.*, o, row_number() OVER (PARTITION BY source, o ORDER BY CASE WHEN o = 0 THEN '' ELSE md5(o || ':' || size) END, size, k) AS place
+  FROM d, (SELECT unnest(range(4)) AS o) AS orders
 ), r AS (
   SELECT p.*, source_size::DOUBLE AS total, t.target, coalesce(t.target / nullif(source_size::DOUBLE, 0), 0) AS rate,
-         ('0x' || substr(md5(coalesce('=' || p.source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS drawn
-  FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source
+         ('0x' || substr(md5(coalesce('=' || p.source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE + sh / 16.0::DOUBLE AS x, sh
+  FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source, (SELECT unnest(range(16)) AS sh) AS shifts
 ), tried AS (
-  SELECT source, sh, any_value(target) AS target, (drawn + sh / 32.0::DOUBLE) - floor(drawn + sh / 32.0::DOUBLE) AS u,
-         sum(size * (floor(rate * place + ((drawn + sh / 32.0::DOUBLE) - floor(drawn + sh / 32.0::DOUBLE))) - floor(rate * (place - 1) + ((drawn + sh / 32.0::DOUBLE) - floor(drawn + sh / 32.0::DOUBLE))))) AS got
-  FROM r, (SELECT unnest(range(32)) AS sh) AS shifts GROUP BY source, sh, drawn
+  SELECT source, o, sh, any_value(target) AS target, sum(size * (floor(rate * place + (x - floor(x))) - floor(rate * (place - 1) + (x - floor(x))))) AS got
+  FROM r GROUP BY source, o, sh
 ), best AS (
-  SELECT source, u FROM (SELECT source, u, row_number() OVER (PARTITION BY source ORDER BY abs(got - target), sh) AS o FROM tried) WHERE o = 1
+  SELECT source, o, sh FROM (SELECT source, o, sh, row_number() OVER (PARTITION BY source ORDER BY abs(got - target), o, sh) AS i FROM tried) WHERE i = 1
 )
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(total AS BIGINT) AS source_size, target,
-       CAST(size * (floor(rate * place + u) - floor(rate * (place - 1) + u)) AS BIGINT) AS taken
-FROM r JOIN best ON r.source IS NOT DISTINCT FROM best.source
+       CAST(size * (floor(rate * place + (x - floor(x))) - floor(rate * (place - 1) + (x - floor(x)))) AS BIGINT) AS taken
+FROM r JOIN best ON r.source IS NOT DISTINCT FROM best.source AND r.o = best.o AND r.sh = best.sh
 """
 
 OP7_SQL = """
