@@ -272,17 +272,38 @@ def near_duplicates(
     """One row per row of ``docs``: ``id``, ``fp`` (signed long) and ``component_id``."""
     prints = cut(docs.select(F.col(id_col).alias("id"), fingerprints(F.col(text_col), shingle).alias("fp")))
     least = prints.groupBy("fp").agg(F.min("id").alias("id"))
-    labels = components(link(least.select("fp"), radius, blocks, tile))
-    labelled = least.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "id", F.coalesce("label", "fp").alias("label"))
+    labelled = _labelled(least, radius, blocks, tile)
     # A written table of one row per group: Spark then splits the partition of a large group.
     groups = stored(labelled.groupBy("label").agg(F.min("id").alias("component_id")))
     of_print = labelled.join(groups, "label").select("fp", "component_id")
     return prints.join(of_print, "fp").select("id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **kwargs) -> DataFrame:
-    """``docs`` with one document of each group: the one with the group's least id."""
-    stays = near_duplicates(docs, id_col, **kwargs).where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.struct("id").alias("k")).distinct()
-    # The key is a struct, which is never null: one exchange serves the join and what follows.
-    rows = docs.select(F.struct(F.col(id_col).alias("id")).alias("k"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+def _labelled(distinct: DataFrame, radius: int, blocks: int, tile: int) -> DataFrame:
+    """``distinct`` (a row per fingerprint) with the ``label`` of its component."""
+    labels = components(link(distinct.select("fp"), radius, blocks, tile))
+    return distinct.join(labels, F.col("fp") == F.col("node"), "left").select(*distinct.columns, F.coalesce("label", "fp").alias("label"))
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """What names a document: its id, null ids last, and 128 bits of its text; never null."""
+    text, known = F.coalesce(F.col(text_col), F.lit("")), F.col(id_col)
+    return F.struct(known.isNull().alias("no_id"), known.alias("id"), F.xxhash64(text).alias("h"), F.xxhash64(text, F.lit("k")).alias("h2"))
+
+
+def keep_rows(docs: DataFrame, stays: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` whose :func:`row_key` is in ``stays`` (column ``k``), one for each."""
+    # The key is never null: one exchange serves the join and what follows.
+    rows = docs.select(row_key(id_col, text_col).alias("k"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     return rows.join(stays, "k", "left_semi").dropDuplicates(["k"]).select("row.*")
+
+
+def drop_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, blocks: int = 6, tile: int = 8192,
+) -> DataFrame:
+    """``docs`` with one document of each group: the one with the group's least id, or one of
+    those without an id if no document of the group has one."""
+    prints = cut(docs.select(row_key(id_col, text_col).alias("k"), fingerprints(F.col(text_col), shingle).alias("fp")))
+    least = prints.groupBy("fp").agg(F.min("k").alias("k"))
+    stays = _labelled(least, radius, blocks, tile).groupBy("label").agg(F.min("k").alias("k")).select("k")
+    return keep_rows(docs, stays, id_col, text_col)

@@ -87,3 +87,12 @@ def test_one_stays(docs, none):
     assert simhash.near_duplicates(none).count() == 0
     with pytest.raises(ValueError):
         simhash.link(docs, radius=4, blocks=4)
+
+
+def test_each_group_keeps_a_row(spark):
+    rng = np.random.default_rng(9)
+    one, two, three, four = (" ".join(map(str, rng.integers(0, 10**6, 60))) for _ in range(4))
+    rows = [(None, one), (None, one), (None, two), (5, three), (5, four), (9, four)]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["text"] for r in kept) == sorted([one, two, three, four])
+    assert {r["text"]: r["doc_id"] for r in kept} == {one: None, two: None, three: 5, four: 5}
