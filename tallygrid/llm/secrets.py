@@ -142,7 +142,7 @@ def scan(
     """One row per row of ``docs``: ``id`` and ``found``, its spans in order (structs ``start``,
     ``rank``, ``kind``, ``end``, ``encoding``, ``p``)."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    pattern = rf"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_-]{{{shortest},}}={{0,2}}"
+    pattern = rf"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{{{shortest},}}={{0,2}}"
     every = stored(spans(rows, (*KINDS, (RANDOM, pattern, 0, shortest))))
     place = ["id", "h", "kind", "rank", "start", "end"]
     base = every.where(F.col("kind") != RANDOM).select(*place, F.lit(None).cast("string").alias("encoding"), F.lit(None).cast("double").alias("p"))

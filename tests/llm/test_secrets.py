@@ -55,5 +55,14 @@ def test_false_discoveries_are_rare(spark):
     assert sum(i < 400 for i in hits) >= 370 and not any(i >= 1000 for i in hits)
 
 
+def test_random_values_after_an_equals_sign(spark):
+    key = "wJalrXUtnFEMI7K9MDENGbPxRfiCYqT3sZ5hLdGv8"
+    names = ["?sig=", "pwd=", "client_key=", "AWS_SECRET_ACCESS_KEY=", "x==", "a=b&c=", " ", ": "]
+    rows = [(i, f"see {name}{key} and") for i, name in enumerate(names)]
+    found = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    text = dict(rows)
+    assert {r["id"]: [text[r["id"]][s["start"]:s["end"]] for s in r["found"] if s["kind"] == "random"] for r in found} == {i: [key] for i in text}
+
+
 def test_empty(none):
     assert secrets.scan(none).count() == 0
