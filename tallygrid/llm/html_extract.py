@@ -6,7 +6,8 @@ and divided by their number; both ratios are smoothed along the page with a Gaus
 per path again and fused by multiplication. Paths whose fused ratio reaches a share of the
 spread over the page are content paths. The content root is the deepest element that holds
 nearly all text of content paths, or the article or main element around it; the result is every
-block below it (so that short paragraphs and headings come along) that is not page furniture:
+block below it (so that short paragraphs and headings come along), and beside it the other blocks
+of content paths and the headings and paragraphs around it, that is not page furniture:
 menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments. What
 is furniture by a class or id only, but holds most of a page's text, is taken for a wrapper.
 
@@ -50,6 +51,8 @@ ENDS_SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr
 SCOPE = frozenset("html body article section main aside nav header footer div ul ol dl table td th form blockquote figure".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROOTS = frozenset("html body main article".split())
+#: Elements that hold a text rather than being a part of it.
+HOLDERS = frozenset("div td form center".split())
 
 FURNITURE = frozenset("head nav header footer aside form button select option menu dialog svg canvas object audio video datalist".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
@@ -262,16 +265,37 @@ def main_text(source: str | None) -> str:
         while up and page.name[up] not in ("article", "main"):
             up = parent[up]
         root = up or root
-    if root and page.name[root] not in ROOTS and page.name[root] not in SCOPE:
-        root = parent[root]  # one long paragraph has its neighbours beside it
+    while root and page.name[root] not in ROOTS and page.name[root] not in HOLDERS:
+        root = parent[root]  # one long paragraph, quotation, list or table has its neighbours beside it
     below = [False] * len(page.name)
     below[root] = True
     for e in range(1, len(below)):
         below[e] = below[e] or below[parent[e]]
 
+    # Of what stands beside the root, the article's are the content paths' blocks, and headings and
+    # paragraphs directly in an element around it; where there is an article or main element, in that.
+    around, bound = [], 0
+    up = root
+    while up:
+        up = parent[up]
+        around.append(up)
+        if page.name[up] in ("article", "main"):
+            bound = up
+    inner = [False] * len(page.name)
+    inner[0] = not bound and page.name[root] not in ("article", "main")
+    beside = set(around[:around.index(bound) + 1] if bound else around if inner[0] else ())
+    # Headings after the root, and paragraphs of the page as a whole, are rather of something else.
+    for e in range(1, len(inner)):
+        inner[e] = inner[parent[e]] or e == bound
+        if not below[e] and parent[e] in beside and (
+                page.name[e] in HEADINGS and e < root or page.name[e] == "p" and page.name[parent[e]] not in ("html", "body", "#root")):
+            below[e] = True
+        below[e] = below[e] or (parent[e] not in beside and below[parent[e]])
+    kept = {b for (e, _, b), own in zip(nodes, content.tolist(), strict=True) if own and inner[e]}
+
     blocks: dict[int, list[str]] = {}
     for e, t, b in page.nodes:
-        if below[e]:
+        if below[e] or b in kept:
             blocks.setdefault(b, []).append(t)
     lines = (" ".join("".join(parts).split()) for parts in blocks.values())
     return "\n".join(line for line in lines if line)

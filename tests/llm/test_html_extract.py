@@ -33,6 +33,18 @@ def test_a_wrapper_is_no_furniture():
     assert main_text(page) == f"{(P * 4).strip()}\nTiny."
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<body><div class=post><h1>Title</h1><p>Lede, short.</p><div class=entry>{}</div></div></body>", "Title\nLede, short.\n{}"),
+    ("<body><div><p>Intro.</p><blockquote>{}</blockquote><p>End.</p></div></body>", "Intro.\n{}\nEnd."),
+    ("<body><div><p>Intro.</p><section>{}</section><p>End.</p></div></body>", "Intro.\n{}\nEnd."),
+    ("<body><div><p>Intro.</p><ul>{}</ul><p>End.</p></div></body>", "Intro.\n{}\nEnd."),
+    ("<body><div>Links</div><main><h1>Title</h1><article>{}</article></main></body>", "Title\n{}"),
+])
+def test_neighbours_of_the_root(page, want):
+    item = "li" if "<ul>" in page else "p"
+    assert main_text(page.replace("{}", f"<{item}>{P * 3}</{item}>" * 12)) == want.replace("{}", "\n".join([(P * 3).strip()] * 12))
+
+
 def test_broken_markup():
     assert main_text("<article><p>a <p>b</div> c<i>d</p>e").split("\n")[0] == "a"
     assert main_text(f"<article><p>{P}<b>one<p>two</article>") == f"{P}one\ntwo"
