@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Values of a group that one buffer may hold.
 DIRECT_ROWS = 2_000_000
@@ -52,7 +53,7 @@ def _bracketed(rows: DataFrame, keys: list[str], probs: Sequence[float], direct_
         inside = inside.where((F.col("_v") >= F.col("lo")) & (F.col("_v") <= F.col("hi")))
         left = inside.groupBy(*named).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("_v", [j / CELLS for j in range(CELLS + 1)], 10 * CELLS).alias("edges"), F.min("_v").alias("a"), F.max("_v").alias("b"))
         facts = left.collect()
-        if max(r["n"] for r in facts) <= direct_rows or all(r["a"] == r["b"] for r in facts):
+        if all(r["n"] <= direct_rows or r["a"] == r["b"] for r in facts):
             break
         edges = spark.createDataFrame([(*[r[c] for c in named], sorted({r["a"], r["b"], *r["edges"]})) for r in facts], ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in left.select(*named).schema], "edges array<double>"]))
         celled = inside.join(F.broadcast(edges), named).withColumn("cell", F.size(F.filter("edges", lambda e: e < F.col("_v"))))
@@ -65,8 +66,11 @@ def _bracketed(rows: DataFrame, keys: list[str], probs: Sequence[float], direct_
                 done = (*key, r["k"], r["part"], r["a"], r["b"], start)
             found[key] = (start + r["n"], done)
         brackets = spark.createDataFrame([d for _, d in found.values()], brackets.schema)
-    ranked = inside.groupBy(*named, "k", "part", "below").agg(F.array_sort(F.collect_list("_v")).alias("vs"))
-    ranked = ranked.select(*keys, "i", "side", "part", F.get("vs", (F.col("k") - F.col("below")).cast("int")).alias("x"))
+    # Equal values are one row with their number, however many rows tie.
+    counted = inside.groupBy(*named, "k", "part", "below", "_v").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy(*named).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    counted = counted.withColumn("upto", F.col("below") + F.sum("n").over(upto))
+    ranked = counted.where((F.col("upto") > F.col("k")) & (F.col("upto") - F.col("n") <= F.col("k"))).select(*keys, "i", "side", "part", F.col("_v").alias("x"))
     both = ranked.groupBy(*keys, "i", "part").agg(F.min(F.when(F.col("side") == 0, F.col("x"))).alias("x0"), F.min(F.when(F.col("side") == 1, F.col("x"))).alias("x1"))
     one = F.struct("i", (F.col("x0") + (F.col("x1") - F.col("x0")) * F.col("part")).alias("x"))
     return both.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(one)), lambda s: s["x"]).alias("q"))
