@@ -2,63 +2,77 @@
 
 A word is removed if it lies in a window of ``window`` consecutive words whose sequence also
 starts earlier: in a document with a smaller id, or earlier in the same document. The reference
-of a document is thus everything before it, cut into blocks at content-defined places:
+of a document is thus everything before it. It is indexed by blocks at content-defined places:
 
-1. **Blocks.** In every window the least of the hashes of its ``gram``-word sequences marks an
+1. **Index.** In every window the least of the hashes of its ``gram``-word sequences marks an
    anchor, so equal windows have equal anchors wherever they stand. An anchor's block is the run
-   of windows that it marks. Only anchors that occur in two places can be part of a repeat; a
-   count over all documents finds them.
-2. **Factors.** Equal blocks are found by a hash of all their words: every block but the earliest
-   of its kind copies that one whole. Neighbouring copied blocks make up the long factors.
-3. **Factor boundaries.** Blocks that copy none whole (the earliest of their kind, and those at
-   the edges of a repeat) are checked window by window against each other, which finds the
-   factors' ends exactly: each window but the earliest of its kind is a repeat. Windows of copied
-   blocks need no part in this, since the block they copy stands for them.
-
-Texts that are equal as bytes take part once, through the least id; their copies are repeats
-throughout. Only hashes, ids and positions are shuffled for the index. Texts move once to the
-blocks that may repeat and then only those that do. Counts and minima combine before a shuffle,
-and hot hashes meet a table with one row per hash, which Spark may split.
-
-Hashes of words are polynomials over bytes, modulo 2**64 and mixed; blocks carry another 32 bits.
+   of windows that it marks. Blocks are named by 128 bits over all their words; the index holds
+   the earliest place of every kind of block. Where an anchor has blocks of several kinds, which
+   agree in part only, it also holds the earliest place of each window of theirs.
+2. **Parsing.** Looked up in the index, a document's blocks and windows point at earlier places.
+   Pointers that go on in one source document with one shift make up runs, and the greedy parse
+   takes at each position the run that reaches farthest as the next factor. The words of the
+   source are brought to each factor and compared word by word; a factor goes on beyond its
+   pointers as long as the words agree, by up to a window.
+3. **Factor boundaries.** A next factor starts with the first window that the last one does not
+   hold whole, so every window across a boundary is looked up and compared on its own account.
+   Factors of ``window`` words or more are the duplicate spans.
+
+Hashes only nominate: nothing is removed but words that were compared. If a nominated window
+fails the comparison (two sequences of one name), the whole job runs again with the words
+themselves for names.
+
+Texts that are equal (by SHA-256) take part once, through the least id; their copies are repeats
+throughout. Documents are numbered in order by a sort of ids; the index moves hashes and numbers
+only. Texts are shuffled to a bucketed table, which every later join of texts reads in place;
+after that only the segments that factors copy are. Repeats within a document are found where it
+is read, so a name comes once from each document; counts and minima combine before a shuffle, and
+hot names meet a written table with one row per name, which lets Spark split them.
 
 Edge cases: a null or empty text has no words; texts of fewer words than a window keep all;
 rows with equal id and text are one document and each gets its result; equal ids with different
-texts are ordered by a hash of the text; null ids come first. Very long texts are hashed in
-pieces. Columns other than id and text are never read.
+texts are ordered by a digest of the text; null ids come first. Very long texts are hashed in
+pieces. An empty table gives an empty result. Columns other than id and text are never read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from tallygrid.llm._common import stored
+from tallygrid.llm._common import shared_dir, stored
 
-#: Words hashed at a time; pieces overlap by what a block can span.
+#: Words hashed at a time; the pieces of a longer text overlap by what a block can span.
 PIECE_WORDS = 200_000
-BASE = 0x9E3779B97F4A7C15 | 1
+#: Words whose hashes are remembered in a task.
+REMEMBERED = 500_000
+#: Bits of a name that are used; fewer only in tests of collisions.
+NAME_BITS = 64
 _random = np.random.default_rng(11)
-#: A random number per byte value.
-BYTE = _random.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: dict[str, np.ndarray] = {}
+#: A random number and an odd factor per place in a run of words.
+PLACE = _random.integers(0, 2**63, 4096, dtype=np.uint64)
+FACTOR = _random.integers(0, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2**64, at least ``n`` of each."""
-    if not _powers or len(_powers["up"]) < n:
-        size = max(n, 1 << 16)
-        for name, factor in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
-            steps = np.full(size, factor, np.uint64)
-            steps[0] = 1
-            _powers[name] = np.cumprod(steps)
-    return _powers["up"], _powers["down"]
+class WordHashes(dict):
+    """64-bit hashes of words, remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        found = self[word] = xxhash.xxh3_64_intdigest(word, 5)
+        return found
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -68,201 +82,289 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class Words:
-    """The words of a text and hashes of runs of them."""
-
-    def __init__(self, words: list[bytes]):
-        joined = b" ".join(words)
-        data = np.frombuffer(joined, np.uint8)
-        gaps = np.flatnonzero(data == 32)
-        self.starts = np.concatenate(([0], gaps + 1))
-        self.ends = np.concatenate((gaps, [len(data)]))
-        up, self.down = powers(len(data) + 1)
-        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTE[data] * up[: len(data)])))
-
-    def runs(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """Hashes of the words from ``first`` to ``last`` inclusive, for arrays of both."""
-        at = self.starts[first]
-        return mixed((self.sums[self.ends[last]] - self.sums[at]) * self.down[at])
-
-
-def pieces(words: list[bytes], window: int) -> Iterator[tuple[int, Words, int]]:
-    """(offset, words, windows that start here) for pieces of a text. A piece ends where the next
-    begins to have windows, and a block never spans pieces."""
-    for at in range(0, max(len(words) - window + 1, 0), PIECE_WORDS):
-        own = min(PIECE_WORDS, len(words) - window + 1 - at)
-        yield at, Words(words[at:at + own + window - 1]), own
-
-
-def anchors_of(piece: Words, n_windows: int, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of a piece the position and the hash of its anchor."""
-    n = n_windows + window - gram
-    grams = piece.runs(np.arange(n), np.arange(n) + gram - 1)
-    places = np.lib.stride_tricks.sliding_window_view(grams, window - gram + 1).argmin(axis=1) + np.arange(n_windows)
-    return places, grams[places]
-
-
-def blocks_of(places: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and last window of each block: runs of windows with one anchor."""
-    first = np.flatnonzero(np.concatenate(([True], places[1:] != places[:-1])))
-    return first, np.concatenate((first[1:], [len(places)])) - 1
-
-
-def survey(text: bytes | None, window: int, gram: int) -> tuple[int, str, np.ndarray, np.ndarray]:
-    """Number of words, digest of the words joined by spaces, hashes of the anchors, and of those
-    that stand at several places."""
-    words = (text or b"").split()
-    seen: list[np.ndarray] = []
-    for _, piece, own in pieces(words, window):
-        places, hashes = anchors_of(piece, own, window, gram)
-        seen.append(hashes[blocks_of(places, window)[0]])
-    found, counts = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, np.uint64),) * 2
-    return len(words), hashlib.sha256(b" ".join(words)).hexdigest(), found.view(np.int64), found[counts > 1].view(np.int64)
-
-
-def shared_blocks(text: bytes, shared: np.ndarray, window: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Per piece the blocks whose anchor is shared: two hashes of their words and shape, the hash
-    of the anchor, the first window and the number of windows."""
-    for at, piece, own in pieces(text.split(), window):
-        places, hashes = anchors_of(piece, own, window, gram)
-        first, last = blocks_of(places, window)
-        keep = np.isin(hashes[first].view(np.int64), shared)
-        first, last = first[keep], last[keep]
-        shape = ((places[first] - first) * (window + 1) + last - first).astype(np.uint64)
-        key = mixed(piece.runs(first, last + window - 1) + shape)
-        key2 = mixed(piece.runs(first, first + window - 1) ^ (shape << np.uint64(40)))
-        yield key.view(np.int64), key2.view(np.int64).astype(np.int32), hashes[first].view(np.int64), at + first, last - first + 1
-
-
-def windows_at(text: bytes, starts: np.ndarray, window: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Per piece the hashes of the windows at ``starts`` (sorted), and those starts."""
-    for at, piece, own in pieces(text.split(), window):
-        mine = starts[(starts >= at) & (starts < at + own)] - at
-        yield piece.runs(mine, mine + window - 1).view(np.int64), at + mine
-
-
-def gathered(rows: Iterator[tuple[object, int, tuple[np.ndarray, ...]]], columns: list[str], most: int = 200_000) -> Iterator[pd.DataFrame]:
-    """Rows (id, t, arrays) as DataFrames of about ``most`` rows with id and t repeated."""
-    ids, ts, sizes, parts = [], [], [], []
-
-    def frame() -> pd.DataFrame:
-        data = {"id": np.repeat(np.array(ids, dtype=object), sizes), "t": np.repeat(np.array(ts, np.int64), sizes)}
-        frame = pd.DataFrame(data | {c: np.concatenate([p[i] for p in parts]) for i, c in enumerate(columns)})
-        for held in (ids, ts, sizes, parts):
-            held.clear()
-        return frame
-
-    for id_, t, arrays in rows:
-        if len(arrays[0]):
-            ids.append(id_)
-            ts.append(t)
-            sizes.append(len(arrays[0]))
-            parts.append(arrays)
-            if sum(sizes) >= most:
-                yield frame()
-    if ids:
-        yield frame()
-
-
-def _bytes(df: DataFrame) -> DataFrame:
-    return df.withColumn("text", F.col("text").cast("binary"))
-
-
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, gram: int = 8) -> tuple[DataFrame, DataFrame]:
-    """``facts`` (a row per document: id, t, size, c, n_words, sha, stands) and ``found`` (a row per document with
-    repeats: id, t, text, spans of first and last removed window starts)."""
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).cast("string").alias("text"))
-
-    @pandas_udf("struct<n_words int, sha string, anchors array<long>, twice array<long>>")
-    def survey_of(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([survey(t, window, gram) for t in texts], columns=["n_words", "sha", "anchors", "twice"])
-
-    facts = stored(rows.select(
-        "id", "t", F.coalesce(F.octet_length("text"), F.lit(-1)).alias("size"), F.coalesce(F.crc32("text"), F.lit(-1)).cast("long").alias("c"),
-        survey_of(F.col("text").cast("binary")).alias("s"),
-    ).select("id", "t", "size", "c", "s.*"))
-    # Of equal texts the least id stands for all.
-    stands = facts.groupBy("t", "size", "c").agg(F.min("id").alias("stands"), F.max(F.col("id").isNull()).alias("null_id"))
-    stands = stands.select("t", "size", "c", F.when(~F.col("null_id"), F.col("stands")).alias("stands"))
-
-    seen = facts.select("t", F.explode("anchors").alias("a"), F.lit(0).alias("twice")).unionByName(
-        facts.select("t", F.explode("twice").alias("a"), F.lit(1).alias("twice")))
+def names(hashes: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit names for each run of ``count`` words from ``first`` on."""
+    one, two = np.empty(len(first), np.uint64), np.empty(len(first), np.uint64)
+    for at in range(0, len(first), 1 << 14):
+        begin, size = first[at:at + (1 << 14)], count[at:at + (1 << 14)]
+        step = np.arange(size.max())
+        each = mixed(hashes[np.minimum(begin[:, None] + step, len(hashes) - 1)] + PLACE[step])
+        each[step >= size[:, None]] = 0
+        one[at:at + (1 << 14)], two[at:at + (1 << 14)] = each.sum(axis=1), (each * FACTOR[step]).sum(axis=1)
+    keep = np.uint64((1 << NAME_BITS) - 1)
+    return (mixed(one + count.astype(np.uint64)) & keep).view(np.int64), (mixed(two) & keep).view(np.int64)
+
+
+def leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
+    """Where the least of each ``width`` neighbouring values stands, the leftmost of equal ones."""
+    where, reach = np.arange(len(values)), 1
+    while reach < width:
+        step = min(reach, width - reach)
+        later = values[step:] < values[:-step]
+        where = np.where(later, where[step:], where[:-step])
+        values = np.where(later, values[step:], values[:-step])
+        reach += step
+    return where
+
+
+def pieces(texts: list[list[bytes]], window: int) -> Iterator[list[tuple[int, int, list[bytes]]]]:
+    """Lists of (text, offset, words) of about ``PIECE_WORDS`` words, none without a window."""
+    held, size = [], 0
+    for i, words in enumerate(texts):
+        for at in range(0, max(len(words) - window + 1, 0), PIECE_WORDS):
+            held.append((i, at, words[at:at + PIECE_WORDS + window - 1]))
+            size += len(held[-1][2])
+            if size >= PIECE_WORDS:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def blocks_of(texts: list[list[bytes]], window: int, gram: int, hashes: WordHashes, exact: bool) -> pd.DataFrame:
+    """All blocks of some texts: ``text`` (number), ``a`` (hash of the anchor), ``k``, ``k2``
+    (names), ``at`` (first window), ``n`` (windows) and, if exact, ``words``."""
+    parts = []
+    for held in pieces(texts, window):
+        words = [w for _, _, some in held for w in some]
+        sizes = np.array([len(some) for _, _, some in held])
+        base = np.cumsum(sizes) - sizes
+        h = hashes.of(words)
+        n = len(h) - gram + 1
+        grams = sum(mixed(h[j:n + j] + PLACE[j]) for j in range(gram))
+        own = sizes - window + 1
+        starts = np.repeat(base - np.cumsum(own) + own, own) + np.arange(own.sum())
+        place = leftmost_least(grams, window - gram + 1)[starts]
+        new = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (np.diff(starts) != 1))))
+        first, count = starts[new], np.diff(np.concatenate((new, [len(starts)])))
+        k, k2 = names(h, first, count + window - 1)
+        piece = np.searchsorted(base, first, "right") - 1
+        part = {"text": np.array([i for i, _, _ in held])[piece], "a": grams[place[new]].view(np.int64), "k": k, "k2": k2,
+                "at": first - base[piece] + np.array([at for _, at, _ in held])[piece], "n": count}
+        if exact:
+            part["words"] = [b" ".join(words[f:f + c + window - 1]) for f, c in zip(first.tolist(), count.tolist(), strict=True)]
+        parts.append(pd.DataFrame(part))
+    return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({c: [] for c in ("text", "a", "k", "k2", "at", "n", "words")}, dtype="int64")
+
+
+def earlier_in_text(rows: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    """For rows ordered by place: the place of the first row of the same text and name, or -1."""
+    first = rows.groupby(keys, sort=False)["at"].transform("first").to_numpy()
+    return np.where(first == rows["at"].to_numpy(), -1, first)
+
+
+def windows_of(texts: list[list[bytes]], places: list[np.ndarray], window: int, hashes: WordHashes, exact: bool) -> pd.DataFrame:
+    """The windows at ``places`` of some texts: ``text``, ``k``, ``k2``, ``at`` and, if exact, ``words``."""
+    parts = []
+    for held in pieces(texts, window):
+        for i, at, words in held:
+            mine = places[i][(places[i] >= at) & (places[i] < at + PIECE_WORDS)] - at
+            if len(mine):
+                k, k2 = names(hashes.of(words), mine, np.full(len(mine), window))
+                part = {"text": np.full(len(mine), i), "k": k, "k2": k2, "at": at + mine}
+                if exact:
+                    part["words"] = [b" ".join(words[f:f + window]) for f in mine.tolist()]
+                parts.append(pd.DataFrame(part))
+    return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({c: [] for c in ("text", "k", "k2", "at", "words")}, dtype="int64")
+
+
+def greedy_factors(at: np.ndarray, n: np.ndarray, source: np.ndarray, place: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Factors (first window, windows, source document, first window there) from pointers of
+    ``n`` windows at ``at`` to ``place`` in ``source``: at each window that no factor holds yet,
+    the run of pointers that reaches farthest."""
+    shift = place - at
+    order = np.lexsort((at, shift, source))
+    at, n, source, shift = at[order], n[order], source[order], shift[order]
+    new = np.concatenate(([True], (source[1:] != source[:-1]) | (shift[1:] != shift[:-1]) | (at[1:] > at[:-1] + n[:-1])))
+    begin = np.flatnonzero(new)
+    last = np.concatenate((begin[1:], [len(at)])) - 1
+    runs = sorted(zip(at[begin].tolist(), (at[last] + n[last]).tolist(), source[begin].tolist(), shift[begin].tolist(), strict=True))
+    out, i, upto = [], 0, -1
+    while i < len(runs):
+        start = max(upto, runs[i][0])
+        best = None
+        while i < len(runs) and runs[i][0] <= start:
+            if runs[i][1] > start and (best is None or runs[i][1] > best[1]):
+                best = runs[i]
+            i += 1
+        if best:
+            out.append((start, best[1] - start, best[2], start + best[3]))
+            upto = best[1]
+    return out
+
+
+def agreeing(words: list[bytes], at: int, reference: list[bytes]) -> int:
+    """How many words from ``at`` on are those of ``reference``."""
+    own = words[at:at + len(reference)]
+    if own == reference:
+        return len(own)
+    return next((i for i, (a, b) in enumerate(zip(own, reference)) if a != b), min(len(own), len(reference)))
+
+
+def parse(words: list[bytes], factors: list[tuple[int, int, list[bytes]]], window: int) -> tuple[list[list[int]], int]:
+    """Removed spans (first and end word), and nominated windows whose words differ."""
+    spans, upto, failed = [], 0, 0
+    for at, n, reference in sorted(factors, key=lambda f: f[:2]):
+        if at + n <= upto:
+            continue  # the last factor went on to here
+        held = max(agreeing(words, at, reference) - window + 1, 0)
+        failed += max(n - held, 0)
+        if held:
+            upto = max(upto, at + held)
+            if spans and at <= spans[-1][1]:
+                spans[-1][1] = max(spans[-1][1], at + held + window - 1)
+            else:
+                spans.append([at, at + held + window - 1])
+    return spans, failed
+
+
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """The frame as a table in buckets of ``key``, which joins on it read without a shuffle."""
+    spark = df.sparkSession
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"texts_{uuid.uuid4().hex}"
+    writer = df.repartition(n, key).write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}")
+    writer.bucketBy(n, key).sortBy(key).saveAsTable(name)
+    return spark.table(name)
+
+
+def _exploded(arrays: list[str], *columns: str) -> list[Column | str]:
+    return [*columns, F.explode(F.arrays_zip(*arrays)).alias("z")]
+
+
+def removal(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, gram: int = 8, exact: bool = False,
+) -> DataFrame:
+    """One row per row of ``docs``: ``id``, ``n_words``, ``n_removed``, ``kept_sha256`` and
+    ``spans`` (first and end word of each removed span; null for a copy of an earlier text).
+
+    ``exact`` names runs by their words instead of hashes, as the job does by itself where names collide.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = rows.select(F.struct("id").alias("who"), F.unhex(F.sha2("text", 256)).alias("digest"), "text")
+    keys = stored(rows.select("who", "digest"))
+    # A struct of a null orders as the least and is equal to itself.
+    each = keys.groupBy("digest", "who").agg(F.count(F.lit(1)).alias("n"))
+    copied = stored(each.groupBy("digest").agg(F.min("who").alias("stands"), F.sum("n").alias("copies"), F.max("n").alias("most")).where("copies > 1"))
+    standing = keys.join(copied.select("digest", "stands"), "digest", "left").where("stands IS NULL OR who = stands").select("who", "digest").distinct()
+    # Numbers in the order of ids, then of digests: partitions of the sort are numbered in its order.
+    standing = stored(standing.orderBy("who", "digest").select("who", "digest", F.monotonically_increasing_id().alias("r")))
+    texts = rows.join(standing, ["digest", "who"]).select("r", F.col("text").cast("binary").alias("text"))
+    if not copied.where("most > 1").isEmpty():  # rows with equal id and text
+        texts = texts.groupBy("r").agg(F.first("text").alias("text"))
+    texts = bucketed(texts, "r")
+    parsed = _parsed(texts, window, gram, exact)
+    if not exact and not parsed.where("failed > 0").isEmpty():
+        parsed = _parsed(texts, window, gram, True)
+
+    each = stored(standing.join(parsed, "r").select("digest", F.col("who").alias("own"), "n_words", "n_removed", "sha", "spans"))
+    joined = keys.join(each, "digest")
+    copy = (F.col("who") != F.col("own")) & (F.col("n_words") >= window)
+    return joined.select(
+        "who.id", F.col("n_words").cast("long").alias("n_words"),
+        F.when(copy, F.col("n_words")).otherwise(F.col("n_removed")).cast("long").alias("n_removed"),
+        F.when(copy, F.sha2(F.lit(b""), 256)).otherwise(F.col("sha")).alias("kept_sha256"),
+        F.when(~copy, F.col("spans")).alias("spans"),
+    )
+
+
+def _parsed(texts: DataFrame, window: int, gram: int, exact: bool) -> DataFrame:
+    """``r``, ``n_words``, ``n_removed``, ``sha``, ``spans`` and ``failed`` of every text."""
+    name = ["k", "k2", "words"] if exact else ["k", "k2"]
+    as_words = ", words array<binary>" if exact else ""
+    arrays = ["a", *name, "at", "n", "src"]
+
+    @pandas_udf(f"struct<n_words int, sha string, a array<long>, k array<long>, k2 array<long>, at array<int>, n array<int>, src array<int>{as_words}>")
+    def survey(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        for some in series:
+            split = [t.split() for t in some]
+            found = blocks_of(split, window, gram, hashes, exact)
+            found["src"] = earlier_in_text(found, ["text", *name])
+            ends = np.searchsorted(found["text"].to_numpy(), np.arange(len(split) + 1))
+            data = {"n_words": [len(w) for w in split], "sha": [hashlib.sha256(b" ".join(w)).hexdigest() for w in split]}
+            for c in ("a", "k", "k2", "at", "n", "src", *(["words"] if exact else [])):
+                whole = found[c].to_numpy()
+                data[c] = [whole[a:b] for a, b in zip(ends, ends[1:])]
+            yield pd.DataFrame(data)
+
+    facts = stored(texts.select("r", survey("text").alias("s")).select("r", "s.*"))
+    every = facts.select(*_exploded(arrays, "r")).select("r", "z.*")
+    blocks = every.where("src < 0").drop("src")
+    earliest = [F.min("r").alias("r0"), F.min_by("at", "r").alias("at0"), F.count(F.lit(1)).alias("copies")]
     # Each step is written before the next begins, so the shuffles of only one stand at a time.
-    shared = seen.groupBy("a").agg(F.min("t").alias("low"), F.max("t").alias("high"), F.max("twice").alias("twice")).where("low <> high OR twice = 1").select("a")
-    shared = stored(shared)
-    lists = facts.select("id", "t", F.explode("anchors").alias("a")).join(shared, "a").groupBy("id", "t").agg(F.collect_set("a").alias("shared"))
-    own = facts.select("id", "t", "size", "c").join(stands, ["t", "size", "c"]).where(F.col("id").eqNullSafe(F.col("stands"))).select("id", "t").distinct()
-    lists = lists.alias("l").join(own.alias("o"), (F.col("l.t") == F.col("o.t")) & F.col("l.id").eqNullSafe(F.col("o.id")), "left_semi")
-    lists = stored(lists)
-    both = rows.alias("r").join(lists.alias("l"), (F.col("r.t") == F.col("l.t")) & F.col("r.id").eqNullSafe(F.col("l.id")))
-    texts = stored(both.select("r.id", "r.t", "r.text", "l.shared").dropDuplicates(["id", "t"]))
-
-    id_type = docs.schema[id_col].dataType.simpleString()
-
-    def list_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        each = ((id_, t, arrays) for batch in batches for id_, t, text, near in batch.itertuples(index=False) for arrays in shared_blocks(text, near, window, gram))
-        return gathered(each, ["k", "k2", "a", "at", "n"])
-
-    columns = _bytes(texts).select("id", "t", "text", "shared")
-    blocks = stored(columns.mapInPandas(list_blocks, f"id {id_type}, t long, k long, k2 int, a long, at int, n int"))
-    place = F.struct("id", "t", "at")
-    # Written tables of one row per hash: Spark then splits the partition of a hot one in the join.
-    kinds = stored(blocks.groupBy("k", "k2").agg(F.min(place).alias("first")))
-    placed = blocks.join(kinds, ["k", "k2"]).withColumn("earliest", place.eqNullSafe(F.col("first")))
-    placed = stored(placed.select("id", "t", "a", "at", "n", "earliest"))
-    copied = placed.where("NOT earliest").select("id", "t", F.col("at").alias("lo"), (F.col("at") + F.col("n") - 1).alias("hi"))
-
-    # Factor boundaries: windows of the earliest blocks. Equal windows have equal anchors, so
-    # where an anchor has blocks of one kind only there is nothing to find.
-    earliest = placed.where("earliest")
-    varied = earliest.groupBy("a").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("a")
-    firsts = earliest.join(varied, "a", "left_semi").groupBy("id", "t").agg(F.collect_list(F.struct("at", "n")).alias("blocks"))
-    same = (F.col("x.t") == F.col("f.t")) & F.col("x.id").eqNullSafe(F.col("f.id"))
-    checked = _bytes(texts).alias("x").join(firsts.alias("f"), same).select(
-        "x.id", "x.t", "x.text", F.col("blocks.at").alias("ats"), F.col("blocks.n").alias("ns"))
+    kinds = stored(blocks.groupBy("a", *name).agg(*earliest, F.max("n").alias("n0")))
 
-    def list_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        each = (
-            (id_, t, arrays) for batch in batches for id_, t, text, ats, ns in batch.itertuples(index=False)
-            for arrays in windows_at(text, np.sort(np.repeat(ats, ns) + np.arange(ns.sum()) - np.repeat(np.cumsum(ns) - ns, ns)), window)
-        )
-        return gathered(each, ["w", "at"])
-
-    windows = stored(checked.mapInPandas(list_windows, f"id {id_type}, t long, w long, at int"))
-    kinds = stored(windows.groupBy("w").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies"))
-    late = windows.join(kinds, "w").where(~place.eqNullSafe(F.col("first"))).select("id", "t", F.col("at").alias("lo"), F.col("at").alias("hi"))
-    spans = copied.unionByName(late).groupBy("id", "t").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    found = texts.alias("x").join(spans.alias("f"), same).select("x.id", "x.t", "x.text", F.array_sort("spans").alias("spans"))
-    facts = facts.join(stands, ["t", "size", "c"]).select("id", "t", "n_words", "sha", "stands")
-    return facts, found
-
-
-def removal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, gram: int = 8) -> DataFrame:
-    """One row per row of ``docs``: ``id``, ``n_words``, ``n_removed``, ``kept_sha256`` and
-    ``spans`` (first and end word of each removed span; null for a copy of an earlier text)."""
-    facts, found = repeats(docs, id_col, text_col, window, gram)
+    # Equal windows have equal anchors, so where an anchor has blocks of one kind only, no windows
+    # need to be looked up one by one.
+    varied = stored(kinds.groupBy("a").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("a"))
+    firsts = kinds.join(varied, "a", "left_semi").groupBy(F.col("r0").alias("r")).agg(F.collect_list(F.struct("at0", "n0")).alias("b"))
 
-    @pandas_udf("struct<n_removed long, sha string, spans array<array<int>>>")
-    def cut_out(texts: pd.Series, los: pd.Series, his: pd.Series) -> pd.DataFrame:
+    def list_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        for batch in batches:
+            places = [np.sort(np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) for a, n in zip(batch["ats"], batch["ns"], strict=True)]
+            found = windows_of([t.split() for t in batch["text"]], places, window, hashes, exact)
+            found["src"] = earlier_in_text(found, ["text", *name])
+            found["r"] = batch["r"].to_numpy()[found["text"].to_numpy()]
+            yield found[["r", *name, "at", "src"]]
+
+    one_word = ", words binary" if exact else ""
+    looked = texts.join(firsts, "r").select("r", "text", F.col("b.at0").alias("ats"), F.col("b.n0").alias("ns"))
+    windows = stored(looked.mapInPandas(list_windows, f"r long, k long, k2 long{one_word}, at int, src int"))
+    first_windows = stored(windows.where("src < 0").groupBy(*name).agg(*earliest).where("copies > 1").drop("copies"))
+
+    whole = blocks.drop("a").join(kinds.where("copies > 1").select(*name, "r0", "at0"), name).where("r <> r0").select("r", "at", "n", "r0", "at0")
+    parts = windows.where("src < 0").join(first_windows, name).where("r <> r0").select("r", "at", F.lit(1).alias("n"), "r0", "at0")
+    within = every.where("src >= 0").select("r", "at", "n", F.col("r").alias("r0"), F.col("src").alias("at0"))
+    within_parts = windows.where("src >= 0").select("r", "at", F.lit(1).alias("n"), F.col("r").alias("r0"), F.col("src").alias("at0"))
+    pointers = whole.unionByName(parts).unionByName(within).unionByName(within_parts)
+    of_text = pointers.groupBy("r").agg(F.collect_list(F.struct("at", "n", "r0", "at0")).alias("p"))
+
+    def list_factors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [(r, *f) for r, at, n, source, place in batch.itertuples(index=False) for f in greedy_factors(at, n, source, place)]
+            yield pd.DataFrame(found, columns=["r", "at", "n", "r0", "at0"])
+
+    factors = stored(of_text.select("r", "p.at", "p.n", "p.r0", "p.at0").mapInPandas(list_factors, "r long, at int, n int, r0 long, at0 int"))
+
+    # Segments of source documents, each brought once however many factors copy it.
+    wanted = factors.where("r <> r0").select(F.col("r0").alias("r"), "at0", "n").distinct().groupBy("r").agg(F.collect_list(F.struct("at0", "n")).alias("c"))
+
+    def list_segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for r, text, ats, ns in batch.itertuples(index=False):
+                words = text.split()
+                found += [(r, at, n, b" ".join(words[at:at + n + 2 * window - 1])) for at, n in zip(ats.tolist(), ns.tolist(), strict=True)]
+            yield pd.DataFrame(found, columns=["r0", "at0", "n", "words"])
+
+    cut_from = texts.join(wanted, "r").select("r", "text", F.col("c.at0").alias("ats"), F.col("c.n").alias("ns"))
+    segments = stored(cut_from.mapInPandas(list_segments, "r0 long, at0 int, n int, words binary"))
+    # Factors within a document need no segment: their reference is its own words.
+    near = factors.where("r = r0").select("r", "at", "n", "at0", F.lit(None).cast("binary").alias("words"))
+    far = factors.where("r <> r0").join(segments, ["r0", "at0", "n"]).select("r", "at", "n", "at0", "words")
+    listed = far.unionByName(near).groupBy("r").agg(F.collect_list(F.struct("at", "n", "at0", "words")).alias("f"))
+
+    @pandas_udf("struct<n_removed long, sha string, spans array<array<int>>, failed long>")
+    def cut_out(texts: pd.Series, ats: pd.Series, ns: pd.Series, places: pd.Series, refs: pd.Series) -> pd.DataFrame:
         out = []
-        for text, lo, hi in zip(texts, los, his, strict=True):
+        for text, at, n, place, ref in zip(texts, ats, ns, places, refs, strict=True):
             words = text.split()
-            edge = np.zeros(len(words) + 1, np.int64)
-            np.add.at(edge, np.asarray(lo), 1)
-            np.add.at(edge, np.asarray(hi) + window, -1)
-            gone = np.cumsum(edge[:-1]) > 0
-            turns = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))
-            kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
-            out.append((int(gone.sum()), hashlib.sha256(kept).hexdigest(), turns.reshape(-1, 2).tolist()))
-        return pd.DataFrame(out, columns=["n_removed", "sha", "spans"])
-
-    done = found.select("id", "t", cut_out(F.col("text").cast("binary"), F.col("spans.lo"), F.col("spans.hi")).alias("r"))
-    same = (F.col("d.t") == F.col("g.t")) & F.col("d.id").eqNullSafe(F.col("g.id"))
-    joined = facts.alias("d").join(done.alias("g"), same, "left")
-    copy = ~F.col("d.id").eqNullSafe(F.col("stands")) & (F.col("n_words") >= window)
-    return joined.select(
-        "d.id", F.col("n_words").cast("long").alias("n_words"),
-        F.when(copy, F.col("n_words")).otherwise(F.coalesce("r.n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(copy, F.sha2(F.lit(b""), 256)).otherwise(F.coalesce("r.sha", "d.sha")).alias("kept_sha256"),
-        F.when(~copy, F.coalesce("r.spans", F.array().cast("array<array<int>>"))).alias("spans"),
-    )
+            given = [
+                (a, m, words[p:p + m + 2 * window - 1] if w is None else w.split(b" "))
+                for a, m, p, w in zip(at.tolist(), n.tolist(), place.tolist(), ref, strict=True)
+            ]
+            spans, failed = parse(words, given, window)
+            kept, upto = [], 0
+            for a, b in spans:
+                kept += words[upto:a]
+                upto = b
+            out.append((sum(b - a for a, b in spans), hashlib.sha256(b" ".join(kept + words[upto:])).hexdigest(), spans, failed))
+        return pd.DataFrame(out, columns=["n_removed", "sha", "spans", "failed"])
+
+    done = texts.join(listed, "r").select("r", cut_out("text", "f.at", "f.n", "f.at0", "f.words").alias("d")).select("r", "d.*")
+    both = facts.select("r", "n_words", F.col("sha").alias("whole")).join(done, "r", "left")
+    return stored(both.select(
+        "r", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("sha", "whole").alias("sha"),
+        F.coalesce("spans", F.array().cast("array<array<int>>")).alias("spans"), F.coalesce("failed", F.lit(0)).alias("failed"),
+    ))

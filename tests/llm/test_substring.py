@@ -43,7 +43,45 @@ def test_empty(none):
     assert substring.removal(none).count() == 0
 
 
-def test_hashes():
-    words = substring.Words([b"a", b"bc", b"a", b"bc", b"d"])
-    h = words.runs(substring.np.array([0, 2, 1]), substring.np.array([1, 3, 2]))
-    assert h[0] == h[1] != h[2]
+def test_names_collide(docs, monkeypatch):
+    """Names of four bits nominate nearly everything; only compared words go."""
+    monkeypatch.setattr(substring, "NAME_BITS", 4)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    want = slow(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")), 20)
+    for exact in (False, True):
+        found = substring.removal(docs, exact=exact).collect()
+        assert sorted((str(r["id"]), r["n_words"], r["n_removed"], r["kept_sha256"]) for r in found) == sorted((str(i), *want[i, t]) for i, t in rows)
+
+
+def test_thue_morse(spark):
+    """Sequences that collide under any polynomial modulo a power of two."""
+    one, other = "ab", "ba"
+    for _ in range(9):
+        one, other = one + other, other + one
+    head = " ".join(f"w{i}" for i in range(19))
+    words = [("a b" if c == "a" else "b a") for c in one[:64]]
+    swapped = [("a b" if c == "a" else "b a") for c in other[:64]]
+    rows = [(1, f"{head} {one}"), (2, f"{head} {other}"), (3, " ".join(words)), (4, " ".join(swapped))]
+    found = {r["id"]: r["n_removed"] for r in substring.removal(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = slow(rows, 20)
+    assert found == {i: want[i, t][1] for i, t in rows} and found[2] == 0
+
+
+def test_greedy_factors():
+    array = substring.np.array
+    # Two sources: the farther run first, the other from where it ends.
+    assert substring.greedy_factors(array([0, 3, 0, 2]), array([3, 4, 2, 8]), array([7, 7, 9, 5]), array([10, 13, 4, 1])) == [(0, 7, 7, 10), (7, 3, 5, 6)]
+    assert substring.greedy_factors(array([5, 5]), array([1, 1]), array([1, 1]), array([0, 0])) == [(5, 1, 1, 0)]
+
+
+def test_parse_goes_on_and_counts_failures():
+    words = [b"%d" % i for i in range(30)]
+    assert substring.parse(words, [(0, 2, words[:9]), (3, 1, words[3:8])], 5) == ([[0, 9]], 0)
+    assert substring.parse(words, [(0, 3, [*words[:6], b"x"])], 5) == ([[0, 6]], 1)
+    assert substring.parse(words, [(0, 1, [b"x"] * 5)], 5) == ([], 1)
+
+
+def test_leftmost_least():
+    values = substring.np.array([3, 1, 1, 2, 0, 5, 0], "uint64")
+    for width in (1, 2, 3, 5, 7):
+        assert substring.leftmost_least(values, width).tolist() == [i + int(values[i:i + width].argmin()) for i in range(8 - width)]
