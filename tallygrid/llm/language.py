@@ -6,13 +6,16 @@ the language whose codeword has the least weighted loss. A bit weighs for a lang
 classifier achieved on that language's training texts. A text whose two best codewords are close
 is flagged as ambiguous.
 
-Training uses a bounded sample: about ``sample_rows`` labelled rows in all, the same number of
-each language where it has them, chosen by a hash of the text. Features are made where the rows
-are, so the driver gets ``sample_rows`` vectors of ``FEATURES`` numbers and no text.
+Training uses a bounded sample: at most ``sample_rows`` different texts in all, the same number
+of each language where it has them, those with the least hashes. Copies of a text count once, so a
+text that fills a language's rows is one example of it, and no language that has a text with
+letters is left out. Features are made where the rows are, so the driver gets at most
+``sample_rows`` vectors of ``FEATURES`` numbers and no text.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0, and so is every text
 when no labelled row exists; with one language alone every other text is that language. Nulls
-in the label or the text keep a row out of training. Very long texts are counted in pieces and
+in the label or the text, and texts without letters, keep a row out of training; a text with
+two labels is an example of both. An empty table gives an empty result. Very long texts are counted in pieces and
 whole. Repeated rows get equal results. Extra columns travel unread.
 """
 
@@ -27,6 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.window import Window
 
 FEATURES = 4096
 #: Bytes counted at a time.
@@ -114,26 +118,33 @@ def train(x: np.ndarray, labels: Sequence[str], steps: int = 300, rate: float =
 
 
 def fit(docs: DataFrame, label_col: str = "lang", text_col: str = "text", sample_rows: int = 2000, languages_most: int = 500) -> LanguageModel:
-    """Train on a bounded sample of the labelled rows of ``docs``.
+    """Train on a bounded sample of the labelled texts of ``docs``.
 
-    ``languages_most`` bounds the labels; more raise an error rather than being dropped.
+    ``languages_most`` bounds the labels; more, or more than ``sample_rows``, raise an error rather
+    than being dropped.
     """
-    known = docs.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text")).where("label IS NOT NULL AND text IS NOT NULL")
-    per_label = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).limit(languages_most + 1).collect()}
-    if len(per_label) > languages_most:
-        raise ValueError(f"more than {languages_most} labels")
+    known = docs.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"))
+    known = known.where("label IS NOT NULL AND text IS NOT NULL").where(F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("text", F.lit("sample")))
+    most = min(languages_most, sample_rows)
+    per_label = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.approx_count_distinct("h").alias("n")).limit(most + 1).collect()}
+    if len(per_label) > most:
+        raise ValueError(f"more than {most} labels")
     if not per_label:
         return train(np.zeros((0, FEATURES)), [])
-    each = sample_rows / len(per_label)
-    rate = F.create_map(*[F.lit(v) for k, n in per_label.items() for v in (k, min(1.0, each / n))])
-    draw = F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    each = sample_rows // len(per_label)
+    # Twice as many are drawn by a threshold on the hash, whose copies combine before the shuffle;
+    # the window over them has a few thousand rows and sets the bound.
+    rate = F.create_map(*[F.lit(v) for k, n in per_label.items() for v in (k, min(1.0, (2 * each + 20) / max(n, 1)))])
+    draw = F.shiftrightunsigned("h", 34) / F.lit(float(1 << 30))
+    drawn = known.where(draw < rate[F.col("label")]).groupBy("label", "h").agg(F.first("text").alias("text"))
+    order = Window.partitionBy("label").orderBy("h")
+    chosen = drawn.withColumn("place", F.row_number().over(order)).where(F.col("place") <= each)
 
     @pandas_udf("binary")
     def vector(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: features(t).tobytes())
 
-    chosen = known.where(draw < rate[F.col("label")]).where(F.col("text").rlike(r"\p{L}"))
-    sample = chosen.select("label", vector("text").alias("x"), F.xxhash64("text").alias("h")).toPandas().sort_values(["label", "h"])
+    sample = chosen.select("label", vector("text").alias("x"), "h").toPandas().sort_values(["label", "h"])
     x = np.frombuffer(b"".join(sample["x"]), np.float32).reshape(-1, FEATURES)
     return train(x, sample["label"].tolist())
 

@@ -57,3 +57,16 @@ def test_edges(docs, none):
     assert {r["found"]["lang"] for r in language.identify(docs, single).collect()} == {"xx", "und"}
     with pytest.raises(ValueError):
         language.fit(docs, languages_most=1)
+
+
+def test_hot_texts_do_not_fill_the_sample(spark, monkeypatch):
+    """A language whose rows are copies of one text keeps it, and the driver's rows stay bounded."""
+    rows = [("a", "immer der gleiche Satz hier")] * 6000 + [(k, f"{w} {i} {w * 2} {chr(97 + i % 26) * 3}") for i in range(3000) for k, w in (("b", "the words of"), ("c", "las palabras"))]
+    rows += [("d", "123"), ("d", None), (None, "no label")]
+    seen = []
+    monkeypatch.setattr(language, "train", lambda x, labels, **kw: seen.append((len(x), sorted(set(labels)), labels.count("a"))))
+    frame = spark.createDataFrame(rows, "lang string, text string").repartition(4)
+    language.fit(frame, sample_rows=600)
+    assert seen == [(401, ["a", "b", "c"], 1)]
+    with pytest.raises(ValueError):
+        language.fit(frame, sample_rows=2)
