@@ -6,12 +6,11 @@ their cap (water filling). Within a source every document expects ``target / sou
 copies. The expected copies are prefix-summed over the source's documents, one random offset
 is added, and a document is emitted once for every integer boundary its interval crosses.
 
-Documents stand in an order of their sizes: ascending, which makes the sample stratified by size,
-so that a source misses its target by little more than its largest document, or one of a few
-orders by a hash of the size. The offset is a random number shifted by one of ``shifts`` even
-steps. Of these candidates, which are all systematic samples, the one is taken that brings the
-source's words nearest its target; a histogram over sizes tells which. In a large source any
-candidate is near, in a small one the choice matters.
+Documents stand in ascending order of their sizes, which makes the sample stratified by size: the
+sums over neighbouring strata differ by no more than their sizes do, so a source misses its target
+by little more than its largest document holds. Expected copies are the same for all documents of
+a source and the offset is drawn once, from a hash of the seed and the source's name, whatever the
+outcome: every document's chance is what its expected copies say.
 
 The prefix sum never gathers a source in one task: a document's place is the number of
 documents of sizes that come earlier (from a histogram over sizes), plus those of equal size in
@@ -72,8 +71,6 @@ def systematic_copies(
     weights: Sequence[float] = (5, 2, 1),
     cap: float = 3.0,
     seed: str = "",
-    shifts: int = 16,
-    orders: int = 4,
 ) -> DataFrame:
     """One row per document: ``row`` (struct of all its columns), ``source``, ``size``,
     ``source_size``, ``target`` and ``copies``, the times the mix takes it."""
@@ -90,11 +87,10 @@ def systematic_copies(
     sources = by_size.groupBy("s").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
     targets = water_fill(sources.select(F.col("s.name").alias("source"), "source_size"), weights, cap)
     targets = targets.select(F.struct(F.col("source").alias("name")).alias("s"), "source_size", "target")
-    turned = F.when(F.col("o") == 0, "").otherwise(F.md5(F.concat_ws(":", F.col("o").cast("string"), F.col("size").cast("string")).cast("binary")))
-    by_size = by_size.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(orders - 1)))).withColumn("turned", turned)
-    sooner = Window.partitionBy("s", "o").orderBy("turned", "size").rowsBetween(Window.unboundedPreceding, -1)
-    by_size = by_size.select("s", "size", "o", "n", F.coalesce(F.sum("n").over(sooner), F.lit(0)).alias("sooner")).join(targets, "s")
-    by_size = by_size.join(_chosen(by_size, seed, shifts), ["s", "o"]).drop("n", "o")
+    name = F.concat(F.lit(seed), F.coalesce(F.concat(F.lit("="), F.col("s.name")), F.lit("")))
+    offset = F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    sooner = Window.partitionBy("s").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    by_size = by_size.select("s", "size", F.coalesce(F.sum("n").over(sooner), F.lit(0)).alias("sooner")).join(targets.withColumn("u", offset), "s")
     earlier = Window.partitionBy("s", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select("s", "size", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("earlier")).join(by_size, ["s", "size"])
 
@@ -112,18 +108,6 @@ def _crossings(low: Column, high: Column, offset: Column) -> Column:
     return (F.floor(rate * high + offset) - F.floor(rate * low + offset)).cast("long")
 
 
-def _chosen(by_size: DataFrame, seed: str, shifts: int) -> DataFrame:
-    """The order ``o`` and the offset ``u`` in [0, 1) of each source ``s``, the same in every run."""
-    name = F.concat(F.lit(seed), F.coalesce(F.concat(F.lit("="), F.col("s.name")), F.lit("")))
-    drawn = F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    shifted = drawn + F.col("k") / F.lit(float(shifts))
-    tried = by_size.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(shifts - 1)))).withColumn("u", shifted - F.floor(shifted))
-    taken = F.sum(F.col("size") * _crossings(F.col("sooner"), F.col("sooner") + F.col("n"), F.col("u")))
-    sums = tried.groupBy("s", "o", "k").agg(taken.alias("taken"), F.first("u").alias("u"), F.first("target").alias("target"))
-    best = F.min_by(F.struct("o", "u"), F.struct(F.abs(F.col("taken") - F.col("target")), F.col("o"), F.col("k")))
-    return sums.groupBy("s").agg(best.alias("best")).select("s", "best.o", "best.u")
-
-
 def mix(docs: DataFrame, **kwargs) -> DataFrame:
     """The mixed documents themselves: each row of ``docs`` as often as the mix takes it."""
     taken = systematic_copies(docs, **kwargs).where("copies > 0")

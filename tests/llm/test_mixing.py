@@ -48,18 +48,14 @@ def test_copies(docs):
         u = int(hashlib.md5(name.encode()).hexdigest()[:8], 16) / 2**32
         rate = rows[0]["target"] / rows[0]["source_size"] if rows[0]["source_size"] else 0
         ids = lambda r: "" if r["row"]["doc_id"] is None else str(r["row"]["doc_id"])
-        tries = []
-        for order in range(4):
-            rows.sort(key=lambda r: ("" if order == 0 else hashlib.md5(f"{order}:{r['size']}".encode()).hexdigest(), r["size"], hashlib.md5(ids(r).encode()).hexdigest()))
-            for shift in range(16):
-                v = (u + shift / 16) % 1
-                copies = [floor(rate * k + v) - floor(rate * (k - 1) + v) for k in range(1, len(rows) + 1)]
-                taken = sum(c * r["size"] for c, r in zip(copies, rows, strict=True))
-                tries.append((abs(taken - rows[0]["target"]), order, shift, taken, copies))
-        want = min(tries)[4]
+        rows.sort(key=lambda r: (r["size"], hashlib.md5(ids(r).encode()).hexdigest()))
+        want = [floor(rate * k + u) - floor(rate * (k - 1) + u) for k in range(1, len(rows) + 1)]
         taken = sum(r["size"] * r["copies"] for r in rows)
-        assert (sum(want), min(tries)[3]) == (sum(r["copies"] for r in rows), taken)
-        assert abs(taken - rows[0]["target"]) <= 3 * max(r["size"] for r in rows) and max(r["copies"] for r in rows) <= 3
+        # Rows with equal size and id stand in any order.
+        groups = sorted((r["size"], ids(r), r["copies"]) for r in rows)
+        assert groups == sorted((r["size"], ids(r), c) for r, c in zip(rows, want, strict=True))
+        # In the order of sizes a source misses its target by little more than its largest document.
+        assert abs(taken - rows[0]["target"]) <= 2 * max(r["size"] for r in rows) and max(r["copies"] for r in rows) <= 3
     assert sorted(map(str, found)) == sorted(map(str, mixing.systematic_copies(docs.repartition(3)).collect()))
 
 
