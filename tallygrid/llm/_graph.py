@@ -9,11 +9,11 @@ from tallygrid.llm._common import cut
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One step. Minima combine before the shuffle; a hub's edges meet one row in the join,
-    so Spark may split them."""
+    """One step. Minima combine before the shuffle and are written, a row per node: a hub's edges
+    meet one row in a join of their own, which Spark splits."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = both if large else both.where("b < a")
-    least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    least = cut(near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
     linked = (both.where("b > a") if large else near).join(least, "a")
     moved = linked.select(F.col("b").alias("a"), F.col("m").alias("b"))
     if not large:

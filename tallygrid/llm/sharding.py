@@ -4,15 +4,17 @@ Shards are balanced in bytes, tokens and rows together. Items are placed largest
 in the shard where the dot product of its vector with the shard's residual capacity is
 highest.
 
-What is packed is bounded whatever the input: documents with equal texts form a group, and
-groups hash into ``cells`` cells, which are the items. A group that is heavier than
-``whole_share`` of a shard in any dimension is no part of a cell: it is cut by a hash of the
-document ids into pieces of at most half that weight, which are items too. At most
-``3 * shards / whole_share`` groups can be that heavy, so the driver sees a few thousand rows
-of sums and no document, and the tables broadcast have the same bound.
+Documents with equal texts form a group. A group that weighs more than ``single_share`` of a shard
+in any dimension is placed by its own vector; at most ``3 * shards / single_share`` groups can be
+that heavy, so the driver sees some ten thousand rows of sums, whatever the input, and no
+document. The groups below that weight, whose number grows with the input, hash into ``cells``
+cells, which are placed like groups. A group heavier than ``whole_share`` of a shard fits nowhere
+in balance: it is cut by a hash of the document ids into pieces of at most half that weight. The
+tables broadcast have the same bounds.
 
 Within a shard the slot is the number of documents in earlier (cell, bucket) pairs plus the row
-number within the pair; a pair holds about one row in ``cells * buckets``.
+number within the pair; a cell has ``buckets`` pairs, and a single group one more for each
+``1 / buckets`` of the weight at which groups are cut.
 
 Edge cases: a null text counts no bytes and no tokens; null ids and repeated rows are placed
 like any other row; equal texts stay in one shard unless their group is heavier than
@@ -60,6 +62,7 @@ def shard(
     cells: int = 4096,
     buckets: int = 16,
     whole_share: float = 0.5,
+    single_share: float = 1 / 256,
     tokens: Column | None = None,
     columns: Sequence[str] | None = None,
 ) -> DataFrame:
@@ -78,19 +81,20 @@ def shard(
     total = facts.agg(*sums).first()
     limits = {c: max(1.0, whole_share * (total[c] or 0) / shards) for c in DIMENSIONS}
     excess = F.greatest(*[F.col(c) / F.lit(limits[c]) for c in DIMENSIONS])
-    heavy = facts.groupBy("g").agg(*sums).where((excess > 1) & (F.col("rows") > 1))
-    # At most 3 * shards / whole_share rows, since each has that share of some dimension.
-    heavy_rows = heavy.select("g", F.ceil(2 * excess).cast("long").alias("pieces")).orderBy("g").collect()
-    first, pieces = cells, []
-    for r in heavy_rows:
-        pieces.append((r["g"], r["pieces"], first))
+    heavy = facts.groupBy("g").agg(*sums).withColumn("excess", excess).where(F.col("excess") > single_share / whole_share)
+    # At most 3 * shards / single_share rows, since each has that share of some dimension.
+    n_pieces = F.when((F.col("excess") > 1) & (F.col("rows") > 1), F.ceil(2 * F.col("excess"))).otherwise(1)
+    n_buckets = 1 + F.floor(F.least(F.col("excess"), F.lit(1.0)) * buckets)
+    first, single = cells, []
+    for r in heavy.select("g", n_pieces.cast("long").alias("pieces"), n_buckets.cast("long").alias("buckets")).orderBy("g").collect():
+        single.append((r["g"], r["pieces"], first, r["buckets"]))
         first += r["pieces"]
-    split = F.broadcast(spark.createDataFrame(pieces, "g long, pieces long, first long"))
+    split = F.broadcast(spark.createDataFrame(single, "g long, pieces long, first long, buckets long"))
 
     def celled(df: DataFrame) -> DataFrame:
         cell = F.coalesce(F.col("first") + F.pmod(F.col("h"), F.col("pieces")), F.pmod(F.col("g"), F.lit(cells)))
         return df.join(split, "g", "left").withColumn("cell", cell).withColumn(
-            "bucket", F.pmod(F.xxhash64("h", F.lit("slot")), F.lit(buckets))
+            "bucket", F.pmod(F.xxhash64("h", F.lit("slot")), F.coalesce("buckets", F.lit(buckets)))
         )
 
     # One row per (cell, bucket): its number is bounded by the parameters.

@@ -60,3 +60,21 @@ def test_query(spark):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").limit(50).collect()}
     assert all(r["text_crc32"] == zlib.crc32(docs[r["doc_id"]].encode()) for r in rows if r["doc_id"] in docs)
     assert {r["law"] for r in rows} == {"bytes"} and {r["grown_shard"] for r in rows} == {None}
+
+
+def test_each_group_is_placed_by_its_own_vector(spark, docs):
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("g"))
+    found = sharding.shard(rows, shards=4, single_share=1e-9, whole_share=10.0).select("row.g", "row.text", "shard").collect()
+    sums, homes = defaultdict(lambda: np.zeros(3)), {}
+    for r in found:
+        sums[r["g"]] += [len((r["text"] or "").encode()) + 8, len((r["text"] or "").encode().split()), 1]
+        assert homes.setdefault(r["g"], r["shard"]) == r["shard"]
+    order = sorted(sums)
+    # Greedy by hand: largest first, each where the product with what is left is highest.
+    fair = sum(sums.values()) / 4
+    vectors = {g: sums[g] / fair for g in order}
+    left, want = [np.ones(3) for _ in range(4)], {}
+    for g in sorted(order, key=lambda g: (-vectors[g].max(), g)):
+        want[g] = max(range(4), key=lambda b: (left[b] @ vectors[g], -b))
+        left[want[g]] = left[want[g]] - vectors[g]
+    assert homes == want
