@@ -40,3 +40,38 @@ def test_batches_add_up(spark, docs, none, tmp_path):
     assert exact_dedup.exact_dedup(none).count() == 0
     with pytest.raises(ValueError):
         exact_dedup.DigestIndex(spark, keep="any")
+
+
+def test_levels(spark, docs, tmp_path):
+    """Flushes fill the levels; runs are sorted, and all levels together hold every row."""
+    rows = docs.select(F.col("doc_id").alias("id"), exact_dedup.sha256(F.coalesce("text", F.lit(""))).alias("digest"))
+    index = exact_dedup.DigestIndex(spark, str(tmp_path), "max", fanout=2, memtable_rows=7)
+    for k in range(11):
+        index.flush(rows.where(F.pmod(F.coalesce("id", F.lit(0)), F.lit(11)) == k))
+        assert all(len(level) < 2 for level in index.levels)
+    assert [len(level) for level in index.levels] == [1, 1, 0, 1]  # eleven in binary
+    for level in index.levels[1:]:
+        for path in level:
+            merged = [bytes(r["digest"]) for r in spark.read.parquet(path).collect()]
+            assert len(set(merged)) == len(merged)
+            for part in spark.read.parquet(path).select("digest", F.input_file_name().alias("f")).groupBy("f").agg(F.collect_list("digest").alias("d")).collect():
+                assert list(part["d"]) == sorted(part["d"])
+    whole = {bytes(r["digest"]): (r["keep_id"], r["n"]) for r in rows.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count("*").alias("n")).collect()}
+    assert {bytes(r["digest"]): (r["keep_id"], r["n"]) for r in index.compact().collect()} == whole
+    assert sum(map(len, index.levels)) == 1
+
+
+def test_sorted_run():
+    pa = exact_dedup.pa
+    batch = pa.record_batch({"digest": [b"b", b"a", b"b", b"a", b"c"], "id": pa.array([3, None, 5, 4, None], "int64"), "n": pa.array([1, 1, 2, 1, 1], "int64")})
+    for keep, ids in (("min", [4, 3, None]), ("max", [4, 5, None])):
+        assert exact_dedup.sorted_run([batch], keep).to_pydict() == {"digest": [b"a", b"b", b"c"], "id": ids, "n": [2, 3, 1]}
+
+
+@pytest.mark.parametrize("bits", [1 << 15, 1 << 18, 1 << 27])
+def test_filter(spark, monkeypatch, bits):
+    monkeypatch.setattr(exact_dedup, "FILTER_BITS", bits)
+    rows = spark.range(4000).select("id", exact_dedup.sha256(F.col("id").cast("string")).alias("digest"))
+    found = exact_dedup.DigestFilter(rows.where("id % 2 = 0").select("digest")).probe(rows)
+    assert found.where("id % 2 = 0 AND NOT maybe").count() == 0
+    assert found.where("id % 2 = 1 AND maybe").count() < (400 if bits == 1 << 15 else 100)
