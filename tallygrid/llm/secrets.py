@@ -4,19 +4,31 @@
 The texts between the matches of a pattern and the matches themselves give every position.
 
 **Randomness battery.** Every run of at least ``shortest`` characters of the base64 alphabets
-that has a letter and a digit is a candidate. Its encoding is inferred (hexadecimal, base32,
-base36 or base64) and three tests ask whether it could be a random string of that encoding:
+that has a letter and a digit is a candidate. Its encoding is inferred (the narrowest of
+hexadecimal, base32, base36, base58, base62 and base64 that has all its characters) and three tests
+ask whether it could be a random string of that encoding:
 
 * chi-squared: are the symbols uniform over the alphabet (exact mean and variance of the
   statistic, Wilson-Hilferty tail);
 * runs: do symbols of the alphabet's upper and lower half alternate as chance has it;
 * serial correlation of neighbouring symbols.
 
-The least of the three p-values, times three, is the candidate's. Few symbols have little power
-against structure, so false discoveries are controlled within classes of length: in each class
-a Benjamini-Hochberg step at level ``q`` settles which candidates are too regular to be random.
-The others, if they carry at least ``least_bits`` bits, are reported as ``random``. The step
-works on counts per class and p-value bucket, of which there are a bounded number.
+The least of the three p-values, times three, is the candidate's.
+
+**False-discovery control** works within classes of length, since few symbols have little power,
+on both sides:
+
+* A Benjamini-Hochberg step at level ``q_regular`` settles which candidates the battery finds too
+  regular to be random, so that hardly any random string is lost.
+* What is left is reported only if it is no name. The null hypothesis is a text of words and
+  numbers: letters by their frequency, and a change between lower case, upper case, digits and
+  signs at the most favourable of a few rates. The likelihood of the random encoding over that of
+  the text is an e-value: under the null its mean is 1 at most. The step-up procedure on e-values
+  at level ``q`` then bounds the expected share of names among what is reported, whatever the
+  dependence between candidates.
+
+Both steps work on counts per class and bucket, of which there are a bounded number. Reported
+candidates of at least ``least_bits`` bits are of the kind ``random``.
 
 Everything is DataFrame functions. Texts are scanned where they are read; only spans are
 shuffled.
@@ -29,6 +41,7 @@ points, the end exclusive; other columns are never read.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import log2
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,11 +60,23 @@ ENCODINGS = (
     ("HEX", r"^[0-9A-F]+$", DIGITS + UPPER[:6]),
     ("base32", r"^[A-Z2-7]+$", UPPER + DIGITS[2:8]),
     ("base36", r"^[a-z0-9]+$", DIGITS + LOWER),
+    ("BASE36", r"^[A-Z0-9]+$", DIGITS + UPPER),
+    ("base58", r"^[1-9A-HJ-NP-Za-km-z]+$", DIGITS[1:] + UPPER.replace("I", "").replace("O", "") + LOWER.replace("l", "")),
+    ("base62", r"^[A-Za-z0-9]+$", DIGITS + UPPER + LOWER),
     ("base64", r"^[A-Za-z0-9+/]+$", UPPER + LOWER + DIGITS + "+/"),
     ("base64url", r"^[A-Za-z0-9_-]+$", UPPER + LOWER + DIGITS + "-_"),
 )
+SIGNS = "+/-_"
+#: Per cent of each letter, a to z, in English text: fixed values.
+LETTER_SHARES = (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.77, 4.0, 2.4, 6.7, 7.5, 1.9, 0.095, 6.0, 6.3, 9.1, 2.8, 0.98, 2.4, 0.15, 2.0, 0.074)
+#: Bits of each character of LOWER + DIGITS + SIGNS within its kind.
+TEXT_BITS = (*(-log2(p / sum(LETTER_SHARES)) for p in LETTER_SHARES), *[log2(10)] * 10, *[log2(4)] * 4)
+#: Chances that the next character of a text is of the same kind.
+SAME_KIND = (0.6, 0.75, 0.9)
 #: p-values fall into buckets of a tenth of a decade, the last of which holds all the rest.
 BUCKETS, PER_DECADE = 300, 10
+#: e-values fall into buckets of a bit, up to so many.
+MOST_BITS = 1000
 
 
 def spans(rows: DataFrame, kinds: Sequence[tuple[str, str, int, int]]) -> DataFrame:
@@ -100,7 +125,8 @@ def neighbours(values: str, join) -> Column:
 
 
 def randomness(tokens: DataFrame, token: str) -> DataFrame:
-    """``tokens`` of a known encoding with ``r``: ``encoding``, ``n``, ``bits`` and ``p``."""
+    """``tokens`` of a known encoding with ``r``: ``encoding``, ``n``, ``bits``, ``p`` and ``gain``
+    (bits by which the random encoding describes it better than a text does)."""
     kind = F.lit(None)
     for name, test, alphabet in reversed(ENCODINGS):
         kind = F.when(F.col("_core").rlike(test), F.struct(F.lit(name).alias("name"), F.lit(alphabet).alias("alphabet"), F.lit(float(len(alphabet))).alias("k"))).otherwise(kind)
@@ -109,12 +135,19 @@ def randomness(tokens: DataFrame, token: str) -> DataFrame:
     t = tokens.withColumn("_core", F.regexp_replace(token, "=+$", "")).withColumn("_e", kind).where("_e IS NOT NULL")
     t = t.select(*names, "_core", "_e.*", F.length("_core").cast("double").alias("n"))
     t = t.withColumn("x", F.transform(F.split("_core", ""), lambda c: F.instr(F.col("alphabet"), c).cast("double") - 1))
+    kinds = F.translate("_core", DIGITS + LOWER + UPPER + SIGNS, "0" * 10 + "a" * 26 + "A" * 26 + "-" * 4)
+    changes = (F.length(F.regexp_replace(kinds, r"(.)\1+", "$1")) - 1).cast("double")
+    costs = F.array(*[F.lit(b) for b in TEXT_BITS])
+    letters = total(F.transform(F.split(F.lower("_core"), ""), lambda c: F.get(costs, F.instr(F.lit(LOWER + DIGITS + SIGNS), c) - 1)))
+    t = t.withColumn("changes", changes).withColumn("letters", letters)
+    order = F.least(*[-(F.col("n") - 1 - F.col("changes")) * log2(s) - F.col("changes") * log2((1 - s) / 3) for s in SAME_KIND])
+    t = t.withColumn("gain", 2 + F.col("letters") + order - F.col("n") * F.log2("k"))
     t = t.withColumn("counts", F.transform(F.split("alphabet", ""), lambda c: F.col("n") - F.length(F.replace(F.col("_core"), c, F.lit("")))))
     t = t.withColumn("high", F.transform("x", lambda v: F.when(v >= F.col("k") / 2, 1.0).otherwise(0.0))).withColumn("mean", total(F.col("x")) / F.col("n"))
     t = t.withColumn("apart", F.transform("x", lambda v: v - F.col("mean"))).withColumn("ups", total(F.col("high")))
     n, k = F.col("n"), F.col("k")
     t = t.select(
-        *names, "name", "n", "k", total(F.transform("counts", lambda c: c * c)).alias("square"), (2 * F.col("ups") * (n - F.col("ups"))).alias("both"),
+        *names, "name", "n", "k", "gain", total(F.transform("counts", lambda c: c * c)).alias("square"), (2 * F.col("ups") * (n - F.col("ups"))).alias("both"),
         total(neighbours("high", lambda a, b: F.abs(a - b))).alias("turns"), total(F.transform("apart", lambda v: v * v)).alias("energy"), total(neighbours("apart", lambda a, b: a * b)).alias("lagged"),
     )
     # Chi-squared, brought to the usual variance, by Wilson and Hilferty.
@@ -124,7 +157,7 @@ def randomness(tokens: DataFrame, token: str) -> DataFrame:
     t = t.withColumn("z_chi", chi).withColumn("z_runs", F.when(spread > 0, F.abs(F.try_divide(F.col("turns") - F.col("both") / n, F.sqrt(F.greatest(spread, F.lit(0.0)))))))
     t = t.withColumn("z_serial", F.when(F.col("energy") > 0, F.abs((F.try_divide(F.col("lagged"), F.col("energy")) + 1 / n) * F.sqrt(n))))
     least = F.least(normal_tail(F.col("z_chi")), *[F.coalesce(2 * normal_tail(F.col(z)), F.lit(0.0)) for z in ("z_runs", "z_serial")])
-    return t.select(*names, F.struct(F.col("name").alias("encoding"), n.cast("int").alias("n"), (n * F.log2(k)).alias("bits"), F.least(F.lit(1.0), 3 * least).alias("p")).alias("r"))
+    return t.select(*names, F.struct(F.col("name").alias("encoding"), n.cast("int").alias("n"), (n * F.log2(k)).alias("bits"), F.least(F.lit(1.0), 3 * least).alias("p"), "gain").alias("r"))
 
 
 def too_regular(tested: DataFrame, q: float) -> DataFrame:
@@ -136,8 +169,17 @@ def too_regular(tested: DataFrame, q: float) -> DataFrame:
     return stepped.where(passes).groupBy("c").agg(F.min("b").alias("cutoff"))
 
 
+def no_text(tested: DataFrame, q: float) -> DataFrame:
+    """Per length class (``c``) the least bucket of bits (``enough``) whose e-values are discoveries."""
+    counts = tested.groupBy("c", "e").agg(F.count(F.lit(1)).alias("n"))
+    onward = Window.partitionBy("c").orderBy(F.desc("e")).rowsBetween(Window.unboundedPreceding, 0)
+    stepped = counts.select("c", "e", F.sum("n").over(onward).alias("k"), F.sum("n").over(Window.partitionBy("c")).alias("m"))
+    return stepped.where(F.col("e") >= F.log2(F.col("m") / (q * F.col("k")))).groupBy("c").agg(F.min("e").alias("enough"))
+
+
 def scan(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = 20, least_bits: float = 80.0, q: float = 0.05,
+    q_regular: float = 0.01,
 ) -> DataFrame:
     """One row per row of ``docs``: ``id`` and ``found``, its spans in order (structs ``start``,
     ``rank``, ``kind``, ``end``, ``encoding``, ``p``)."""
@@ -149,9 +191,11 @@ def scan(
 
     tested = randomness(every.where(F.col("kind") == RANDOM), "match")
     bucket = F.least(F.lit(BUCKETS), F.floor(-F.log10(F.greatest("r.p", F.lit(1e-300))) * PER_DECADE)).cast("int")
-    tested = stored(tested.select(*place, "r", F.floor(F.log2("r.n")).cast("int").alias("c"), F.greatest(bucket, F.lit(0)).alias("b")))
+    gain = F.floor(F.least(F.greatest("r.gain", F.lit(-1.0)), F.lit(float(MOST_BITS)))).cast("int")
+    tested = stored(tested.select(*place, "r", F.floor(F.log2("r.n")).cast("int").alias("c"), F.greatest(bucket, F.lit(0)).alias("b"), gain.alias("e")))
     # At most one row per power of two of a length: small enough to broadcast.
-    left = tested.join(F.broadcast(too_regular(tested, q)), "c", "left").where(F.col("cutoff").isNull() | (F.col("b") < F.col("cutoff")))
+    left = tested.join(F.broadcast(too_regular(tested, q_regular)), "c", "left").join(F.broadcast(no_text(tested, q)), "c", "left")
+    left = left.where((F.col("cutoff").isNull() | (F.col("b") < F.col("cutoff"))) & (F.col("e") >= F.col("enough")))
     random = left.where(F.col("r.bits") >= least_bits).select(*place, "r.encoding", "r.p")
     every = base.unionByName(random)
     own = Window.partitionBy("id", "h").orderBy("start", "rank")

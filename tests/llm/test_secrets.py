@@ -1,6 +1,7 @@
 """Base spans against Python's patterns, and the battery on random and regular strings."""
 
 import base64
+import math
 import random
 import re
 
@@ -66,3 +67,75 @@ def test_random_values_after_an_equals_sign(spark):
 
 def test_empty(none):
     assert secrets.scan(none).count() == 0
+
+
+WORDS = "get set user account balance customer order invoice payment gateway session manager factory builder service client request response handler listener adapter provider database connection pool buffer stream reader writer parser token index value total count email address street number update delete create fetch remote local cache config option default version".split()
+ALPHABETS = {
+    "hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
+    "BASE36": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "base58": "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz",
+    "base62": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+    "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
+}
+
+
+def test_recall_and_names(spark):
+    """Random keys of every encoding are found, invented identifiers are not."""
+    rng = random.Random(21)
+    rows, kind = [], {}
+    for name, alphabet in ALPHABETS.items():
+        for _ in range(200):
+            kind[len(rows)] = name
+            rows.append((len(rows), "key " + "".join(rng.choices(alphabet, k=rng.randint(32, 64))) + " end"))
+    for _ in range(1500):
+        words = rng.choices(WORDS, k=rng.randint(4, 8))
+        number = str(rng.randint(1, 99))
+        for name, joined in (("camel", words[0] + "".join(w.title() for w in words[1:]) + number), ("snake", "_".join([*words, number])), ("kebab", "-".join([*words[:2], number, *words[2:]]))):
+            kind[len(rows)] = name
+            rows.append((len(rows), f"call {joined} now"))
+    found = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    share = {}
+    for name in {*kind.values()}:
+        mine = [any(s["kind"] in ("random", "hex") for s in r["found"]) for r in found if kind[r["id"]] == name]
+        share[name] = sum(mine) / len(mine)
+    assert all(share[name] >= 0.95 for name in ALPHABETS), share
+    assert all(share[name] < 0.02 for name in ("camel", "snake", "kebab")), share
+
+
+def tail(z):
+    return math.erfc(z / math.sqrt(2)) / 2
+
+
+def slow_battery(token):
+    core = token.rstrip("=")
+    name = next(n for n, _, a in secrets.ENCODINGS if set(core) <= set(a))
+    alphabet = next(a for n, _, a in secrets.ENCODINGS if n == name)
+    n, k, x = len(core), len(alphabet), [alphabet.index(c) for c in core]
+    counts = [core.count(c) for c in alphabet]
+    chi = sum((c - n / k) ** 2 / (n / k) for c in counts)
+    chi = (chi - (k - 1)) / math.sqrt((n - 1) / n) + k - 1
+    z = ((max(chi, 0) / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1)))
+    ps = [tail(z)]
+    high = [v >= k / 2 for v in x]
+    both = 2 * sum(high) * (n - sum(high))
+    spread = both * (both - n) / (n * n * (n - 1))
+    ps.append(2 * tail(abs(sum(a != b for a, b in zip(high, high[1:])) - both / n) / math.sqrt(spread)) if spread > 0 else 0)
+    mean = sum(x) / n
+    energy = sum((v - mean) ** 2 for v in x)
+    ps.append(2 * tail(abs(sum((a - mean) * (b - mean) for a, b in zip(x, x[1:])) / energy + 1 / n) * math.sqrt(n)) if energy else 0)
+    kinds = ["0" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else "-" for c in core]
+    changes = sum(a != b for a, b in zip(kinds, kinds[1:]))
+    shares = dict(zip("abcdefghijklmnopqrstuvwxyz", secrets.LETTER_SHARES))
+    text = 2 + sum(-math.log2(shares[c.lower()] / sum(shares.values())) if c.isalpha() else math.log2(10) if c.isdigit() else 2 for c in core)
+    text += min(-(n - 1 - changes) * math.log2(s) - changes * math.log2((1 - s) / 3) for s in (0.6, 0.75, 0.9))
+    return name, min(1, 3 * min(ps)), text - n * math.log2(k)
+
+
+def test_battery_by_hand(spark):
+    rng = random.Random(4)
+    tokens = ["".join(rng.choices(a, k=rng.randint(20, 80))) for a in ALPHABETS.values() for _ in range(20)]
+    tokens += ["getUserAccount2" * 2, "aaaaaaaaaaaaaaaaaaaa1", "some_long_name_of_thing_2", "ab12" * 9 + "=="]
+    found = secrets.randomness(spark.createDataFrame([(t,) for t in tokens], "match string"), "match").collect()
+    assert len(found) == len(tokens)
+    for r in found:
+        name, p, gain = slow_battery(r["match"])
+        assert r["r"]["encoding"] == name and r["r"]["p"] == pytest.approx(p, abs=2e-6) and r["r"]["gain"] == pytest.approx(gain, abs=1e-6)
