@@ -5,22 +5,25 @@ root-to-leaf tag path. Per path the text length and the punctuation are summed o
 and divided by their number; both ratios are smoothed along the page with a Gaussian, averaged
 per path again and fused by multiplication. Paths whose fused ratio reaches a share of the
 spread over the page are content paths. The content root is the deepest element that holds
-nearly all text of content paths, or the article or main element around it; the result is every
-block below it (so that short paragraphs and headings come along), and beside it the other blocks
-of content paths and the headings and paragraphs around it, that is not page furniture:
-menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments. What
-is furniture by a class or id only, but holds most of a page's text, is taken for a wrapper.
+nearly all text of content paths, within the main or article element if one holds most of it; the
+result is every block below it (so that short paragraphs and headings come along), and beside it,
+as far as that main or article element reaches, the other blocks of content paths and the headings
+and paragraphs around it. What is page furniture is left out: menus, headers, footers, sidebars,
+notices, adverts, forms, scripts, styles, reader comments. Headings are furniture by no name, and
+paragraphs only by that of an advert. What is furniture by a class or id only, but holds most of a
+page's text, is taken for a wrapper, and what it wraps is judged anew, however deep.
 
 Character references are decoded, white space within a block becomes one space, blocks are
 trimmed and joined by a line feed in page order.
 
 Edge cases: null, empty and textless pages give the empty text; pages cut off anywhere, unclosed
 and stray tags are read as browsers do; time and memory are linear in the page; repeated rows get
-equal results; other columns are never read.
+equal results; an empty table gives an empty result; other columns are never read.
 """
 
 from __future__ import annotations
 
+import heapq
 import html
 import re
 
@@ -74,10 +77,31 @@ HOLDS = 0.9
 #: How furniture is known: surely (tag, role, state, reader comments) or by the words of a name only.
 SURE, NAMED = 1, 2
 READER_WORDS = frozenset("comment comments disqus respond replies hidden".split())
+#: Words beside those above in the name of a part of a page.
+PART_WORDS = frozenset(
+    "area author bar block body bottom box button buttons cell col column container content entry form frame group icon inner item items "
+    "js left link links list main meta outer panel region right row section side slot text thread title top unit wrap wrapper".split())
+#: The only names that make a paragraph furniture.
+ADVERT_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored copyright cookie cookies breadcrumb breadcrumbs share social".split())
 #: An element that is furniture by its name only, but holds so many times the text of the rest, is a wrapper.
 WRAPPER = 3.0
-#: Wrappers within wrappers that are looked for.
-WRAPPERS_DEEP = 4
+#: Share of the content paths' text by which a main or article element is taken for the page's.
+MOST = 0.5
+
+
+def named(name: str, key: str, word: str) -> int:
+    """Whether one class or id names page furniture."""
+    words = [w.lower() for w in NAME_PART.findall(word)]
+    if not words or words[0] in NOT_OWN or name in HEADINGS or key == "id" and name in INLINE:
+        return 0
+    own = [w for w in words if w in FURNITURE_WORDS]
+    whole = bool(own) and all(w in FURNITURE_WORDS or w in PART_WORDS or w.isdigit() for w in words)
+    if name == "p":
+        return NAMED if whole and ADVERT_WORDS.issuperset(own) else 0
+    if whole and (words[0] in READER_WORDS or words[-1] in READER_WORDS):
+        return SURE
+    # An id can be made from a heading's words, so all of it must name a part of a page.
+    return NAMED if whole or key == "class" and (words[0] in FURNITURE_WORDS or words[-1] in FURNITURE_WORDS) else 0
 
 
 def furniture(name: str, attributes: str, in_article: bool) -> int:
@@ -96,27 +120,24 @@ def furniture(name: str, attributes: str, in_article: bool) -> int:
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return SURE
         if key in ("class", "id"):
-            for one in value.split():
-                words = [w.lower() for w in NAME_PART.findall(one)]
-                if words and words[0] not in NOT_OWN:
-                    if words[0] in READER_WORDS or words[-1] in READER_WORDS:
-                        return SURE
-                    if words[0] in FURNITURE_WORDS or words[-1] in FURNITURE_WORDS:
-                        found = NAMED
+            kinds = {named(name, key, one) for one in value.split()}
+            if SURE in kinds:
+                return SURE
+            found = max(found, *kinds, 0)
     return found
 
 
 class Page:
     """Text nodes of a page with their elements, paths and blocks."""
 
-    def __init__(self, source: str, wrappers: frozenset[int] = frozenset()):
-        self.name, self.parent, self.path, self.out, self.article = ["#root"], [0], [0], [0], [False]
-        self.wrappers = wrappers
-        #: Outermost element that is furniture by name, for each element; text that such hold, and the text kept.
-        self.named, self.named_text, self.kept_text = [0], {}, 0
+    def __init__(self, source: str):
+        self.name, self.parent, self.path, self.article = ["#root"], [0], [0], [False]
+        #: How each element is furniture itself, and whether it is surely, be it by an element around it.
+        self.own, self.out = [0], [False]
         self.paths: dict[tuple[int, str], int] = {}
         self.stack = [0]
-        self.open: dict[str, int] = {}
+        #: Places in the stack of the open elements of each name.
+        self.open: dict[str, list[int]] = {}
         self.nodes: list[tuple[int, str, int]] = []  # element, text, block
         self.block = 0
         at = 0
@@ -156,25 +177,17 @@ class Page:
         element = self.stack[-1]
         if not self.out[element]:
             self.nodes.append((element, html.unescape(raw) if "&" in raw else raw, self.block))
-            self.kept_text += len(raw) - raw.count(" ")
-        elif self.out[element] == NAMED:
-            outer = self.named[element]
-            self.named_text[outer] = self.named_text.get(outer, 0) + len(raw) - raw.count(" ")
+
+    def nearest(self, names: set[str] | frozenset[str]) -> int:
+        return max((places[-1] for name in names if (places := self.open.get(name))), default=0)
 
     def pop_to(self, names: set[str] | frozenset[str], scope: frozenset[str]) -> None:
         """Close the nearest open element of ``names``, unless ``scope`` is in between."""
-        for i in range(len(self.stack) - 1, 0, -1):
-            name = self.name[self.stack[i]]
-            if name in names:
-                self.cut(i)
-                return
-            if name in scope:
-                return
-
-    def cut(self, i: int) -> None:
-        for element in self.stack[i:]:
-            self.open[self.name[element]] -= 1
-        del self.stack[i:]
+        at = self.nearest(names)
+        if at and self.nearest(scope - names) < at:
+            for element in self.stack[at:]:
+                self.open[self.name[element]].pop()
+            del self.stack[at:]
 
     def start(self, name: str, attributes: str) -> None:
         if name not in INLINE:
@@ -200,15 +213,13 @@ class Page:
         self.path.append(self.paths.setdefault(key, len(self.paths) + 1))
         # Of a header inside an article only the headings belong to it.
         own = furniture(name, attributes, in_article)
-        if own == NAMED and len(self.out) in self.wrappers:
-            own = 0
         if in_header and name not in HEADINGS and name not in INLINE and name not in ("div", "hgroup"):
             own = SURE
-        self.named.append(self.named[above] or (len(self.out) if own == NAMED else 0))
-        self.out.append(SURE if SURE in (own, self.out[above]) else own or self.out[above])
+        self.own.append(own)
+        self.out.append(self.out[above] or own == SURE)
         self.article.append(in_article or name in ("article", "main"))
+        self.open.setdefault(name, []).append(len(self.stack))
         self.stack.append(len(self.name) - 1)
-        self.open[name] = self.open.get(name, 0) + 1
 
     def end(self, name: str) -> None:
         if name not in INLINE:
@@ -219,17 +230,58 @@ class Page:
         self.pop_to({name}, SCOPE if name in INLINE or name == "p" else frozenset())
 
 
+    def kept(self) -> list[bool]:
+        """Whether each element is no furniture and in none. Of the outermost elements that are by
+        name, the one with the most text is a wrapper if the rest is little; then those in it
+        are outermost."""
+        size, region, inside = [0] * len(self.name), list(range(len(self.name))), {}
+        for e, t, _ in self.nodes:
+            size[e] += len(t) - t.count(" ")
+        for e in range(1, len(region)):
+            if self.own[e] != NAMED:
+                region[e] = region[self.parent[e]]
+        direct = [0] * len(size)
+        for e in range(len(size) - 1, -1, -1):
+            direct[region[e]] += size[e]
+        held = list(direct)
+        for e in range(len(size) - 1, 0, -1):
+            if region[e] == e:
+                around = region[self.parent[e]]
+                held[around] += held[e]
+                inside.setdefault(around, []).append(e)
+        wrappers, rest = {0}, direct[0]
+        outermost = [(-held[e], e) for e in inside.get(0, ())]
+        heapq.heapify(outermost)
+        while outermost and -outermost[0][0] > WRAPPER * rest:
+            e = heapq.heappop(outermost)[1]
+            wrappers.add(e)
+            rest += direct[e]
+            for inner in inside.get(e, ()):
+                heapq.heappush(outermost, (-held[inner], inner))
+        keep = [True] * len(size)
+        for e in range(1, len(keep)):
+            keep[e] = keep[self.parent[e]] and not self.out[e] and region[e] in wrappers
+        return keep
+
+
+def own_element(page: Page, sums: list[float]) -> int:
+    """The outermost main, or else article, element that holds most of the text and nearly all
+    that elements like it hold; the page as a whole if there is none."""
+    for name in ("main", "article"):
+        some = [e for e in range(1, len(sums)) if page.name[e] == name and sums[e] and not page.article[page.parent[e]]]
+        best = max(some, key=sums.__getitem__, default=0)
+        if best and sums[best] >= MOST * sums[0] and sums[best] >= HOLDS * sum(sums[e] for e in some):
+            return best
+    return 0
+
+
 def main_text(source: str | None) -> str:
     """The main text of one page."""
     if not source:
         return ""
-    page, wrappers = Page(source), frozenset()
-    for _ in range(WRAPPERS_DEEP):
-        large = {e for e, held in page.named_text.items() if held > WRAPPER * page.kept_text}
-        if not large:
-            break
-        wrappers |= large
-        page = Page(source, wrappers)
+    page = Page(source)
+    keep = page.kept()
+    page.nodes = [node for node in page.nodes if keep[node[0]]]
     nodes = [(e, t, b) for e, t, b in page.nodes if not t.isspace()]
     if not nodes:
         return ""
@@ -256,8 +308,9 @@ def main_text(source: str | None) -> str:
     sums = held.tolist()
     for e in range(len(sums) - 1, 0, -1):
         sums[parent[e]] += sums[e]
-    root, best = 0, HOLDS * sums[0]
-    for e in range(1, len(sums)):
+    root = own_element(page, sums)
+    best = HOLDS * sums[root]
+    for e in range(root + 1, len(sums)):
         if sums[e] >= best and parent[e] == root and page.name[e] not in INLINE:
             root = e
     if not page.article[root] or page.name[root] not in ("article", "main"):

@@ -1,4 +1,8 @@
-"""Main text of hand-made pages."""
+"""Main text of hand-made and generated pages."""
+
+import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -66,3 +70,99 @@ def test_tables_hold(spark, sf_dir):
 
     rows = op1_html_extract(spark, sf_dir).collect()
     assert len(rows) == 50 and all(r["n_chars"] == len(r["text"]) > 0 and "<" not in r["text"] for r in rows)
+
+
+@pytest.mark.parametrize("part", [
+    '<h2 id="related-work">Related work</h2>', '<h2 id="search">Search</h2>', '<h3 class="sidebar">Sidebar</h3>', '<h2 id="comments">Comments</h2>', '<p class="promo-text">A promoted idea, here.</p>',
+    '<p class="related">It is related, too.</p>', '<section id="comments-on-policy"><p>The policy, at length.</p></section>', '<p>See <a id="footer">there</a>, and <span id="menu">here</span>.</p>',
+])
+def test_article_parts_with_names_of_furniture(part):
+    own = " ".join(re.sub(r"<[^>]+>", "", part).split())
+    page = f"<body><nav><a href=1>Home</a></nav><article><p>{P}</p>{part}<p>{P}</p></article></body>"
+    assert main_text(page) == f"{P.strip()}\n{own}\n{P.strip()}"
+
+
+@pytest.mark.parametrize("part", ['<p class="ad">Buy, now.</p>', '<div id="comments-section"><p>First, me.</p></div>', '<ul class="share-links"><li>Tweet</li></ul>', '<div class="promo">Buy, now, cheap.</div>', '<div id="related">More, here.</div>'])
+def test_furniture_within_an_article(part):
+    assert main_text(f"<body><article><p>{P}</p>{part}<p>{P}</p></article></body>") == f"{P.strip()}\n{P.strip()}"
+
+
+def test_wrappers_as_deep_as_they_are():
+    for deep in (1, 5, 40):
+        page = "<body>" + '<div class="sidebar">' * deep + f"<div><p>{P * 3}</p><p>Tiny.</p></div>" + "</div>" * deep + "<div>x, y</div></body>"
+        assert main_text(page).startswith(f"{(P * 3).strip()}\nTiny."), deep
+
+
+def test_main_is_the_page():
+    page = f"<body><main>{f'<p>{P}</p>' * 20}</main><div><p>{P}</p><p>{P}</p><p>{P}</p></div></body>"
+    assert main_text(page) == "\n".join([P.strip()] * 20)
+    two = f"<body><article><p>{P}</p></article><article><p>{P}</p></article></body>"
+    assert main_text(two) == f"{P.strip()}\n{P.strip()}"
+
+
+def test_time_is_linear():
+    n = 20_000
+    for page in ("<span>" * n + "<li>x" * n, "<b><div>" + "<span>" * n + "</b>x" * n, "<li><ul>" + "<i>" * n + "<dd>x" * n, "<p>" + "<em>" * n + "<div>x</div>" * n, '<div class="sidebar">x' * n):
+        began = time.perf_counter()
+        main_text(page)
+        assert time.perf_counter() - began < 10
+
+
+def generated(rng):
+    """A page and its main text: an article of many kinds of blocks among furniture."""
+    words = "alpha beta gamma, delta epsilon. zeta eta theta; iota kappa".split()
+
+    def sentence(least, most):
+        return " ".join(rng.choices(words, k=rng.randint(least, most))) + "."
+
+    def furniture():
+        text = sentence(1, 8)
+        return rng.choice([
+            f"<nav><ul><li><a href=/>{text}</a></li></ul></nav>", f"<aside><p>{text}</p></aside>", f"<div class='ad-slot'>{text}</div>", f"<div id=cookie-banner><p>{text}</p></div>", f"<form>{text}<input></form>",
+            f"<script>var a = '<p>{text}</p>';</script>", f"<style>p {{}} /* {text} */</style>", f"<footer><p>{text}</p></footer>", f"<!-- <p>{text}</p> -->", f"<section class='comments'><p>{text} {text}</p></section>", f"<div hidden>{text}</div>", f"<div role=navigation>{text}</div>",
+        ])
+
+    lines, body = [], []
+    for k in range(rng.randint(6, 25)):
+        text = sentence(8, 60)
+        kind = rng.choice(["p", "p", "p", "h2", "li", "quote", "table", "inline", "br", "entity", "open", "furniture"]) if k else "h1"
+        if kind == "furniture":
+            body.append(furniture())
+            continue
+        if kind == "entity":
+            lines.append(f"a < b & {text} é")
+            body.append(f"<p>a &lt; b &amp; {text} &eacute;</p>")
+        elif kind == "table":
+            lines += [text, "cell, two"]
+            body.append(f"<table><tr><td>{text}<td>cell, two</table>")
+        elif kind == "li":
+            lines += [text, text]
+            body.append(f"<ul><li>{text}<li>{text}</ul>")
+        elif kind == "inline":
+            lines.append(f"{text} bold and link.")
+            body.append(f"<p>{text} <b>bold</b> and\n\t <a href='#x'>link</a>.</p>")
+        elif kind == "br":
+            lines.append(f"{text} after")
+            body.append(f"<p>{text}<br>after</p>")
+        else:
+            lines.append(text)
+            body.append({"p": f"<p>{text}</p>", "open": f"<p>{text}", "quote": f"<blockquote>{text}</blockquote>", "h1": f"<h1>{text}</h1>", "h2": f"<h2 id=search-{k}>{text}</h2>"}[kind])
+    article = "".join(body)
+    for _ in range(rng.randint(0, 3)):
+        article = rng.choice(["<div>{}</div>", "<div class='sidebar-layout'>{}</div>", "<div class=row><div class=col>{}</div></div>"]).format(article)
+    article = rng.choice(["<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", "<div class=post><article>{}</article></div>"]).format(article)
+    around = [furniture() for _ in range(rng.randint(0, 6))]
+    at = rng.randint(0, len(around))
+    return f"<!DOCTYPE html><html><head><title>t</title></head><body>{''.join(around[:at])}{article}{''.join(around[at:])}</body></html>", "\n".join(lines)
+
+
+def test_generated_pages():
+    rng = random.Random(12)
+    for _ in range(400):
+        page, want = generated(rng)
+        assert main_text(page) == want, page
+
+
+def test_empty_table(spark):
+    df = spark.createDataFrame([], "page_id long, html string")
+    assert df.select(extract(F.col("html"))).count() == 0
