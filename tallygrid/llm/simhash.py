@@ -4,7 +4,8 @@
 2. Equal fingerprints collapse; only distinct ones are compared.
 3. The 64 bits fall into ``blocks`` blocks. Two fingerprints within the radius differ in at most
    ``radius`` blocks, so they agree on some ``blocks - radius`` of them: each fingerprint is
-   filed once for every such choice, under those bits, and only files are compared.
+   filed once for every such choice, under those bits, and only files are compared. The more
+   fingerprints, the more blocks, so that files stay a few fingerprints long (``FILE``).
 4. A file's fingerprints stand as bit planes: word w of plane b holds bit b of 64 fingerprints.
    A query is compared with all of them at once; carry-save adders count the differing bits
    per lane, and a block of lanes is abandoned once every lane exceeds the radius.
@@ -19,7 +20,7 @@
 Edge cases: a null or empty text has no shingles and fingerprint zero, linked like any other;
 a text of fewer words than a shingle is one shingle; ties in a bit leave it unset; null ids get
 their group's least id, or null if it has none; repeated rows get equal results; other columns
-are never read.
+are never read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ from tallygrid.llm._common import cut, stored
 from tallygrid.llm._graph import components
 
 BITS = 64
+#: Fingerprints that a file may hold on average if they are spread evenly.
+FILE = 8
 #: Shingles hashed at a time, so that a very long text takes bounded memory.
 SHINGLE_BLOCK = 50_000
 #: Files of at most so many fingerprints are compared pair by pair of lanes, many files at once.
@@ -212,8 +215,17 @@ def forest(files: np.ndarray, values: np.ndarray, radius: int) -> tuple[np.ndarr
     return values[out], values[labels[out]]
 
 
-def link(distinct: DataFrame, radius: int = 4, blocks: int = 6, tile: int = 8192) -> DataFrame:
+def blocks_for(n: int, radius: int) -> int:
+    """Blocks for ``n`` fingerprints: two over the radius, or more until files are short."""
+    blocks = min(radius + 2, BITS)
+    while blocks < min(radius + 6, BITS) and n > FILE << (BITS * (blocks - radius) // blocks):
+        blocks += 1
+    return blocks
+
+
+def link(distinct: DataFrame, radius: int = 4, blocks: int | None = None, tile: int = 8192) -> DataFrame:
     """Edges ``a``, ``b`` that join all fingerprints (column ``fp``) within the radius."""
+    blocks = blocks_for(distinct.count(), radius) if blocks is None else blocks
     if not 0 <= radius < blocks <= BITS:
         raise ValueError("blocks must exceed the radius")
     edges = np.linspace(0, BITS, blocks + 1).round().astype(int)
@@ -267,7 +279,7 @@ def link(distinct: DataFrame, radius: int = 4, blocks: int = 6, tile: int = 8192
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, blocks: int = 6, tile: int = 8192,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, blocks: int | None = None, tile: int = 8192,
 ) -> DataFrame:
     """One row per row of ``docs``: ``id``, ``fp`` (signed long) and ``component_id``."""
     prints = cut(docs.select(F.col(id_col).alias("id"), fingerprints(F.col(text_col), shingle).alias("fp")))
@@ -279,7 +291,7 @@ def near_duplicates(
     return prints.join(of_print, "fp").select("id", "fp", "component_id")
 
 
-def _labelled(distinct: DataFrame, radius: int, blocks: int, tile: int) -> DataFrame:
+def _labelled(distinct: DataFrame, radius: int, blocks: int | None, tile: int) -> DataFrame:
     """``distinct`` (a row per fingerprint) with the ``label`` of its component."""
     labels = components(link(distinct.select("fp"), radius, blocks, tile))
     return distinct.join(labels, F.col("fp") == F.col("node"), "left").select(*distinct.columns, F.coalesce("label", "fp").alias("label"))
@@ -299,7 +311,7 @@ def keep_rows(docs: DataFrame, stays: DataFrame, id_col: str, text_col: str) ->
 
 
 def drop_near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, blocks: int = 6, tile: int = 8192,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, blocks: int | None = None, tile: int = 8192,
 ) -> DataFrame:
     """``docs`` with one document of each group: the one with the group's least id, or one of
     those without an id if no document of the group has one."""

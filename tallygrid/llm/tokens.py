@@ -10,7 +10,7 @@ counts of such chunks are remembered. The memory is bounded: it is emptied when
 
 Edge cases: a null or empty text has 0 tokens; added special tokens inside a text count as one
 token each, as the library has it by default; very long texts are counted whole; a piece of n
-bytes takes n log n steps; repeated rows get equal results; other columns are never read.
+bytes takes n log n steps; repeated rows get equal results; an empty table gives an empty result; other columns are never read.
 """
 
 from __future__ import annotations
@@ -96,21 +96,21 @@ class PairMerger:
         for part in parts:
             chunks = CHUNK_END.split(part) if ODD_SPACE.search(part) else part.split(" ")
             total += self.bare(chunks[0]) + sum(map(self.chunks.__getitem__, chunks[1:]))
-            for memory in (self.pieces, self.chunks):
-                if len(memory) > REMEMBERED:
-                    memory.clear()
         return total + len(parts) - 1
 
 
 class _Memory(dict):
-    """Values of a function, computed at the first use."""
+    """Values of a function, computed at the first use; emptied when full."""
 
     def __init__(self, of):
         super().__init__()
         self.of = of
 
     def __missing__(self, key):
-        value = self[key] = self.of(key)
+        value = self.of(key)
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[key] = value
         return value
 
 

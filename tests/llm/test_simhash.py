@@ -96,3 +96,8 @@ def test_each_group_keeps_a_row(spark):
     kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r["text"] for r in kept) == sorted([one, two, three, four])
     assert {r["text"]: r["doc_id"] for r in kept} == {one: None, two: None, three: 5, four: 5}
+
+
+def test_more_fingerprints_take_more_blocks():
+    assert [simhash.blocks_for(n, 4) for n in (0, 10**6, 10**8, 10**10, 10**11)] == [6, 6, 7, 8, 9]
+    assert simhash.blocks_for(10**12, 63) == 64 and simhash.blocks_for(5, 0) == 2
