@@ -141,7 +141,7 @@ def pairs_within(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
     return near
 
 
-def _links(queries: np.ndarray, values: np.ndarray, planes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def lanes_within(queries: np.ndarray, values: np.ndarray, planes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (position in queries, position in values) within the radius."""
     masks = np.where(queries[None, :] >> np.arange(BITS, dtype=np.uint64)[:, None] & np.uint64(1), ONES, np.uint64(0))
     left, right = [], []
@@ -178,7 +178,7 @@ def link_file(values: np.ndarray, radius: int) -> np.ndarray:
 
     def ask(members: np.ndarray) -> None:
         nonlocal labels
-        q, lane = _links(values[members], values, planes, radius)
+        q, lane = lanes_within(values[members], values, planes, radius)
         labels = settle(labels, members[q], lane)
         asked[members] = covered[members] = covered[lane] = True
 
