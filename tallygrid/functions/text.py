@@ -27,24 +27,23 @@ def safe_name(text: Column) -> Column:
 
 
 def derive_subject(file: Column, group: Column | None = None) -> Column:
-    """The subject of a file (F1): last segment of its group, else its parent folder."""
-    def clean(x: Column, default: str) -> Column:
+    """The subject of a file (F1): the last segment of its group, ``unknown`` for a null group;
+    without a group column its parent folder. What is blank is ``default``."""
+    def clean(x: Column) -> Column:
         kept = F.trim(F.regexp_replace(x, r'[<>:"/\\|?*\x00-\x1f]', "_"), F.lit(". "))
-        return F.when(kept != "", kept).otherwise(default)
+        return F.when(kept != "", kept).otherwise("default")
 
+    if group is not None:
+        return clean(F.try_element_at(F.split(F.rtrim(slashes(F.coalesce(group.cast("string"), F.lit("unknown"))), F.lit("/")), "/"), F.lit(-1)))
     parts = F.split(F.rtrim(slashes(file), F.lit("/")), "/")
-    parent = clean(F.coalesce(F.try_element_at(parts, F.lit(-2)), F.lit("")), "default")
-    if group is None:
-        return parent
-    last = F.try_element_at(F.split(F.rtrim(slashes(group.cast("string")), F.lit("/")), "/"), F.lit(-1))
-    return F.when(F.trim(F.coalesce(group.cast("string"), F.lit(""))) != "", clean(last, "unknown")).otherwise(parent)
+    return clean(F.coalesce(F.try_element_at(parts, F.lit(-2)), F.lit("")))
 
 
 def tokens(text: Column, stopwords: Sequence[str] = (), least: int = 2) -> Column:
     """Lower-case words of ASCII letters without stop words and short words."""
     words = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(LETTERS), F.lit(0)), F.lower)
-    stop = F.array(*[F.lit(w) for w in stopwords]).cast("array<string>")
-    return F.filter(words, lambda w: (F.length(w) >= least) & ~F.array_contains(stop, w))
+    # A list of literals is looked up as a set.
+    return F.filter(words, lambda w: (F.length(w) >= least) & ~w.isin(list(stopwords)) if stopwords else F.length(w) >= least)
 
 
 def bigrams(words: Column) -> Column:

@@ -42,15 +42,17 @@ def quota_prefix(subjects: DataFrame, limit: int = KEY_BYTES, subject: str = "su
 
 def split_by_size(items: DataFrame, key: str, size: str, most: int, order: Sequence[str]) -> DataFrame:
     """Batches of consecutive items of a key (W6): a new one starts when the next item would
-    exceed ``most``; adds ``batch`` from 0. Items are streamed through one pass per key."""
+    exceed ``most``; adds ``batch`` from 0. Items are streamed through one pass per key, in which
+    only a running total is held; a null key is a key, and a null size counts as 0."""
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields], "batch long"])
 
     def stream(parts):
         # Rows arrive key by key in order; only the running total is carried on.
-        last, batch, total = None, 0, 0
+        last, batch, total = (), 0, 0
         for rows in parts:
             out = []
-            for k, n in zip(rows[key].to_numpy(), rows[size].to_numpy(), strict=True):
+            keys = rows[key].astype(object).where(rows[key].notna(), None)
+            for k, n in zip(keys, rows[size].fillna(0).astype("int64").tolist(), strict=True):
                 if k != last:
                     last, batch, total = k, 0, 0
                 if total and total + n > most:
@@ -62,24 +64,42 @@ def split_by_size(items: DataFrame, key: str, size: str, most: int, order: Seque
     return items.repartition(key).sortWithinPartitions(key, *order).mapInPandas(stream, schema)
 
 
-def spread_over_keys(subjects: DataFrame, keys: int, subject: str = "subject", group: str | None = None) -> DataFrame:
+#: Subjects that are placed one by one; smaller ones are placed in so many cells.
+PLACED_SUBJECTS, SUBJECT_CELLS = 100_000, 10_000
+
+
+def spread_over_keys(subjects: DataFrame, keys: int, subject: str = "subject", placed: int = PLACED_SUBJECTS, cells: int = SUBJECT_CELLS) -> DataFrame:
     """Subjects on API keys, largest first onto the least loaded (C9), ties by key: ``key_id``.
 
-    Subjects are a small table; with ``group`` each group of them is spread on its own.
+    The order of placing is one after another, so what is placed is bounded: the ``placed`` largest
+    subjects one by one, and all smaller ones, if there are more, as ``cells`` groups by a hash of
+    the subject, a group as one item of their bytes. Null bytes count as 0.
     """
-    names = [f"`{f.name}` {f.dataType.simpleString()}" for f in subjects.schema.fields]
+    held = F.coalesce("bytes", F.lit(0)).cast("long")
+    top = subjects.select(F.col(subject).alias("_s"), held.alias("_b")).orderBy(F.desc("_b"), "_s").limit(placed)
+    cell = F.pmod(F.xxhash64(F.col(subject)), F.lit(cells))
+    named = subjects.withColumn("_s", F.struct(F.col(subject)))
+    known = top.select(F.struct(F.col("_s").alias(subject)).alias("_s"), F.lit(True).alias("_top"))
+    told = named.join(known, "_s", "left").withColumn("_cell", F.when(F.col("_top").isNull(), cell))
+    rest = told.where("_top IS NULL").groupBy("_cell").agg(F.sum(held).alias("_b")).select("_cell", F.lit(None).cast(subjects.schema[subject].dataType).alias("_s"), "_b")
+    items = top.select(F.lit(None).cast("long").alias("_cell"), "_s", "_b").unionByName(rest)
+    kind = subjects.schema[subject].dataType.simpleString()
 
     def place(rows: pd.DataFrame) -> pd.DataFrame:
         load = [(0, k) for k in range(keys)]
-        rows = rows.sort_values(["bytes", subject], ascending=[False, True])
+        rows = rows.sort_values(["_b", "_cell", "_s"], ascending=[False, True, True], na_position="first")
         out = []
-        for n in rows["bytes"]:
+        for n in rows["_b"].tolist():
             used, k = heapq.heappop(load)
             out.append(k)
-            heapq.heappush(load, (used + int(n), k))
-        return rows.assign(key_id=out)
-
-    return subjects.groupBy(*([group] if group else [])).applyInPandas(place, ", ".join([*names, "key_id long"]))
+            heapq.heappush(load, (used + n, k))
+        return rows.drop(columns="_b").assign(key_id=out)
+
+    # At most placed + cells rows.
+    plan = items.groupBy().applyInPandas(place, f"_cell long, _s {kind}, key_id long").withColumn("_s", F.struct(F.col("_s").alias(subject)))
+    ones = told.where("_top").join(plan.where("_cell IS NULL").select("_s", "key_id"), "_s")
+    more = told.where("_top IS NULL").join(plan.where("_cell IS NOT NULL").select("_cell", "key_id"), "_cell")
+    return ones.select(*subjects.columns, "key_id").unionByName(more.select(*subjects.columns, "key_id"))
 
 
 def next_number(names: DataFrame, prefix: str, name: str = "name") -> DataFrame:

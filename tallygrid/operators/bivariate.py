@@ -1,12 +1,13 @@
 """Correlations, grouped statistics and cross-tabulations.
 
-All pairs of columns are rows of one group-by. Spearman ranks come from value histograms, so no
-window ever orders the data itself.
+All Pearson correlations are aggregates of one pass. Spearman ranks come from value histograms, so
+no window ever orders the data itself.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -19,13 +20,21 @@ from tallygrid.operators.quantiles import exact_quantiles
 from tallygrid.session import nan_to_null
 
 
-def complete_pairs(df: DataFrame, columns: Sequence[str], deletion: str) -> DataFrame:
-    """A row per pair of columns and row in which both are known: ``col1``, ``col2``, ``x``, ``y``."""
+#: Pairs of columns in one pass.
+PAIRS = 200
+
+
+def kept_rows(df: DataFrame, columns: Sequence[str], deletion: str) -> DataFrame:
+    """Missing as null; for listwise deletion only the rows in which all columns are known."""
     if deletion not in ("pairwise", "listwise"):
         raise ValueError("deletion is 'pairwise' or 'listwise'")
     df = nan_to_null(df)
-    if deletion == "listwise":
-        df = df.dropna(subset=list(columns))
+    return df.dropna(subset=list(columns)) if deletion == "listwise" else df
+
+
+def complete_pairs(df: DataFrame, columns: Sequence[str], deletion: str) -> DataFrame:
+    """A row per pair of columns and row in which both are known: ``col1``, ``col2``, ``x``, ``y``."""
+    df = kept_rows(df, columns, deletion)
     pairs = F.array(*[
         F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2"), F.col(f"`{a}`").cast("double").alias("x"), F.col(f"`{b}`").cast("double").alias("y"))
         for a, b in combinations(columns, 2)
@@ -36,10 +45,22 @@ def complete_pairs(df: DataFrame, columns: Sequence[str], deletion: str) -> Data
 def pearson(df: DataFrame, columns: Sequence[str], deletion: str = "pairwise", p_values: bool = True) -> DataFrame:
     """Pearson correlations (E8): ``col1``, ``col2``, ``r``, ``p_value``, ``N``; pairs with
     under 3 rows are left out, and r is null for a constant column."""
-    r = F.try_divide(F.covar_samp("x", "y"), F.stddev_samp("x") * F.stddev_samp("y"))
-    found = complete_pairs(df, columns, deletion).groupBy("col1", "col2").agg(r.alias("r"), F.count(F.lit(1)).alias("N")).where("N >= 3")
+    df = kept_rows(df, columns, deletion)
     p = [F.round(correlation_p_value("r", "N"), 4).alias("p_value")] if p_values else []
-    return found.select("col1", "col2", F.round("r", 4).alias("r"), *p, "N")
+    found, pairs = [], list(combinations(columns, 2))
+    for at in range(0, len(pairs), PAIRS):  # an aggregate of thousands of columns is no use
+        some = F.array(*[pair_row(a, b) for a, b in pairs[at:at + PAIRS]])
+        found.append(df.agg(some.alias("pairs")).select(F.explode("pairs").alias("p")).select("p.*").where("N >= 3"))
+    return reduce(DataFrame.unionByName, found).select("col1", "col2", F.round("r", 4).alias("r"), *p, "N")
+
+
+def pair_row(a: str, b: str) -> Column:
+    """``col1``, ``col2``, ``r`` and ``N`` of the rows in which both columns are known."""
+    x, y = (F.col(f"`{c}`").cast("double") for c in (a, b))
+    both = x.isNotNull() & y.isNotNull()
+    # Not ``corr``, which divides by zero where a column is constant.
+    r = F.try_divide(F.covar_samp(x, y), F.stddev_samp(F.when(both, x)) * F.stddev_samp(F.when(both, y)))
+    return F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2"), r.alias("r"), F.count_if(both).alias("N"))
 
 
 def spearman(df: DataFrame, columns: Sequence[str], deletion: str = "pairwise", p_values: bool = True) -> DataFrame:
@@ -82,7 +103,7 @@ def grouped_stats(df: DataFrame, groups: Sequence[str], measures: Sequence[str],
 
 def cross_tabulate(df: DataFrame, row: str, column: str) -> DataFrame:
     """Counts of two columns with ``Total`` margins, in long form (E11); rows with a null on
-    either side count nowhere."""
+    either side count nowhere. ``row_margin`` and ``column_margin`` tell a margin from a value ``Total``."""
     both = df.select(F.col(f"`{row}`").cast("string").alias("row_value"), F.col(f"`{column}`").cast("string").alias("column_value")).dropna()
     cells = both.groupBy("row_value", "column_value").agg(F.count(F.lit(1)).alias("count"))
 
@@ -90,9 +111,15 @@ def cross_tabulate(df: DataFrame, row: str, column: str) -> DataFrame:
         return F.when(F.grouping(c) == 1, "Total").otherwise(F.col(c))
 
     return cells.cube("row_value", "column_value").agg(
-        named("row_value").alias("row"), named("column_value").alias("column"), F.sum("count").alias("count")).select("row", "column", "count")
+        named("row_value").alias("row"), named("column_value").alias("column"), F.sum("count").alias("count"),
+        (F.grouping("row_value") == 1).alias("row_margin"), (F.grouping("column_value") == 1).alias("column_margin"),
+    ).select("row", "column", "count", "row_margin", "column_margin")
 
 
 def contingency_table(df: DataFrame, row: str, column: str) -> DataFrame:
-    """The same as a table with a column per value."""
-    return cross_tabulate(df, row, column).groupBy("row").pivot("column").agg(F.first("count")).na.fill(0)
+    """The same as a table with a column per value and the margin last; a value ``Total`` is
+    named ``Total (value)``."""
+    cells = cross_tabulate(df, row, column)
+    for c in ("row", "column"):
+        cells = cells.withColumn(c, F.when((F.col(c) == "Total") & ~F.col(f"{c}_margin"), "Total (value)").otherwise(F.col(c)))
+    return cells.groupBy("row").pivot("column").agg(F.first("count")).na.fill(0)

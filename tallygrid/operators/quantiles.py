@@ -1,21 +1,25 @@
 """Exact quantiles per key, linear interpolation between order statistics.
 
-``percentile`` keeps every distinct value of a group in one buffer. For large groups the values
-around each wanted rank are bracketed first: passes of approximate percentiles and exact counts
-narrow the bracket until few enough values are left, which bounds what any task holds.
+``percentile`` keeps every distinct value of a group in one buffer. For large groups the order
+statistics come from counts instead: each group's range falls into ``CELLS`` cells, even steps of a
+scale that is linear near zero and logarithmic beyond, so long tails spread over many cells. A first
+pass counts cells, and running totals over them tell the cell of each wanted rank; a second pass
+counts the values within those cells, and running totals over them give the values. Everything is a
+row per key and cell or value: nothing reaches the driver, and equal values are one row however many
+rows tie.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Values of a group that one buffer may hold.
 DIRECT_ROWS = 2_000_000
-CELLS = 256
+CELLS = 1 << 16
 
 
 def exact_quantiles(
@@ -32,45 +36,41 @@ def exact_quantiles(
     if largest <= direct_rows:
         at = F.array(*[F.lit(float(p)) for p in probs])
         return rows.groupBy(*keys).agg(F.percentile("_v", at).alias("q"))
-    return _bracketed(rows, list(keys), probs, direct_rows)
+    return _from_counts(rows, list(keys), probs)
 
 
-def _bracketed(rows: DataFrame, keys: list[str], probs: Sequence[float], direct_rows: int) -> DataFrame:
-    """Order statistics by narrowing brackets; one small row per key and wanted rank."""
+def _from_counts(rows: DataFrame, keys: list[str], probs: Sequence[float]) -> DataFrame:
+    """Order statistics from counts of cells, then of the values in the cells that matter."""
+    # Keys as one struct, which is never null, so that groups with null keys join too.
+    rows = rows.select(F.struct(*keys, F.lit(0).alias("_one")).alias("_k"), "_v")
+    bounds = rows.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"), F.avg(F.abs("_v")).alias("_scale"), F.min("_v").alias("_a"), F.max("_v").alias("_b"))
+
+    def bent(c: str) -> Column:
+        return F.asinh(F.coalesce(F.try_divide(F.col(c) * 100, F.col("_scale")), F.lit(0.0)))
+
+    step = F.coalesce(F.try_divide(bent("_v") - bent("_a"), bent("_b") - bent("_a")), F.lit(0.0))
+    celled = rows.join(bounds.select("_k", "_scale", "_a", "_b"), "_k").select("_k", "_v", F.floor(F.least(step, F.lit(1.0)) * CELLS).alias("_cell"))
+    cells = celled.groupBy("_k", "_cell").agg(F.count(F.lit(1)).alias("_m"))
+    upto = Window.partitionBy("_k").orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
+    cells = cells.withColumn("_upto", F.sum("_m").over(upto)).withColumn("_below", F.col("_upto") - F.col("_m"))
+
+    place = (F.col("_n") - 1) * F.col("_w.p")
     at = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
-    wanted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).select(*keys, "n", F.explode(at).alias("w"))
-    place = (F.col("n") - 1) * F.col("w.p")
-    wanted = wanted.select(*keys, F.col("w.i").alias("i"), F.explode(F.array(
-        F.struct(F.lit(0).alias("side"), F.floor(place).alias("k")), F.struct(F.lit(1).alias("side"), F.ceil(place).alias("k")))).alias("s"), (place - F.floor(place)).alias("part"))
-    brackets = wanted.select(
-        *keys, "i", "s.side", "s.k", "part", F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"), F.lit(0).cast("long").alias("below"))
-    spark = rows.sparkSession
-    named = [*keys, "i", "side"]
-    while True:
-        # The brackets are a few rows per key and rank, never rows of the data.
-        table = spark.createDataFrame(brackets.collect(), brackets.schema)
-        inside = rows.join(F.broadcast(table), keys) if keys else rows.crossJoin(F.broadcast(table))
-        inside = inside.where((F.col("_v") >= F.col("lo")) & (F.col("_v") <= F.col("hi")))
-        left = inside.groupBy(*named).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("_v", [j / CELLS for j in range(CELLS + 1)], 10 * CELLS).alias("edges"), F.min("_v").alias("a"), F.max("_v").alias("b"))
-        facts = left.collect()
-        if all(r["n"] <= direct_rows or r["a"] == r["b"] for r in facts):
-            break
-        edges = spark.createDataFrame([(*[r[c] for c in named], sorted({r["a"], r["b"], *r["edges"]})) for r in facts], ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in left.select(*named).schema], "edges array<double>"]))
-        celled = inside.join(F.broadcast(edges), named).withColumn("cell", F.size(F.filter("edges", lambda e: e < F.col("_v"))))
-        counts = celled.groupBy(*named, "cell").agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("a"), F.max("_v").alias("b"), F.first("k").alias("k"), F.first("part").alias("part"), F.first("below").alias("below"))
-        found = {}
-        for r in sorted(counts.collect(), key=lambda r: r["cell"]):
-            key = tuple(r[c] for c in named)
-            start, done = found.get(key, (r["below"], None))
-            if done is None and start + r["n"] > r["k"]:
-                done = (*key, r["k"], r["part"], r["a"], r["b"], start)
-            found[key] = (start + r["n"], done)
-        brackets = spark.createDataFrame([d for _, d in found.values()], brackets.schema)
-    # Equal values are one row with their number, however many rows tie.
-    counted = inside.groupBy(*named, "k", "part", "below", "_v").agg(F.count(F.lit(1)).alias("n"))
-    upto = Window.partitionBy(*named).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    counted = counted.withColumn("upto", F.col("below") + F.sum("n").over(upto))
-    ranked = counted.where((F.col("upto") > F.col("k")) & (F.col("upto") - F.col("n") <= F.col("k"))).select(*keys, "i", "side", "part", F.col("_v").alias("x"))
-    both = ranked.groupBy(*keys, "i", "part").agg(F.min(F.when(F.col("side") == 0, F.col("x"))).alias("x0"), F.min(F.when(F.col("side") == 1, F.col("x"))).alias("x1"))
-    one = F.struct("i", (F.col("x0") + (F.col("x1") - F.col("x0")) * F.col("part")).alias("x"))
-    return both.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(one)), lambda s: s["x"]).alias("q"))
+    wanted = bounds.select("_k", "_n", F.explode(at).alias("_w")).select("_k", F.col("_w.i").alias("_i"), (place - F.floor(place)).alias("_part"), F.explode(F.array(
+        F.struct(F.lit(0).alias("side"), F.floor(place).alias("k")), F.struct(F.lit(1).alias("side"), F.ceil(place).alias("k")))).alias("_s"))
+
+    def holding(counted: DataFrame, on: list[str]) -> DataFrame:
+        return wanted_in.join(counted, on).where((F.col("_s.k") >= F.col("_below")) & (F.col("_s.k") < F.col("_upto")))
+
+    wanted_in = wanted
+    held = holding(cells, ["_k"]).select("_k", "_i", "_part", "_s", "_cell", "_below")
+    few = held.select("_k", "_cell", F.col("_below").alias("_start")).distinct()
+    values = celled.join(few, ["_k", "_cell"]).groupBy("_k", "_cell", "_start", "_v").agg(F.count(F.lit(1)).alias("_m"))
+    within = Window.partitionBy("_k", "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    values = values.withColumn("_upto", F.col("_start") + F.sum("_m").over(within)).withColumn("_below", F.col("_upto") - F.col("_m"))
+    wanted_in = held.drop("_below")
+    ranked = holding(values, ["_k", "_cell"])
+    both = ranked.groupBy("_k", "_i", "_part").agg(F.min(F.when(F.col("_s.side") == 0, F.col("_v"))).alias("x0"), F.min(F.when(F.col("_s.side") == 1, F.col("_v"))).alias("x1"))
+    one = F.struct("_i", (F.col("x0") + (F.col("x1") - F.col("x0")) * F.col("_part")).alias("x"))
+    found = both.groupBy("_k").agg(F.transform(F.array_sort(F.collect_list(one)), lambda s: s["x"]).alias("q"))
+    return found.select(*[F.col(f"_k.`{k}`") for k in keys], "q")

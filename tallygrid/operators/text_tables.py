@@ -21,8 +21,9 @@ def text_summary(df: DataFrame, column: str, stopwords: Sequence[str] = ()) -> D
 
 def ngram_counts(df: DataFrame, column: str, n: int = 1, stopwords: Sequence[str] = ()) -> DataFrame:
     """``item`` and ``count`` of words, or of neighbouring words left by the stop words."""
-    words = tokens(F.col(f"`{column}`").cast("string"), stopwords)
-    return df.select(F.explode(words if n == 1 else bigrams(words)).alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("count"))
+    # Pairs name the words several times, so these are a column of their own, made once.
+    words = df.select(tokens(F.col(f"`{column}`").cast("string"), stopwords).alias("w"))
+    return words.select(F.explode("w" if n == 1 else bigrams(F.col("w"))).alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("count"))
 
 
 def top_ngrams(df: DataFrame, column: str, n: int = 1, top_n: int = 10, stopwords: Sequence[str] = ()) -> DataFrame:

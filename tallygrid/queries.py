@@ -357,7 +357,8 @@ def oracle_sql() -> dict[str, str]:
         "eda_pearson": pearson_sql("lineitem", ["l_quantity", "l_discount", "l_tax"]),
         "eda_pearson_listwise": pearson_sql("(SELECT * FROM lineitem WHERE l_tax <> 0)", ["l_quantity", "l_discount", "l_tax"]),
         "eda_spearman": spearman_sql("lineitem", ["l_linenumber", "l_quantity", "l_discount"]),
-        "eda_crosstab": """SELECT coalesce(o_orderstatus, 'Total') AS "row", coalesce(o_orderpriority, 'Total') AS "column", count(*) AS count FROM orders
+        "eda_crosstab": """SELECT coalesce(o_orderstatus, 'Total') AS "row", coalesce(o_orderpriority, 'Total') AS "column", count(*) AS count,
+            grouping(o_orderstatus) = 1 AS row_margin, grouping(o_orderpriority) = 1 AS column_margin FROM orders
             WHERE o_orderstatus IS NOT NULL AND o_orderpriority IS NOT NULL GROUP BY CUBE (o_orderstatus, o_orderpriority)""",
         "eda_trend_monthly": "SELECT strftime(ts, '%Y-%m') AS period, count(*) AS count, round(avg(value), 4) AS value_mean, round(median(value), 4) AS value_median FROM events GROUP BY 1",
         "eda_text_summary": f"""SELECT round(avg(len(regexp_extract_all(text, '\\S+'))), 2) AS avg_word_count, count(*) AS total_docs,

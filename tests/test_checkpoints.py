@@ -73,6 +73,9 @@ def test_batches(spark):
     done = {(r["key"], r["i"]): r["batch"] for r in batches.split_by_size(items, "key", "n", 100, ["i"]).collect()}
     assert [done["k", i] for i in range(6)] == [0, 0, 1, 2, 3, 4] and done["m", 0] == 0
     sizes = spark.createDataFrame([("a", 5), ("b", 5), ("c", 7), ("d", 1)], "subject string, bytes long")
+    odd = spark.createDataFrame([(None, i, 60) for i in range(3)] + [("a", 1, None), ("a", 2, 70), ("a", 3, 70)], "key string, i int, n int")
+    assert sorted(r["batch"] for r in batches.split_by_size(odd, "key", "n", 100, ["i"]).where("key IS NULL").collect()) == [0, 1, 2]
+    assert [r["batch"] for r in batches.split_by_size(odd, "key", "n", 100, ["i"]).where("key = 'a'").orderBy("i").collect()] == [0, 0, 1]
     assert {r["subject"]: r["running_bytes"] for r in batches.quota_prefix(sizes, 11).collect()} == {"d": 1, "a": 6, "b": 11}
     keys = {r["subject"]: r["key_id"] for r in batches.spread_over_keys(sizes, 2).collect()}
     assert keys == {"c": 0, "a": 1, "b": 1, "d": 0}
@@ -92,3 +95,19 @@ def test_requests_and_log(spark):
     new = batches.upsert_jobs(log, spark.createDataFrame([("j1", "DONE"), ("j2", "NEW")], "job_name string, state string"), "t1")
     assert {r["job_name"]: (r["state"], r["created_at"], r["extra"], r["updated_at"]) for r in new.collect()} == {"j1": ("DONE", "t0", "kept", "t1"), "j2": ("NEW", "t1", None, "t1")}
     assert batches.failed_sources(rows, rows.limit(1), "file").count() == 1
+
+
+def test_spread_over_keys(spark):
+    """One by one the placing is that of a heap; the smaller subjects go in cells, whole and in balance."""
+    sizes = [(f"s{i:03}", (i * 7919) % 1000 + 1) for i in range(300)] + [("none", None)]
+    frame = spark.createDataFrame(sizes, "subject string, bytes long")
+    load, want = [0] * 4, {}
+    for name, n in sorted(sizes, key=lambda s: (-(s[1] or 0), s[0])):
+        want[name] = load.index(min(load))
+        load[want[name]] += n or 0
+    assert {r["subject"]: r["key_id"] for r in batches.spread_over_keys(frame, 4).collect()} == want
+    few = {r["subject"]: r["key_id"] for r in batches.spread_over_keys(frame, 4, placed=100, cells=20).collect()}
+    assert few.keys() == want.keys()
+    totals = [sum(n or 0 for name, n in sizes if few[name] == k) for k in range(4)]
+    assert max(totals) < 1.05 * sum(totals) / 4
+    assert batches.spread_over_keys(frame.where("false"), 4).count() == 0

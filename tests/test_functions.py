@@ -16,7 +16,7 @@ def one(spark, *columns):
 
 def test_paths_and_keys(spark):
     f, g = F.lit("a\\b c\\x.jpg"), F.lit("top/sub: 1/")
-    assert one(spark, text.derive_subject(f), text.derive_subject(f, g), text.derive_subject(F.lit("x.jpg")), text.derive_subject(f, F.lit(" "))) == ("b c", "sub_ 1", "default", "b c")
+    assert one(spark, text.derive_subject(f), text.derive_subject(f, g), text.derive_subject(F.lit("x.jpg")), text.derive_subject(f, F.lit(" ")), text.derive_subject(f, F.lit(None).cast("string"))) == ("b c", "sub_ 1", "default", "default", "unknown")
     assert one(spark, *text.split_key(F.lit("s::p\\q::r"))) == ("s", "p/q::r")
     assert one(spark, *text.split_key(F.lit("assets/player_9/a.jpg"))) == ("player_9", "assets/player_9/a.jpg")
     assert one(spark, text.has_extension(F.lit("A.JPG"), [".jpg"]), text.has_extension(F.lit(None).cast("string"), [".jpg"]), text.slide_index(F.lit("07-slide-a.PNG")), text.slide_index(F.lit("x.png"))) == (True, False, 7, None)

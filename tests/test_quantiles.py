@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallygrid.operators.quantiles import exact_quantiles
 
@@ -14,3 +15,19 @@ def test_ties_are_counted_not_gathered(spark):
     assert "collect_list(_v" not in out._jdf.queryExecution().toString()
     for r in out.collect():
         assert r["q"] == pytest.approx(list(np.quantile([v for g, v in rows if g == r["g"]], probs)))
+
+
+def test_shapes_and_null_keys(spark):
+    rng = np.random.default_rng(2)
+    probs = [0.0, 0.01, 0.5, 0.75, 1.0]
+    groups = {"tail": np.exp(rng.normal(0, 6, 500)), "near": 1e9 + rng.normal(size=500), "sign": rng.normal(size=501) * 1e-9, "one": np.array([3.5]), "tied": np.full(400, 2.0), None: rng.integers(-5, 5, 99).astype(float)}
+    rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("tail", None)]
+    out = exact_quantiles(spark.createDataFrame(rows, "g string, v double").repartition(5), ["g"], "v", probs, direct_rows=10).collect()
+    assert len(out) == len(groups)
+    for r in out:
+        assert r["q"] == pytest.approx(list(np.quantile(groups[r["g"]], probs)), rel=1e-12)
+
+
+def test_many_equal_values(spark):
+    rows = spark.range(3_000_000).select((F.col("id") % 3).cast("double").alias("v"))
+    assert exact_quantiles(rows, [], "v", [0.1, 0.5, 0.9], direct_rows=1000).first()["q"] == [0.0, 1.0, 2.0]
