@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallygrid import queries_more
 from tallygrid.functions import jsons, text
 from tallygrid.operators import batches, bivariate, checkpoints, levels, profile, text_tables, topics, trends, univariate
 from tallygrid.operators.levels import Level
@@ -117,9 +118,15 @@ def eda_type_counts(spark, d):
     return profile.type_counts(levels.classify(table(spark, d, "lineitem")), spark)
 
 
+FLAG_LEVELS = {"c_name": Level.ID, "part_known": Level.CONTINUOUS, "steep": Level.CONTINUOUS, "c_acctbal": Level.CONTINUOUS}
+
+
 def eda_flags(spark, d):
-    t = table(spark, d, "orders")
-    return profile.attention_flags(profile.dataset_profile(t, ORDERS_LEVELS), univariate.describe(t, ["o_totalprice"], "continuous"))
+    """Customers with a column that is often missing and one that is steep."""
+    t = table(spark, d, "customer").select("c_name", F.when(F.col("c_acctbal") > 3000, F.col("c_acctbal")).alias("part_known"), F.exp(F.col("c_acctbal") / 1000).alias("steep"), "c_acctbal")
+    found = profile.attention_flags(
+        profile.dataset_profile(t, FLAG_LEVELS), univariate.describe(t, ["part_known", "steep", "c_acctbal"], "continuous"), bivariate.pearson(t, ["part_known", "steep", "c_acctbal"], p_values=False))
+    return found.withColumn("value", F.round("value", 2))
 
 
 def topic_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -271,7 +278,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ckpt_keep_last, ckpt_pending_anti, ckpt_retry_merge, ckpt_coverage, ckpt_review, ckpt_field_coverage, ckpt_scores, ckpt_retry_summary, ckpt_subjects,
         json_parse_fallback, json_greedy, jsonl_build, results_join, batch_bytes, batch_quota_prefix, batch_split_bytes, batch_bin_pack,
     )
-    return {f.__name__: f for f in made}
+    return {f.__name__: f for f in made} | queries_more.queries()
 
 
 def unpivoted(tbl: str, columns: list[str], cast: str = "DOUBLE") -> str:
@@ -310,6 +317,44 @@ def spearman_sql(tbl: str, columns: list[str]) -> str:
     return " UNION ALL ".join(f"SELECT '{a}' AS col1, '{b}' AS col2, round(corr(x, y), 4) AS rho, count(*) AS \"N\" FROM (SELECT {rank.format(a)} AS x, {rank.format(b)} AS y FROM {tbl})" for a, b in pairs)
 
 
+#: Columns by kind of the tables whose levels are asked for.
+LEVEL_COLUMNS = {
+    "orders": {"o_orderkey": "int", "o_custkey": "int", "o_orderstatus": "text", "o_totalprice": "double", "o_orderdate": "time", "o_orderpriority": "text"},
+    "lineitem": {"l_orderkey": "int", "l_partkey": "int", "l_suppkey": "int", "l_linenumber": "int", "l_quantity": "double", "l_extendedprice": "double", "l_discount": "double", "l_tax": "double",
+                 "l_returnflag": "text", "l_linestatus": "text", "l_shipdate": "time"},
+    "events": {"event_id": "int", "ts": "time", "user_id": "int", "event_type": "text", "value": "double", "props": "text"},
+    "customer": {"c_custkey": "int", "c_name": "text", "c_nationkey": "int", "c_acctbal": "double", "c_mktsegment": "text"},
+    "conversations": {"conv_id": "int", "turn": "int", "role": "text", "text": "text"},
+}
+
+
+def level_sql(tbl: str, column: str, kind: str) -> str:
+    unique = f"count(*) > 10 AND count(DISTINCT {column}) > 0.95 * count(*)"
+    rule = {
+        "time": "max('temporal')",
+        "int": f"CASE WHEN {unique} THEN 'discrete' WHEN count(DISTINCT {column}) = 2 THEN 'binary' WHEN count({column}) = 0 THEN 'unknown' ELSE 'discrete' END",
+        "double": f"CASE WHEN NOT ({unique}) AND count(DISTINCT {column}) = 2 THEN 'binary' WHEN bool_and({column} = floor({column})) THEN 'discrete' ELSE 'continuous' END",
+        "text": f"CASE WHEN {unique} THEN 'id' WHEN count(DISTINCT {column}) = 2 THEN 'binary' WHEN avg(length({column})) > 50 THEN 'text' ELSE 'nominal' END",
+    }[kind]
+    return f"SELECT '{tbl}' AS table_name, '{column}' AS column, {rule} AS level FROM {tbl}"
+
+
+FLAGS_SQL = """
+WITH t AS (SELECT c_name, CASE WHEN c_acctbal > 3000 THEN c_acctbal END AS part_known, exp(c_acctbal / 1000) AS steep, c_acctbal FROM customer),
+v AS (SELECT 'part_known' AS subject, part_known AS x FROM t UNION ALL SELECT 'steep', steep FROM t UNION ALL SELECT 'c_acctbal', c_acctbal FROM t),
+s AS (SELECT subject, round(skewness(x), 4) AS sk, round(kurtosis(x), 4) AS ku, round(stddev_samp(x) / avg(x) * 100, 2) AS cv, round((count(*) - count(x)) * 100.0 / count(*), 2)::DOUBLE AS missing FROM v GROUP BY subject),
+r AS (SELECT 'part_known ~ steep' AS subject, round(corr(part_known, steep), 4) AS r FROM t UNION ALL SELECT 'part_known ~ c_acctbal', round(corr(part_known, c_acctbal), 4) FROM t UNION ALL SELECT 'steep ~ c_acctbal', round(corr(steep, c_acctbal), 4) FROM t),
+f AS (SELECT subject, 'missing over 20 %' AS flag, missing AS value FROM s WHERE missing > 20
+  UNION ALL SELECT 'c_name', 'unique like an id', count(DISTINCT c_name)::DOUBLE FROM t HAVING count(DISTINCT c_name) > 0.95 * count(*)
+  UNION ALL SELECT subject, 'skewness over 2', sk FROM s WHERE abs(sk) > 2 UNION ALL SELECT subject, 'kurtosis over 7', ku FROM s WHERE abs(ku) > 7
+  UNION ALL SELECT subject, 'variation over 100 %', cv FROM s WHERE abs(cv) > 100 UNION ALL SELECT subject, 'correlation over .7', r FROM r WHERE abs(r) > 0.7)
+SELECT subject, flag, round(value, 2) AS value FROM f
+"""
+#: With thousands of rows Student's distribution is normal to four digits; the tail is Zelen and Severo's approximation.
+P_VALUE_SQL = """
+WITH p AS ({pairs}), t AS (SELECT *, abs(r) * sqrt(("N" - 2) / (1 - r * r)) AS z FROM p), k AS (SELECT *, 1 / (1 + 0.2316419 * z) AS k FROM t)
+SELECT col1, col2, round(r, 4) AS r, "N", round(2 * exp(-z * z / 2) * 0.3989422804014327 * k * (0.319381530 + k * (-0.356563782 + k * (1.781477937 + k * (-1.821255978 + k * 1.330274429)))), 4) AS p_value FROM k
+"""
 STOP_SQL = ", ".join(f"'{w}'" for w in STOPWORDS)
 WORDS_SQL = f"""list_filter(list_transform(list_filter(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_full_match(x, '[a-zA-Z]+')), lambda x: lower(x)),
       lambda x: length(x) > 1 AND x NOT IN ({STOP_SQL}))"""
@@ -336,7 +381,16 @@ def oracle_sql() -> dict[str, str]:
             f"(SELECT count(*) FROM lineitem, (SELECT quantile_cont({c}::DOUBLE, 0.25) AS a, quantile_cont({c}::DOUBLE, 0.75) AS b FROM lineitem) WHERE {c} < a - 3 * (b - a) OR {c} > b + 3 * (b - a)) AS extreme_outliers"
             if level in (Level.CONTINUOUS, Level.DISCRETE) else "NULL::BIGINT AS mild_outliers, NULL::BIGINT AS extreme_outliers") + " FROM lineitem"
         for c, level in LINE_LEVELS.items())
-    return {
+    return queries_more.oracle_sql() | {
+        "eda_levels": " UNION ALL ".join(level_sql(t, c, kind) for t, columns in LEVEL_COLUMNS.items() for c, kind in columns.items()),
+        "eda_type_counts": f"SELECT level AS detected_type, count(*) AS n_columns FROM ({' UNION ALL '.join(level_sql('lineitem', c, kind) for c, kind in LEVEL_COLUMNS['lineitem'].items())}) GROUP BY level",
+        "eda_flags": FLAGS_SQL,
+        "eda_pearson_p": P_VALUE_SQL.format(pairs=pearson_sql("lineitem", ["l_quantity", "l_discount", "l_tax", "l_extendedprice"]).replace("round(corr", "(corr").replace(", 4) AS r", ") AS r")),
+        "batch_bin_pack": f"""WITH RECURSIVE {BYTES_SQL}, o AS (SELECT *, row_number() OVER (ORDER BY bytes DESC, subject) AS i FROM b),
+            w AS (SELECT CAST(0 AS BIGINT) AS i, [0, 0, 0, 0, 0]::BIGINT[] AS loads, '' AS subject, CAST(0 AS BIGINT) AS bytes, CAST(0 AS BIGINT) AS files, CAST(-1 AS BIGINT) AS key_id UNION ALL
+            SELECT o.i, list_transform(range(5), lambda k: loads[k + 1] + CASE WHEN k = best THEN o.bytes ELSE 0 END), o.subject, o.bytes, o.files, best
+            FROM (SELECT *, CAST(list_position(loads, list_min(loads)) - 1 AS BIGINT) AS best FROM w) AS x JOIN o ON o.i = x.i + 1)
+            SELECT subject, bytes, files, key_id FROM w WHERE i > 0""",
         "eda_grouped_event_type": """SELECT 'event_type' AS group_col, event_type AS group_value, 'value' AS measure_col, count(value) AS "N", round(avg(value), 4) AS "M",
             round(stddev_samp(value), 4) AS "SD", round(median(value), 4) AS "Mdn", round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 4) AS "IQR" FROM events GROUP BY event_type""",
         "eda_profile_orders": profile_rows,
