@@ -9,8 +9,10 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 #: Tags of the EXIF standard: fixed values.
-TEXT_TAGS = {0x010F: "camera_make", 0x0110: "camera_model", 0x0132: "datetime", 0x0131: "software"}
-NUMBER_TAGS = {0x829A: "exposure_time", 0x829D: "f_number", 0x8827: "iso", 0x920A: "focal_length", 0x0112: "orientation", 0x0100: "image_width", 0x0101: "image_height"}
+TEXT_TAGS = {0x010F: "camera_make", 0x0110: "camera_model", 0x9003: "datetime", 0x0131: "software"}
+NUMBER_TAGS = {0x829A: "exposure_time", 0x829D: "f_number", 0x8827: "iso", 0x920A: "focal_length", 0x0112: "orientation", 0xA002: "image_width", 0xA003: "image_height"}
+#: A tag that stands in where the other is missing.
+INSTEAD = {0x9003: 0x0132}
 FOLDERS, GPS = (0x8769,), 0x8825
 #: Bytes and format of the value types.
 TYPES = {1: (1, "B"), 2: (1, "s"), 3: (2, "H"), 4: (4, "I"), 5: (8, "II"), 7: (1, "B"), 9: (4, "i"), 10: (8, "ii")}
@@ -66,6 +68,7 @@ def exif_row(data: bytes | None) -> tuple:
             if isinstance(tags.get(folder), int):
                 tags |= entries(block, order, tags[folder])
         place = entries(block, order, tags[GPS]) if isinstance(tags.get(GPS), int) else {}
+        tags |= {t: tags[other] for t, other in INSTEAD.items() if not tags.get(t) and tags.get(other)}
         found = {n: str(tags[t]) for t, n in TEXT_TAGS.items() if tags.get(t)}
         found |= {n: float(tags[t]) for t, n in NUMBER_TAGS.items() if isinstance(tags.get(t), (int, float))}
         for name, side, value, negative in (("gps_lat", 1, 2, "S"), ("gps_lon", 3, 4, "W")):

@@ -33,8 +33,11 @@ def features(spark, pictures, tmp_path_factory):
     for name, rgb in pictures.items():
         (d / f"{name}.png").write_bytes(png(rgb))
     (d / "broken.png").write_bytes(b"no picture")
+    for folder in "ab":  # two files of one name
+        (d / folder).mkdir()
+        (d / folder / "twin.png").write_bytes(png(np.full((4, 5, 3), 40 if folder == "a" else 90, np.uint8)))
     images = media.read_images(spark, str(d))
-    rows = {r["path"].rpartition("/")[2].removesuffix(".png"): r for r in media.image_features(images).collect()}
+    rows = {r["path"].rpartition("/")[2].removesuffix(".png"): r for r in media.image_features(images.where("NOT endswith(path, 'twin.png')")).collect()}
     return images, rows
 
 
@@ -60,9 +63,16 @@ def test_edges(pictures, features):
 
 
 def test_guards(spark, features):
-    manifest = spark.createDataFrame([("a\\half.png",), ("gone.png",), ("x.txt",), (" ",), (None,), ("broken.png",)], "file string")
+    manifest = spark.createDataFrame([(".\\half.png",), ("a\\half.png",), ("gone.png",), ("x.txt",), (" ",), (None,), ("broken.png",)], "file string")
     got = {r["file"]: r["error"] for r in media.guarded(manifest, features[0], "file").collect()}
-    assert got == {"a\\half.png": "", "gone.png": "file not found", "x.txt": "not an image", " ": "empty path", None: "empty path", "broken.png": "cannot be decoded"}
+    assert got == {".\\half.png": "", "a\\half.png": "file not found", "gone.png": "file not found", "x.txt": "not an image", " ": "empty path", None: "empty path", "broken.png": "cannot be decoded"}
+
+
+def test_files_of_one_name(spark, features):
+    manifest = spark.createDataFrame([("p1", "a/twin.png"), ("p2", "b\\twin.png")], "post string, file string")
+    found = media.guarded(manifest, features[0], "file")
+    means = {r["path"]: r["rgb_r_mean"] for r in media.image_features(features[0]).collect()}
+    assert sorted((r["post"], means[r["path"]]) for r in found.collect()) == [("p1", 40), ("p2", 90)]
 
 
 def test_video(spark):
@@ -88,13 +98,25 @@ def test_audio(spark, tmp_path):
     for name, x in (("sine", 0.5 * np.sin(2 * np.pi * 440 * t)), ("silence", np.zeros(800))):
         (tmp_path / f"{name}.wav").write_bytes(wav(x))
     (tmp_path / "bad.wav").write_bytes(b"RIFF")
-    files = spark.read.format("binaryFile").load(str(tmp_path))
-    manifest = spark.createDataFrame([(f,) for f in ("sine.wav", "silence.wav", "bad.wav", "no.wav", "x.doc", None)], "file string")
-    rows = {r["file"]: r for r in media.audio_levels(manifest, files, "file").collect()}
-    assert {f: r["audio_status"] for f, r in rows.items()} == {"sine.wav": "ok", "silence.wav": "silent_or_near_silent", "bad.wav": "extraction_error", "no.wav": "file_not_found", "x.doc": "unsupported_format", None: "file_not_found"}
+    (tmp_path / "none.wav").write_bytes(wav(np.zeros(0)))
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "sine.wav").write_bytes(wav(np.zeros(400)))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(tmp_path))
+    manifest = spark.createDataFrame([(f,) for f in ("sine.wav", "silence.wav", "sub/sine.wav", "none.wav", "bad.wav", "no.wav", "x.doc", None)], "file string")
+    rows = {r["file"]: r for r in media.audio_levels(manifest, files, "file", str(tmp_path)).collect()}
+    assert {f: r["audio_status"] for f, r in rows.items()} == {"sine.wav": "ok", "silence.wav": "silent_or_near_silent", "sub/sine.wav": "silent_or_near_silent", "none.wav": "no_audio_stream", "bad.wav": "probe_error", "no.wav": "file_not_found", "x.doc": "unsupported_format", None: "file_not_found"}
     assert rows["sine.wav"]["audio_rms_dbfs"] == pytest.approx(-9.03, abs=0.02) and rows["silence.wav"]["audio_rms_dbfs"] == -120 and rows["sine.wav"]["audio_duration_s"] == 1
 
 
+def test_music(spark):
+    t = np.arange(44100) / 44100
+    files = [(bytearray(wav(x, 44100)),) for x in (0.5 * np.sin(2 * np.pi * 440 * t), np.random.default_rng(3).uniform(-0.5, 0.5, 44100), np.zeros(44100), 0.5 * np.ones(100))]
+    sine, noise, silent, short = (r[0] for r in spark.createDataFrame(files, "c binary").coalesce(1).select(media.music_features(F.col("c"))).collect())
+    assert sine["seconds"] == 1 and sine["centroid_mean"] == pytest.approx(440, rel=0.2) and sine["zero_crossing_rate_mean"] == pytest.approx(880 / 22050, rel=0.1)
+    assert noise["centroid_mean"] > 3000 and noise["flatness_mean"] > 10 * sine["flatness_mean"] and sine["rms_mean"] == pytest.approx(0.5 / 2**0.5, rel=0.05)
+    assert silent["error"] == "empty or silent" and short["error"] == "too short (<100ms)" and short["rms_mean"] is None
+
+
 def test_keys(spark):
     turned = lambda p, k: [float(p[(i - k) % 12]) for i in range(12)]
     df = spark.createDataFrame([(turned(media.MAJOR, 7),), (turned(media.MINOR, 9),), ([1.0] * 12,)], "c array<double>")
@@ -120,7 +142,7 @@ def test_exif(spark, order):
     from tallygrid.functions.exif import exif_fields
 
     p = lambda *v: struct.pack(order + "I" * len(v), *v)
-    block = tiff([(0x010F, 2, 6, b"Maker\0"), (0x829A, 5, 1, p(1, 200)), (0x8827, 3, 1, struct.pack(order + "H", 400))], order)
+    block = tiff([(0x010F, 2, 6, b"Maker\0"), (0x0132, 2, 20, b"2020:01:01 00:00:00\0"), (0xA002, 4, 1, p(640)), (0x0100, 4, 1, p(10)), (0x829A, 5, 1, p(1, 200)), (0x8827, 3, 1, struct.pack(order + "H", 400))], order)
     gps = struct.pack(order + "H", 2) + struct.pack(order + "HHI", 1, 2, 2) + b"S\0\0\0" + struct.pack(order + "HHII", 2, 5, 3, 300) + b"\0" * 4
     block2 = tiff([(0x8825, 4, 1, p(60))], order).ljust(60, b"\0") + gps
     block2 = block2.ljust(300, b"\0") + p(10, 1, 30, 1, 0, 1)
@@ -128,4 +150,5 @@ def test_exif(spark, order):
     files = [(bytearray(x),) for x in (jpeg, block2, b"\xff\xd8\xff", b"II*\0\xff", b"text")] + [(None,)]
     rows = [r[0] for r in spark.createDataFrame(files, "content binary").coalesce(1).select(exif_fields("content")).collect()]
     assert (rows[0]["exif_camera_make"], rows[0]["exif_exposure_time"], rows[0]["exif_iso"]) == ("Maker", 0.005, 400)
+    assert rows[0]["exif_datetime"].startswith("2020") and rows[0]["exif_image_width"] == 640 and rows[0]["exif_image_height"] is None
     assert rows[1]["exif_gps_lat"] == -10.5 and all(v is None for r in rows[2:] for v in r)
