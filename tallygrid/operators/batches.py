@@ -129,6 +129,13 @@ def subjects_of(keys: DataFrame, key: str = "key") -> DataFrame:
     return keys.select(split_key(F.col(key))[0].alias("subject")).distinct().orderBy("subject")
 
 
+def split_rows(rows: DataFrame, key: str = "key") -> DataFrame:
+    """Rows with the ``subject`` and the ``path`` of their request keys (C10), to be written by
+    subject."""
+    subject, path = split_key(F.col(key))
+    return rows.withColumn("subject", subject).withColumn("path", path)
+
+
 def failed_sources(source: DataFrame, failed: DataFrame, file_col: str) -> DataFrame:
     """Source rows of failed ones, by normalised path."""
     return source.join(failed.select(slashes(F.col(file_col)).alias("_p")).distinct(), slashes(F.col(file_col)) == F.col("_p"), "left_semi")

@@ -60,9 +60,10 @@ def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Da
     return best.groupBy(*[f"_k{i}" for i in range(len(keys))]).agg(F.max_by("_row", "_o").alias("_row")).select("_row.*")
 
 
-def merge_checkpoints(parts: Mapping[str, DataFrame], keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+def merge_checkpoints(parts: Mapping[str, DataFrame], keys: Sequence[str], order: Sequence[Column] | None = None) -> tuple[DataFrame, DataFrame]:
     """All checkpoints as one table and the ``removed`` count (X2, U1): the last row of a key,
-    by name of the checkpoint, stays. Raises :class:`MergeError` with every problem at once."""
+    by name of the checkpoint and then by ``order`` (for files ``_metadata.file_path`` and
+    ``_metadata.row_index``; without it by Spark's order of reading), stays. Raises :class:`MergeError` with every problem at once."""
     names = sorted(n for n in parts if not n.startswith("_"))
     problems = [] if names else ["no checkpoints"]
     first = parts[names[0]].columns if names else []
@@ -75,7 +76,7 @@ def merge_checkpoints(parts: Mapping[str, DataFrame], keys: Sequence[str]) -> tu
         problems += [f"{n}: no key column {k}" for k in keys if k not in columns]
     if problems:
         raise MergeError(problems)
-    rows = reduce(DataFrame.union, [parts[n].withColumn("_part", F.lit(n)).withColumn("_at", F.monotonically_increasing_id()) for n in names])
+    rows = reduce(DataFrame.union, [parts[n].withColumn("_part", F.lit(n)).withColumn("_at", F.struct(*order) if order else F.monotonically_increasing_id()) for n in names])
     kept = keep_last(rows, keys, [F.col("_part"), F.col("_at")]).drop("_part", "_at")
     counts = rows.agg(F.count(F.lit(1)).alias("n")).crossJoin(rows.select(*keys).distinct().agg(F.count(F.lit(1)).alias("k")))  # single rows
     return kept, counts.select((F.col("n") - F.col("k")).alias("removed"))

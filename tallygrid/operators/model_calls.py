@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallygrid.functions.jsons import response_fields
+from tallygrid.functions.jsons import response_fields, response_text
 
 #: Answers that are worth another try.
 AGAIN = frozenset({429, 500, 502, 503, 504})
@@ -67,6 +67,48 @@ def expired(uris: DataFrame, uploaded_at: str, now: str, hours: int = 48) -> Dat
     return uris.where(F.to_timestamp(F.lit(now)) - F.to_timestamp(uploaded_at) >= F.make_dt_interval(hours=F.lit(hours)))
 
 
+def submit(batches: DataFrame, client: object, tries: int = 3, pause: Callable[[float], None] = time.sleep) -> DataFrame:
+    """``batches`` (``display_name``, ``jsonl_path``) with ``job_name`` by ``client.submit(display_name,
+    jsonl_path)``, ``state`` and ``error`` (X5); rows of the job log. A batch is submitted once: the
+    result is to be written before it is read again."""
+
+    def stream(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            found = [with_retry(lambda b=b: client.submit(*b), tries, pause) for b in part[["display_name", "jsonl_path"]].itertuples(index=False, name=None)]
+            yield part.assign(job_name=[x[1] for x in found], state=["JOB_STATE_PENDING" if x[0] else "JOB_STATE_FAILED" for x in found], error=[x[2] for x in found])
+
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in batches.schema.fields], "job_name string, state string, error string"])
+    return batches.mapInPandas(stream, schema)
+
+
+def download(log: DataFrame, client: object, done: str = "JOB_STATE_SUCCEEDED", rows: int = 1000) -> DataFrame:
+    """``job_name``, ``key``, ``text`` and ``fields`` of the response lines of jobs that succeeded, by
+    ``client.lines(job_name)`` (X5, N4). Lines are streamed; one that is no JSON has null fields, and
+    a job that cannot be read has one row with its error as ``error``."""
+
+    def stream(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for job in part["job_name"]:
+                held, error = [], None
+                try:
+                    for line in client.lines(job):
+                        held.append(line)
+                        if len(held) >= rows:
+                            yield pd.DataFrame({"job_name": job, "line": held, "error": None})
+                            held = []
+                except Exception as e:  # the row records it
+                    error = f"{type(e).__name__}: {e}"
+                if held or error:
+                    yield pd.DataFrame({"job_name": job, "line": [*held, *([None] if error else [])], "error": [*[None] * len(held), *([error] if error else [])]})
+
+    ended = log.where(F.col("state") == done).select("job_name").distinct()
+    lines = ended.mapInPandas(stream, "job_name string, line string, error string")
+    # A line that is no JSON is null.
+    kind = "key string, response struct<candidates array<struct<content struct<parts array<struct<text string>>>>>>"
+    read = lines.withColumn("r", F.from_json("line", kind)).withColumn("text", F.nullif(response_text(F.col("r.response")), F.lit("")))
+    return read.select("job_name", "r.key", "text", response_fields("text").alias("fields"), "error")
+
+
 def poll(log: DataFrame, client: object, every: float, most: float, done: Sequence[str], pause: Callable[[float], None] = time.sleep) -> dict[str, str]:
     """State of every job once all have ended or the time is over (X5). Jobs are a few rows."""
     names, waited = [r[0] for r in log.select("job_name").distinct().collect()], 0.0

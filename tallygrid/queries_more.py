@@ -112,6 +112,12 @@ def batch_subjects(spark, d):
     return batches.subjects_of(table(spark, d, "documents").select(text.build_key(F.concat("source", F.lit("-"), F.coalesce("lang", F.lit("?"))), F.col("doc_id").cast("string")).alias("key")))
 
 
+def batch_split_rows(spark, d):
+    """Rows of each subject, from request keys of documents."""
+    keys = table(spark, d, "documents").select("n_chars", text.build_key(F.concat("source", F.lit("-"), F.coalesce("lang", F.lit("?"))), F.concat(F.lit("d\\"), F.col("doc_id").cast("string"))).alias("key"))
+    return batches.split_rows(keys).groupBy("subject").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("first_path"), F.sum("n_chars").cast("long").alias("chars"))
+
+
 def batch_strategy(spark, d):
     """Batch or live for each day's orders, as one row per rule."""
     sizes = table(spark, d, "documents").groupBy("source").agg(F.sum("n_chars").cast("long").alias("bytes"))
@@ -147,7 +153,7 @@ def topic_outliers(spark, d):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = (
         fn_text, fn_measures, fn_hues, fn_json, ckpt_merge, ckpt_merge_removed, ckpt_merge_lenient, job_upsert, job_live, batch_failed_sources, batch_next_number,
-        batch_subjects, batch_strategy, batch_remaining_uris, topic_merged, topic_listed_twice, topic_outliers,
+        batch_subjects, batch_split_rows, batch_strategy, batch_remaining_uris, topic_merged, topic_listed_twice, topic_outliers,
     )
     return {f.__name__: f for f in made}
 
@@ -191,6 +197,7 @@ def oracle_sql() -> dict[str, str]:
         "batch_failed_sources": r"SELECT o_orderkey, 'm\' || o_orderkey AS file FROM orders WHERE o_orderkey % 6 = 0",
         "batch_next_number": "SELECT max(o_orderkey % 977) + 1 AS next FROM orders",
         "batch_subjects": "SELECT DISTINCT source || '-' || coalesce(lang, '?') AS subject FROM documents",
+        "batch_split_rows": "SELECT source || '-' || coalesce(lang, '?') AS subject, count(*) AS n, min('d/' || doc_id) AS first_path, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY 1",
         "batch_strategy": """SELECT 'size' AS rule, CASE WHEN sum(b) > 5368709120 OR count(*) > 10 THEN 'batch' ELSE 'live' END AS strategy FROM (SELECT sum(n_chars) AS b FROM documents GROUP BY source)
             UNION ALL SELECT 'retry', CASE WHEN count(*) > 500 THEN 'batch' ELSE 'live' END FROM orders WHERE o_orderstatus = 'F'""",
         "batch_remaining_uris": "SELECT o_orderstatus AS subject, o_orderkey::VARCHAR AS path, 'u:' || o_orderkey AS uri FROM orders WHERE o_orderkey % 3 = 1",

@@ -10,9 +10,11 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator, Mapping, Sequence
+from itertools import islice
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader
 from pyspark.sql.types import StringType, StructField, StructType
@@ -62,33 +64,47 @@ def column_number(reference: str) -> int:
     return n - 1
 
 
+def header_type(header: Sequence[str | None]) -> StructType:
+    return StructType([StructField(h or f"column_{i + 1}", StringType()) for i, h in enumerate(header)])
+
+
+def kept_rows(rows: Iterator[list[str | None]], width: int) -> Iterator[tuple]:
+    """The rows behind the header that are not blank, all of one width."""
+    next(rows)
+    for cells in rows:
+        if any(c not in (None, "") for c in cells):
+            yield tuple((cells + [None] * width)[:width])
+
+
 class XlsxSource(DataSource):
-    """``spark.read.format("tallygrid_xlsx").option("sheet", name).load(path)``: text columns."""
+    """``spark.read.format("tallygrid_xlsx").option("sheet", name).load(path)``: text columns. For
+    files that driver and executors reach as a path; :func:`read_sheet` reads any store."""
 
     @classmethod
     def name(cls) -> str:
         return "tallygrid_xlsx"
 
-    def _rows(self) -> list[list[str | None]]:
+    def rows(self) -> Iterator[list[str | None]]:
         with open(self.options["path"].removeprefix("file:"), "rb") as f:
-            return list(sheet_rows(f.read(), self.options.get("sheet")))
+            yield from sheet_rows(f.read(), self.options.get("sheet"))
 
     def schema(self) -> StructType:
-        header = self._rows()[0]
-        return StructType([StructField(h or f"column_{i + 1}", StringType()) for i, h in enumerate(header)])
+        return header_type(next(self.rows()))
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return XlsxReader(self, len(schema.fields))
 
 
+#: Rows of a sheet handed over at a time.
+SHEET_ROWS = 10_000
+
+
 class XlsxReader(DataSourceReader):
     def __init__(self, source: XlsxSource, width: int):
         self.source, self.width = source, width
 
     def read(self, partition) -> Iterator[tuple]:
-        for cells in self.source._rows()[1:]:
-            if any(c not in (None, "") for c in cells):
-                yield tuple((cells + [None] * self.width)[: self.width])
+        yield from kept_rows(self.source.rows(), self.width)
 
 
 def register(spark: SparkSession) -> None:
@@ -96,12 +112,24 @@ def register(spark: SparkSession) -> None:
 
 
 def read_sheet(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
-    """A sheet from any store, by way of ``binaryFile``: text columns."""
-    rows = list(sheet_rows(bytes(spark.read.format("binaryFile").load(path).select("content").first()[0]), sheet))
-    width = len(rows[0])
-    names = [h or f"column_{i + 1}" for i, h in enumerate(rows[0])]
-    kept = [(r + [None] * width)[:width] for r in rows[1:] if any(c not in (None, "") for c in r)]
-    return spark.createDataFrame(kept, StructType([StructField(n, StringType()) for n in names]))
+    """A sheet of the workbooks at a path in any store: text columns, named by the header of the
+    first. Workbooks are parsed in tasks, one each; only the header reaches the driver."""
+    books = spark.read.format("binaryFile").load(path).select("content")
+
+    def headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"h": [next(sheet_rows(bytes(book), sheet)) for book in batch["content"]]})
+
+    shape = header_type(books.limit(1).mapInPandas(headers, "h array<string>").first()[0])
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for book in batch["content"]:
+                kept = kept_rows(sheet_rows(bytes(book), sheet), len(shape))
+                while some := list(islice(kept, SHEET_ROWS)):
+                    yield pd.DataFrame(some, columns=shape.names, dtype=object)
+
+    return books.mapInPandas(rows, shape)
 
 
 def _cell(value: object, style: int, at: str) -> str:

@@ -1,5 +1,7 @@
 """Scalar expressions, sources, sinks, model calls and streaming forms."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,6 +135,31 @@ def test_model_calls(spark):
     assert [r["path"] for r in model_calls.expired(uris, "at", "2024-01-03T12:00:00").collect()] == ["a"]
 
 
+def test_submit_and_download(spark):
+    class Client:
+        def submit(self, name, path):
+            if name == "bad":
+                raise ValueError(path)
+            return f"jobs/{name}"
+
+        def lines(self, job):
+            if job == "jobs/gone":
+                raise OSError("gone")
+            for i in range(5):
+                answer = {"candidates": [{"content": {"parts": [{"text": '{"a": {"b": '}, {"text": f"{i}}}}}"}]}}]}
+                yield json.dumps({"key": f"s::p{i}", "response": answer if i else {}})
+            yield "no json"
+
+    jobs = model_calls.submit(spark.createDataFrame([("one", "x.jsonl"), ("bad", "y.jsonl"), ("gone", "z.jsonl")], "display_name string, jsonl_path string"), Client())
+    log = [(r["job_name"], r["state"], r["error"]) for r in jobs.orderBy("display_name").collect()]
+    assert log == [(None, "JOB_STATE_FAILED", "ValueError: y.jsonl"), ("jobs/gone", "JOB_STATE_PENDING", ""), ("jobs/one", "JOB_STATE_PENDING", "")]
+    ended = jobs.withColumn("state", F.lit("JOB_STATE_SUCCEEDED")).where("job_name IS NOT NULL")
+    rows = model_calls.download(ended, Client(), rows=2).collect()
+    assert {(r["job_name"], r["key"], r["text"]) for r in rows if r["fields"]} == {("jobs/one", f"s::p{i}", f'{{"a": {{"b": {i}}}}}') for i in range(1, 5)}
+    assert sorted(r["fields"]["a.b"] for r in rows if r["fields"]) == ["1", "2", "3", "4"]
+    assert [r["error"] for r in rows if r["job_name"] == "jobs/gone"] == ["OSError: gone"] and len(rows) == 7
+
+
 def test_streams(spark, tmp_path):
     source = str(tmp_path / "in")
     rows = spark.createDataFrame([(1, "2024-01-01 10:00:00", 2.0), (2, "2024-01-01 11:00:00", 4.0), (1, "2024-01-02 01:00:00", 6.0)], "k int, ts string, v double").withColumn("ts", F.to_timestamp("ts"))
