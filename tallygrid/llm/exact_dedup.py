@@ -9,7 +9,7 @@
   the smallest (or largest) identifier is kept, and a sorted run per range is written. A digest with
   a third of all rows is an entry per memtable by then.
 * **Filters.** A compacted set of runs has a filter: bitmaps over hashes of the digests that
-  several rows have. It takes at most ``FILTER_BITS`` bits, so it can be broadcast, and documents
+  several rows have. Its size is bounded (16 MiB), so it can be broadcast, and documents
   are probed where they are read. Those that it rules out are single and go no further; only the
   others are looked up in the runs, on the digest, of which the runs have one row each, so Spark
   splits a hot one freely. In a corpus with more copies than the filter has room for, more texts
@@ -35,12 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallygrid.llm._common import shared_dir, stored
-
-#: Bits of a filter: so many per digest, at most so many in all (16 MiB).
-BITS_PER_DIGEST, FILTER_BITS = 32, 1 << 27
-#: Bits of a bitmap, a fixed value of Spark's bitmap functions.
-BITMAP = 1 << 15
-
+from tallygrid.llm._filter import BitmapFilter
 
 def sha256(text: Column) -> Column:
     """The digest of a text in UTF-8, as 32 bytes."""
@@ -113,29 +108,6 @@ class DigestIndex:
         return self.spark.read.parquet(*self.levels[-1]).select("digest", F.col("id").alias("keep_id"), "n")
 
 
-class DigestFilter:
-    """Bitmaps over hashes of digests; tells which rows may have one of them."""
-
-    def __init__(self, digests: DataFrame):
-        n = max(digests.count(), 1)
-        self.bits = min(FILTER_BITS, max(BITMAP, 1 << (BITS_PER_DIGEST * n - 1).bit_length()))
-        bit = self._bit()
-        self.bitmaps = stored(digests.groupBy(F.bitmap_bucket_number(bit).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("_bitmap")))
-
-    def _bit(self) -> Column:
-        return F.pmod(F.xxhash64("digest"), F.lit(self.bits)) + 1  # Spark's buckets count from 1
-
-    def probe(self, rows: DataFrame) -> DataFrame:
-        """``rows`` with ``maybe``: false only if the digest is not in the filter."""
-        bit = self._bit()
-        probed = rows.withColumn("_bucket", F.bitmap_bucket_number(bit)).withColumn("_place", F.bitmap_bit_position(bit))
-        # At most FILTER_BITS / BITMAP rows of 4 KiB.
-        probed = probed.join(F.broadcast(self.bitmaps), "_bucket", "left")
-        byte = F.conv(F.hex(F.substring("_bitmap", (F.col("_place") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        maybe = F.coalesce(F.expr("getbit(_byte, cast(_place % 8 as int))") == 1, F.lit(False))
-        return probed.withColumn("_byte", byte).withColumn("maybe", maybe).select(*rows.columns, "maybe")
-
-
 def exact_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", digest=sha256, root: str | None = None,
 ) -> DataFrame:
@@ -146,7 +118,7 @@ def exact_dedup(
     index = DigestIndex(docs.sparkSession, root, keep)
     index.flush(keys)
     repeated = index.compact().where("n > 1")
-    several = DigestFilter(repeated.select("digest"))
+    several = BitmapFilter(repeated, "digest")
     alone = several.probe(keys).where("NOT maybe").select("id", "digest", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("n"))
 
     # Only texts that may have a copy are moved, and written once for the comparison.
@@ -155,10 +127,11 @@ def exact_dedup(
     alone = alone.unionByName(looked.where("n = 1").select("id", "digest", F.col("id").alias("keep_id"), "n"))
     # Written before the join: a row per digest, which lets Spark split a large group of copies.
     stays = stored(hits.where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("text").alias("keep_text")))
-    odd = stored(hits.join(stays, "digest").where(F.col("text") != F.col("keep_text")).select("digest").distinct())
+    odd = stored(hits.join(stays, "digest").where(F.col("text") != F.col("keep_text")).select("digest"))
     found = alone.unionByName(hits.select("id", "digest", "keep_id", "n"))
     if not odd.isEmpty():
         # Digests that hold different texts: group their rows by whole texts instead.
+        odd = odd.distinct()
         best = (F.min if keep == "min" else F.max)("id").alias("keep_id")
         again = hits.select("digest", "id", "text").join(odd, "digest", "left_semi")
         exact = stored(again.groupBy("digest", "text").agg(best, F.count(F.lit(1)).alias("n")))

@@ -8,7 +8,8 @@ of a document is thus everything before it. It is indexed by blocks at content-d
    anchor, so equal windows have equal anchors wherever they stand. An anchor's block is the run
    of windows that it marks. Blocks are named by 128 bits over all their words; the index holds
    the earliest place of every kind of block. Where an anchor has blocks of several kinds, which
-   agree in part only, it also holds the earliest place of each window of theirs.
+   agree in part only, it also holds the earliest place of each window of theirs. Anchors that
+   occur once in all documents are left out where a filter of bounded size tells.
 2. **Parsing.** Looked up in the index, a document's blocks and windows point at earlier places.
    Pointers that go on in one source document with one shift make up runs, and the greedy parse
    takes at each position the run that reaches farthest as the next factor. The words of the
@@ -38,7 +39,6 @@ pieces. An empty table gives an empty result. Columns other than id and text are
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,18 +48,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from tallygrid.llm._common import shared_dir, stored
+from tallygrid.llm._common import bucketed, stored
+from tallygrid.llm._filter import BitmapFilter
 
 #: Words hashed at a time; the pieces of a longer text overlap by what a block can span.
 PIECE_WORDS = 200_000
 #: Words whose hashes are remembered in a task.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
+#: Bytes of texts whose words are held at a time.
+SLICE_BYTES = 4 << 20
 #: Bits of a name that are used; fewer only in tests of collisions.
 NAME_BITS = 64
 _random = np.random.default_rng(11)
+#: Bits of a block's length below its place.
+PLACE_SHIFT = 12
 #: A random number and an odd factor per place in a run of words.
-PLACE = _random.integers(0, 2**63, 4096, dtype=np.uint64)
-FACTOR = _random.integers(0, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+PLACE = _random.integers(0, 2**63, 1 << PLACE_SHIFT, dtype=np.uint64)
+FACTOR = _random.integers(0, 2**63, 1 << PLACE_SHIFT, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 class WordHashes(dict):
@@ -121,9 +126,19 @@ def pieces(texts: list[list[bytes]], window: int) -> Iterator[list[tuple[int, in
         yield held
 
 
+def slices(texts: list[bytes]) -> Iterator[slice]:
+    """Stretches of texts of about ``SLICE_BYTES``."""
+    begin, size = 0, 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size >= SLICE_BYTES or i + 1 == len(texts):
+            yield slice(begin, i + 1)
+            begin, size = i + 1, 0
+
+
 def blocks_of(texts: list[list[bytes]], window: int, gram: int, hashes: WordHashes, exact: bool) -> pd.DataFrame:
-    """All blocks of some texts: ``text`` (number), ``a`` (hash of the anchor), ``k``, ``k2``
-    (names), ``at`` (first window), ``n`` (windows) and, if exact, ``words``."""
+    """All blocks of some texts: ``text`` (number), ``a`` (hash of the anchor) and ``k`` (of all words),
+    which are its name, ``at`` (first window), ``n`` (windows) and, if exact, ``words``."""
     parts = []
     for held in pieces(texts, window):
         words = [w for _, _, some in held for w in some]
@@ -137,14 +152,14 @@ def blocks_of(texts: list[list[bytes]], window: int, gram: int, hashes: WordHash
         place = leftmost_least(grams, window - gram + 1)[starts]
         new = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (np.diff(starts) != 1))))
         first, count = starts[new], np.diff(np.concatenate((new, [len(starts)])))
-        k, k2 = names(h, first, count + window - 1)
+        k, _ = names(h, first, count + window - 1)
         piece = np.searchsorted(base, first, "right") - 1
-        part = {"text": np.array([i for i, _, _ in held])[piece], "a": grams[place[new]].view(np.int64), "k": k, "k2": k2,
+        part = {"text": np.array([i for i, _, _ in held])[piece], "a": grams[place[new]].view(np.int64), "k": k,
                 "at": first - base[piece] + np.array([at for _, at, _ in held])[piece], "n": count}
         if exact:
             part["words"] = [b" ".join(words[f:f + c + window - 1]) for f, c in zip(first.tolist(), count.tolist(), strict=True)]
         parts.append(pd.DataFrame(part))
-    return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({c: [] for c in ("text", "a", "k", "k2", "at", "n", "words")}, dtype="int64")
+    return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({c: [] for c in ("text", "a", "k", "at", "n", "words")}, dtype="int64")
 
 
 def earlier_in_text(rows: pd.DataFrame, keys: list[str]) -> np.ndarray:
@@ -218,17 +233,14 @@ def parse(words: list[bytes], factors: list[tuple[int, int, list[bytes]]], windo
     return spans, failed
 
 
-def bucketed(df: DataFrame, key: str) -> DataFrame:
-    """The frame as a table in buckets of ``key``, which joins on it read without a shuffle."""
-    spark = df.sparkSession
-    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"texts_{uuid.uuid4().hex}"
-    writer = df.repartition(n, key).write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}")
-    writer.bucketBy(n, key).sortBy(key).saveAsTable(name)
-    return spark.table(name)
+def at(place: str) -> Column:
+    """The first window of a block, from its place and length in one number."""
+    return F.shiftright(place, PLACE_SHIFT).cast("int")
 
 
-def _exploded(arrays: list[str], *columns: str) -> list[Column | str]:
-    return [*columns, F.explode(F.arrays_zip(*arrays)).alias("z")]
+def n(place: str) -> Column:
+    """The windows of a block."""
+    return F.col(place).bitwiseAND((1 << PLACE_SHIFT) - 1).cast("int")
 
 
 def removal(
@@ -244,12 +256,11 @@ def removal(
     keys = stored(rows.select("who", "digest"))
     # A struct of a null orders as the least and is equal to itself.
     each = keys.groupBy("digest", "who").agg(F.count(F.lit(1)).alias("n"))
-    copied = stored(each.groupBy("digest").agg(F.min("who").alias("stands"), F.sum("n").alias("copies"), F.max("n").alias("most")).where("copies > 1"))
-    standing = keys.join(copied.select("digest", "stands"), "digest", "left").where("stands IS NULL OR who = stands").select("who", "digest").distinct()
+    standing = each.groupBy("digest").agg(F.min("who").alias("who"), F.min_by("n", "who").alias("n"))
     # Numbers in the order of ids, then of digests: partitions of the sort are numbered in its order.
-    standing = stored(standing.orderBy("who", "digest").select("who", "digest", F.monotonically_increasing_id().alias("r")))
+    standing = stored(standing.orderBy("who", "digest").select("who", "digest", "n", F.monotonically_increasing_id().alias("r")))
     texts = rows.join(standing, ["digest", "who"]).select("r", F.col("text").cast("binary").alias("text"))
-    if not copied.where("most > 1").isEmpty():  # rows with equal id and text
+    if not standing.where("n > 1").isEmpty():  # rows with equal id and text
         texts = texts.groupBy("r").agg(F.first("text").alias("text"))
     texts = bucketed(texts, "r")
     parsed = _parsed(texts, window, gram, exact)
@@ -269,53 +280,61 @@ def removal(
 
 def _parsed(texts: DataFrame, window: int, gram: int, exact: bool) -> DataFrame:
     """``r``, ``n_words``, ``n_removed``, ``sha``, ``spans`` and ``failed`` of every text."""
-    name = ["k", "k2", "words"] if exact else ["k", "k2"]
+    words = ["words"] if exact else []
+    kind, name = ["a", "k", *words], ["k", "k2", *words]
     as_words = ", words array<binary>" if exact else ""
-    arrays = ["a", *name, "at", "n", "src"]
 
-    @pandas_udf(f"struct<n_words int, sha string, a array<long>, k array<long>, k2 array<long>, at array<int>, n array<int>, src array<int>{as_words}>")
+    @pandas_udf(f"struct<n_words int, sha string, a array<long>, k array<long>, p array<long>, src array<int>{as_words}>")
     def survey(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for some in series:
-            split = [t.split() for t in some]
-            found = blocks_of(split, window, gram, hashes, exact)
-            found["src"] = earlier_in_text(found, ["text", *name])
-            ends = np.searchsorted(found["text"].to_numpy(), np.arange(len(split) + 1))
-            data = {"n_words": [len(w) for w in split], "sha": [hashlib.sha256(b" ".join(w)).hexdigest() for w in split]}
-            for c in ("a", "k", "k2", "at", "n", "src", *(["words"] if exact else [])):
-                whole = found[c].to_numpy()
-                data[c] = [whole[a:b] for a, b in zip(ends, ends[1:])]
+            data = {c: [] for c in ("n_words", "sha", "a", "k", "p", "src", *words)}
+            for part in slices(some):
+                split = [t.split() for t in some[part]]
+                found = blocks_of(split, window, gram, hashes, exact)
+                found["src"] = earlier_in_text(found, ["text", *kind])
+                found["p"] = (found["at"].to_numpy() << PLACE_SHIFT) + found["n"].to_numpy()
+                ends = np.searchsorted(found["text"].to_numpy(), np.arange(len(split) + 1))
+                data["n_words"] += [len(w) for w in split]
+                data["sha"] += [hashlib.sha256(b" ".join(w)).hexdigest() for w in split]
+                for c in ("a", "k", "p", "src", *words):
+                    whole = found[c].to_numpy()
+                    data[c] += [whole[a:b] for a, b in zip(ends, ends[1:])]
             yield pd.DataFrame(data)
 
     facts = stored(texts.select("r", survey("text").alias("s")).select("r", "s.*"))
-    every = facts.select(*_exploded(arrays, "r")).select("r", "z.*")
+    every = facts.select("r", F.explode(F.arrays_zip(*kind, "p", "src")).alias("z")).select("r", "z.*")
     blocks = every.where("src < 0").drop("src")
-    earliest = [F.min("r").alias("r0"), F.min_by("at", "r").alias("at0"), F.count(F.lit(1)).alias("copies")]
     # Each step is written before the next begins, so the shuffles of only one stand at a time.
-    kinds = stored(blocks.groupBy("a", *name).agg(*earliest, F.max("n").alias("n0")))
+    shared = stored(blocks.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a"))
+    blocks = BitmapFilter(shared, "a").probe(blocks).where("maybe").drop("maybe")
+    kinds = stored(blocks.groupBy(*kind).agg(F.min("r").alias("r0"), F.min_by("p", "r").alias("p0"), F.count(F.lit(1)).alias("copies")))
 
     # Equal windows have equal anchors, so where an anchor has blocks of one kind only, no windows
     # need to be looked up one by one.
     varied = stored(kinds.groupBy("a").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("a"))
-    firsts = kinds.join(varied, "a", "left_semi").groupBy(F.col("r0").alias("r")).agg(F.collect_list(F.struct("at0", "n0")).alias("b"))
+    firsts = kinds.join(varied, "a", "left_semi").groupBy(F.col("r0").alias("r")).agg(F.collect_list(F.struct(at("p0").alias("at"), n("p0").alias("n"))).alias("b"))
 
     def list_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for batch in batches:
-            places = [np.sort(np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) for a, n in zip(batch["ats"], batch["ns"], strict=True)]
-            found = windows_of([t.split() for t in batch["text"]], places, window, hashes, exact)
-            found["src"] = earlier_in_text(found, ["text", *name])
-            found["r"] = batch["r"].to_numpy()[found["text"].to_numpy()]
-            yield found[["r", *name, "at", "src"]]
+            for part in slices(batch["text"].tolist()):
+                some = batch.iloc[part]
+                places = [np.sort(np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) for a, n in zip(some["ats"], some["ns"], strict=True)]
+                found = windows_of([t.split() for t in some["text"]], places, window, hashes, exact)
+                found["src"] = earlier_in_text(found, ["text", *name])
+                found["r"] = some["r"].to_numpy()[found["text"].to_numpy()]
+                yield found[["r", *name, "at", "src"]]
 
     one_word = ", words binary" if exact else ""
-    looked = texts.join(firsts, "r").select("r", "text", F.col("b.at0").alias("ats"), F.col("b.n0").alias("ns"))
+    looked = texts.join(firsts, "r").select("r", "text", F.col("b.at").alias("ats"), F.col("b.n").alias("ns"))
     windows = stored(looked.mapInPandas(list_windows, f"r long, k long, k2 long{one_word}, at int, src int"))
-    first_windows = stored(windows.where("src < 0").groupBy(*name).agg(*earliest).where("copies > 1").drop("copies"))
+    first_windows = windows.where("src < 0").groupBy(*name).agg(F.min("r").alias("r0"), F.min_by("at", "r").alias("at0"), F.count(F.lit(1)).alias("copies"))
+    first_windows = stored(first_windows.where("copies > 1").drop("copies"))
 
-    whole = blocks.drop("a").join(kinds.where("copies > 1").select(*name, "r0", "at0"), name).where("r <> r0").select("r", "at", "n", "r0", "at0")
+    whole = blocks.join(kinds.where("copies > 1").drop("copies"), kind).where("r <> r0").select("r", at("p").alias("at"), n("p").alias("n"), "r0", at("p0").alias("at0"))
     parts = windows.where("src < 0").join(first_windows, name).where("r <> r0").select("r", "at", F.lit(1).alias("n"), "r0", "at0")
-    within = every.where("src >= 0").select("r", "at", "n", F.col("r").alias("r0"), F.col("src").alias("at0"))
+    within = every.where("src >= 0").select("r", at("p").alias("at"), n("p").alias("n"), F.col("r").alias("r0"), F.col("src").alias("at0"))
     within_parts = windows.where("src >= 0").select("r", "at", F.lit(1).alias("n"), F.col("r").alias("r0"), F.col("src").alias("at0"))
     pointers = whole.unionByName(parts).unionByName(within).unionByName(within_parts)
     of_text = pointers.groupBy("r").agg(F.collect_list(F.struct("at", "n", "r0", "at0")).alias("p"))

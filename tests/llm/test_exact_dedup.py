@@ -5,7 +5,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tallygrid.llm import exact_dedup
+from tallygrid.llm import _filter, exact_dedup
 
 
 def want(rows, best):
@@ -70,8 +70,8 @@ def test_sorted_run():
 
 @pytest.mark.parametrize("bits", [1 << 15, 1 << 18, 1 << 27])
 def test_filter(spark, monkeypatch, bits):
-    monkeypatch.setattr(exact_dedup, "FILTER_BITS", bits)
+    monkeypatch.setattr(_filter, "MOST_BITS", bits)
     rows = spark.range(4000).select("id", exact_dedup.sha256(F.col("id").cast("string")).alias("digest"))
-    found = exact_dedup.DigestFilter(rows.where("id % 2 = 0").select("digest")).probe(rows)
+    found = _filter.BitmapFilter(rows.where("id % 2 = 0"), "digest").probe(rows)
     assert found.where("id % 2 = 0 AND NOT maybe").count() == 0
     assert found.where("id % 2 = 1 AND maybe").count() < (400 if bits == 1 << 15 else 100)

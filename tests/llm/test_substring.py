@@ -27,6 +27,7 @@ def slow(rows, n):
 @pytest.mark.parametrize(("window", "gram", "piece"), [(20, 8, 200_000), (20, 8, 50), (5, 2, 11), (3, 3, 7)])
 def test_removal(docs, monkeypatch, window, gram, piece):
     monkeypatch.setattr(substring, "PIECE_WORDS", piece)
+    monkeypatch.setattr(substring, "SLICE_BYTES", piece * 20)
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     want = slow(order, window)
