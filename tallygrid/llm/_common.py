@@ -58,6 +58,10 @@ def cut(df: DataFrame) -> DataFrame:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Rows of a batch between Spark and Python; whole texts make batches of the usual size large.
+BATCH_ROWS, TEXT_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
+
+
 @contextmanager
 def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
     """Settings of the session for the queries that this block runs."""
@@ -76,7 +80,7 @@ def stored(df: DataFrame) -> DataFrame:
     prune columns. The shuffle files behind it are removed once it is written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    with settings(spark, {CLEANUP: "true"}):
+    with settings(spark, {CLEANUP: "true", BATCH_ROWS: TEXT_ROWS}):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
