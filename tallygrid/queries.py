@@ -350,9 +350,10 @@ f AS (SELECT subject, 'missing over 20 %' AS flag, missing AS value FROM s WHERE
   UNION ALL SELECT subject, 'variation over 100 %', cv FROM s WHERE abs(cv) > 100 UNION ALL SELECT subject, 'correlation over .7', r FROM r WHERE abs(r) > 0.7)
 SELECT subject, flag, round(value, 2) AS value FROM f
 """
-#: With thousands of rows Student's distribution is normal to four digits; the tail is Zelen and Severo's approximation.
+#: Student's t as a normal z (error of the order of 1 / rows squared); the tail is Zelen and Severo's approximation.
 P_VALUE_SQL = """
-WITH p AS ({pairs}), t AS (SELECT *, abs(r) * sqrt(("N" - 2) / (1 - r * r)) AS z FROM p), k AS (SELECT *, 1 / (1 + 0.2316419 * z) AS k FROM t)
+WITH p AS ({pairs}), s AS (SELECT *, abs(r) * sqrt(("N" - 2) / (1 - r * r)) AS t FROM p),
+t AS (SELECT *, t * (1 - 0.25 / ("N" - 2)) / sqrt(1 + t * t / 2 / ("N" - 2)) AS z FROM s), k AS (SELECT *, 1 / (1 + 0.2316419 * z) AS k FROM t)
 SELECT col1, col2, round(r, 4) AS r, "N", round(2 * exp(-z * z / 2) * 0.3989422804014327 * k * (0.319381530 + k * (-0.356563782 + k * (1.781477937 + k * (-1.821255978 + k * 1.330274429)))), 4) AS p_value FROM k
 """
 STOP_SQL = ", ".join(f"'{w}'" for w in STOPWORDS)

@@ -37,9 +37,8 @@ def test_sql(spark, sf_dir, name):
     assert_same(df.collect(), df.columns, SQL[name], sf_dir)
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in SQL])
-def test_runs(spark, sf_dir, name):
-    assert QUERIES[name](spark, sf_dir).count() >= 0
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(SQL)
 
 
 def test_entry(spark):
