@@ -55,6 +55,8 @@ from tallygrid.llm._filter import BitmapFilter
 PIECE_WORDS = 200_000
 #: Words whose hashes are remembered in a task.
 REMEMBERED = 200_000
+#: Words of a segment that is brought from a source document to what copies it.
+SEGMENT_WORDS = 64
 #: Bytes of texts whose words are held at a time.
 SLICE_BYTES = 4 << 20
 #: Bits of a name that are used; fewer only in tests of collisions.
@@ -346,33 +348,37 @@ def _parsed(texts: DataFrame, window: int, gram: int, exact: bool) -> DataFrame:
 
     factors = stored(of_text.select("r", "p.at", "p.n", "p.r0", "p.at0").mapInPandas(list_factors, "r long, at int, n int, r0 long, at0 int"))
 
-    # Segments of source documents, each brought once however many factors copy it.
-    wanted = factors.where("r <> r0").select(F.col("r0").alias("r"), "at0", "n").distinct().groupBy("r").agg(F.collect_list(F.struct("at0", "n")).alias("c"))
+    # Segments of source documents, each brought once however many factors copy from it; a
+    # document has as many as its length allows.
+    last = F.col("at0") + F.col("n") + 2 * window - 2
+    copied = factors.where("r <> r0").withColumn("part", F.explode(F.sequence(F.expr(f"at0 div {SEGMENT_WORDS}"), F.floor(last / SEGMENT_WORDS))))
+    wanted = copied.select(F.col("r0").alias("r"), "part").distinct().groupBy("r").agg(F.collect_list("part").alias("parts"))
 
     def list_segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = []
-            for r, text, ats, ns in batch.itertuples(index=False):
+            for r, text, parts in batch.itertuples(index=False):
                 words = text.split()
-                found += [(r, at, n, b" ".join(words[at:at + n + 2 * window - 1])) for at, n in zip(ats.tolist(), ns.tolist(), strict=True)]
-            yield pd.DataFrame(found, columns=["r0", "at0", "n", "words"])
+                found += [(r, part, b" ".join(some)) for part in parts.tolist() if (some := words[part * SEGMENT_WORDS:(part + 1) * SEGMENT_WORDS])]
+            yield pd.DataFrame(found, columns=["r0", "part", "words"])
 
-    cut_from = texts.join(wanted, "r").select("r", "text", F.col("c.at0").alias("ats"), F.col("c.n").alias("ns"))
-    segments = stored(cut_from.mapInPandas(list_segments, "r0 long, at0 int, n int, words binary"))
+    segments = stored(texts.join(wanted, "r").select("r", "text", "parts").mapInPandas(list_segments, "r0 long, part long, words binary"))
     # Factors within a document need no segment: their reference is its own words.
-    near = factors.where("r = r0").select("r", "at", "n", "at0", F.lit(None).cast("binary").alias("words"))
-    far = factors.where("r <> r0").join(segments, ["r0", "at0", "n"]).select("r", "at", "n", "at0", "words")
-    listed = far.unionByName(near).groupBy("r").agg(F.collect_list(F.struct("at", "n", "at0", "words")).alias("f"))
+    near = factors.where("r = r0").select("r", "at", "n", "at0", F.lit(-1).cast("long").alias("part"), F.lit(None).cast("binary").alias("words"))
+    far = copied.join(segments, ["r0", "part"]).select("r", "at", "n", "at0", "part", "words")
+    listed = far.unionByName(near).groupBy("r").agg(F.collect_list(F.struct("at", "n", "at0", "part", "words")).alias("f"))
 
     @pandas_udf("struct<n_removed long, sha string, spans array<array<int>>, failed long>")
-    def cut_out(texts: pd.Series, ats: pd.Series, ns: pd.Series, places: pd.Series, refs: pd.Series) -> pd.DataFrame:
+    def cut_out(texts: pd.Series, ats: pd.Series, ns: pd.Series, places: pd.Series, parts: pd.Series, refs: pd.Series) -> pd.DataFrame:
         out = []
-        for text, at, n, place, ref in zip(texts, ats, ns, places, refs, strict=True):
-            words = text.split()
-            given = [
-                (a, m, words[p:p + m + 2 * window - 1] if w is None else w.split(b" "))
-                for a, m, p, w in zip(at.tolist(), n.tolist(), place.tolist(), ref, strict=True)
-            ]
+        for text, at, n, place, part, ref in zip(texts, ats, ns, places, parts, refs, strict=True):
+            words, held = text.split(), {}
+            for a, m, p, k, w in sorted(zip(at.tolist(), n.tolist(), place.tolist(), part.tolist(), ref, strict=True), key=lambda f: (f[0], f[3])):
+                if w is None:
+                    held[a] = (m, p, 0, words)
+                else:
+                    held.setdefault(a, (m, p, k * SEGMENT_WORDS, []))[3].extend(w.split(b" "))
+            given = [(a, m, source[p - first:p - first + m + 2 * window - 1]) for a, (m, p, first, source) in held.items()]
             spans, failed = parse(words, given, window)
             kept, upto = [], 0
             for a, b in spans:
@@ -381,7 +387,7 @@ def _parsed(texts: DataFrame, window: int, gram: int, exact: bool) -> DataFrame:
             out.append((sum(b - a for a, b in spans), hashlib.sha256(b" ".join(kept + words[upto:])).hexdigest(), spans, failed))
         return pd.DataFrame(out, columns=["n_removed", "sha", "spans", "failed"])
 
-    done = texts.join(listed, "r").select("r", cut_out("text", "f.at", "f.n", "f.at0", "f.words").alias("d")).select("r", "d.*")
+    done = texts.join(listed, "r").select("r", cut_out("text", "f.at", "f.n", "f.at0", "f.part", "f.words").alias("d")).select("r", "d.*")
     both = facts.select("r", "n_words", F.col("sha").alias("whole")).join(done, "r", "left")
     return stored(both.select(
         "r", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("sha", "whole").alias("sha"),
