@@ -75,12 +75,12 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, batch_rows: str = TEXT_ROWS) -> DataFrame:
     """The frame computed once, as a compressed Parquet table in the shared folder; later reads
     prune columns. The shuffle files behind it are removed once it is written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    with settings(spark, {CLEANUP: "true", BATCH_ROWS: TEXT_ROWS}):
+    with settings(spark, {CLEANUP: "true", BATCH_ROWS: batch_rows}):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
