@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrid.llm import decontaminate, exact_dedup, html_extract, language, mixing, secrets, sharding, simhash, substring, tokens, top_k
+from tallygrid.llm import decontaminate, exact_dedup, html_extract, language, mixing, secrets, sharding, simhash, substring, token_align, tokens, top_k
 from tallygrid.llm._common import table
 
 
@@ -107,6 +107,12 @@ def op11_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.top_k(vectors.where("vec_id % 50 = 0"), vectors, k=5)
 
 
+def op12_token_align(spark: SparkSession, sf_dir: str, a_path: str | None = None, b_path: str | None = None) -> DataFrame:
+    paths = a_path or public_tokenizers.path("byte_bpe_50k.json"), b_path or public_tokenizers.path("piece_bpe_32k.model")
+    found = token_align.align(table(spark, sf_dir, "documents").select("doc_id", "text"), *paths, columns=["doc_id"])
+    return found.select("row.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extract": op1_html_extract,
@@ -120,6 +126,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_secrets": op9_secrets,
         "op10_substring_dedup": op10_substring_dedup,
         "op11_top_k": op11_top_k,
+        "op12_token_align": op12_token_align,
     }
 
 
