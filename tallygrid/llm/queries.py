@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrid.llm import decontaminate, exact_dedup, html_extract, language, mixing, secrets, sharding, simhash, substring, token_align, tokens, top_k
+from tallygrid.llm import conversation_repair, decontaminate, exact_dedup, html_extract, language, mixing, secrets, sharding, simhash, substring, token_align, tokens, top_k
 from tallygrid.llm._common import table
 
 
@@ -113,6 +113,12 @@ def op12_token_align(spark: SparkSession, sf_dir: str, a_path: str | None = None
     return found.select("row.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversation_repair.damage(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    found = conversation_repair.repair(damaged, copies=F.col("copies"))
+    return found.select(F.col("conv").alias("conv_id"), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extract": op1_html_extract,
@@ -127,6 +133,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_substring_dedup": op10_substring_dedup,
         "op11_top_k": op11_top_k,
         "op12_token_align": op12_token_align,
+        "op13_conversation_repair": op13_conversation_repair,
     }
 
 
@@ -225,6 +232,66 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM s QUALIFY rank <= 5
 """
 
+#: CRC-32 bit by bit into a table, the damage, and a search forward through the rows for the cheapest and least letters.
+OP13_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(c ORDER BY i) AS t
+  FROM (SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))
+), raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_prepend(4294967295::BIGINT,
+             list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: ascii(x)::BIGINT)),
+             lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) % 20 AS k
+  FROM conversations, crc
+), kept AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN k = 1 THEN '' WHEN k = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE WHEN k = 0 THEN 0 WHEN k = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM raw
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS p FROM kept
+), judged AS (
+  SELECT *, substr(role, 1, 1) AS r, substr(lag(role) OVER (PARTITION BY conv_id ORDER BY p), 1, 1) AS r0,
+         CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+              WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) > 1 THEN 'duplicate'
+              WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault
+  FROM placed
+), best(conv_id, p, last, cost, letters, lines) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, '', 0::BIGINT, '', []::VARCHAR[] FROM kept
+  UNION ALL
+  SELECT conv_id, p, last, w.cost, w.letters, w.lines
+  FROM (
+    SELECT conv_id, p, CASE WHEN e = 'D' THEN last WHEN e = 'K' THEN r WHEN last = 'u' THEN 'a' ELSE 'u' END AS last,
+           min({'cost': cost + CASE WHEN e = 'D' THEN 2 ELSE CASE WHEN e = 'R' THEN 1 ELSE 0 END + CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END END,
+                'letters': letters || e,
+                'lines': CASE WHEN e = 'D' THEN lines ELSE list_append(lines, CASE WHEN e = 'K' THEN role WHEN last = 'u' THEN 'assistant' ELSE 'user' END || ':' || text) END}) AS w
+    FROM (
+      SELECT b.conv_id, j.p, j.r, j.role, j.text, j.fault, unnest(['D', 'K', 'R']) AS e,
+             CASE WHEN i = 0 THEN last WHEN last = 'u' THEN 'a' ELSE 'u' END AS last, cost + 5 * i AS cost, letters || repeat('I', i) AS letters,
+             CASE WHEN i = 0 THEN lines ELSE list_append(lines, CASE WHEN last = 'u' THEN 'assistant:' ELSE 'user:' END) END AS lines
+      FROM (SELECT *, unnest([0, 1]::BIGINT[]) AS i FROM best) b JOIN judged j ON b.conv_id IS NOT DISTINCT FROM j.conv_id AND j.p = b.p + 1
+    )
+    WHERE e = 'D' OR fault IN ('', 'truncated') AND (e = 'R' OR r = CASE WHEN last = 'u' THEN 'a' ELSE 'u' END OR r = 's' AND last = '')
+    GROUP BY 1, 2, 3
+  )
+), counted AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (r0 IS NOT NULL AND r0 || r NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv_id
+), ended AS (
+  SELECT c.*, w FROM counted c JOIN (
+    SELECT b.conv_id, p, min({'cost': cost + CASE last WHEN 'u' THEN 5 WHEN 's' THEN 10 ELSE 0 END, 'letters': letters || CASE last WHEN 'u' THEN 'I' WHEN 's' THEN 'II' ELSE '' END,
+           'lines': list_concat(lines, CASE last WHEN 'u' THEN ['assistant:'] WHEN 's' THEN ['user:', 'assistant:'] ELSE [] END)}) AS w
+    FROM best b GROUP BY 1, 2
+  ) f ON c.conv_id IS NOT DISTINCT FROM f.conv_id AND c.n = f.p
+)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+       CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(w.cost, 0) AS BIGINT) AS cost,
+       coalesce(w.letters, '') AS audit, sha256(coalesce(array_to_string(w.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN ended e ON o.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_substring_dedup": OP10_SQL, "op11_top_k": OP11_SQL, "op3_decontaminate": OP3_SQL, "op5_mix_sources": OP5_SQL, "op7_exact_dedup": OP7_SQL}
+    return {"op10_substring_dedup": OP10_SQL, "op11_top_k": OP11_SQL, "op13_conversation_repair": OP13_SQL, "op3_decontaminate": OP3_SQL, "op5_mix_sources": OP5_SQL, "op7_exact_dedup": OP7_SQL}
