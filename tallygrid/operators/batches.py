@@ -1,8 +1,5 @@
-"""Batches of requests.
-
-Running totals with a reset are sequential within one ordered list. Here the lists are split by
-a key first (a subject, a partition), so lists are independent tasks.
-"""
+"""Batches of requests (W7, W8, C9, E29, E30, X4, X6, X14, J5, J7, U7, K6, K8); batches by size
+(W6) are in :mod:`tallygrid.operators.greedy_batches`."""
 
 from __future__ import annotations
 
@@ -40,30 +37,6 @@ def quota_prefix(subjects: DataFrame, limit: int = KEY_BYTES, subject: str = "su
     return placed.withColumn("running_bytes", (F.col("_ahead") + F.col("_n") * F.col("bytes")).cast("long")).where(F.col("running_bytes") <= limit).drop("_n", "_ahead")
 
 
-def split_by_size(items: DataFrame, key: str, size: str, most: int, order: Sequence[str]) -> DataFrame:
-    """Batches of consecutive items of a key (W6): a new one starts when the next item would
-    exceed ``most``; adds ``batch`` from 0. Items are streamed through one pass per key, in which
-    only a running total is held; a null key is a key, and a null size counts as 0."""
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields], "batch long"])
-
-    def stream(parts):
-        # Rows arrive key by key in order; only the running total is carried on.
-        last, batch, total = (), 0, 0
-        for rows in parts:
-            out = []
-            keys = rows[key].astype(object).where(rows[key].notna(), None)
-            for k, n in zip(keys, rows[size].fillna(0).astype("int64").tolist(), strict=True):
-                if k != last:
-                    last, batch, total = k, 0, 0
-                if total and total + n > most:
-                    batch, total = batch + 1, 0
-                total += n
-                out.append(batch)
-            yield rows.assign(batch=out)
-
-    return items.repartition(key).sortWithinPartitions(key, *order).mapInPandas(stream, schema)
-
-
 #: Subjects that are placed one by one; smaller ones are placed in so many cells.
 PLACED_SUBJECTS, SUBJECT_CELLS = 100_000, 10_000
 

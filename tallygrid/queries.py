@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tallygrid import queries_more
 from tallygrid.functions import jsons, text
-from tallygrid.operators import batches, bivariate, checkpoints, levels, profile, text_tables, topics, trends, univariate
+from tallygrid.operators import batches, bivariate, checkpoints, greedy_batches, levels, profile, text_tables, topics, trends, univariate
 from tallygrid.operators.levels import Level
 
 #: Stop words of the text queries, the same on both sides.
@@ -262,7 +262,7 @@ def batch_quota_prefix(spark, d):
 
 def batch_split_bytes(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "source", "n_chars")
-    return batches.split_by_size(docs, "source", "n_chars", 20_000, ["doc_id"])
+    return greedy_batches.split_by_size(docs, "source", "n_chars", 20_000, ["doc_id"])
 
 
 def batch_bin_pack(spark, d):

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tallygrid.operators import batches, checkpoints
+from tallygrid.operators import batches, checkpoints, greedy_batches
 
 
 def test_merge(spark):
@@ -70,12 +70,12 @@ def test_joins(spark):
 
 def test_batches(spark):
     items = spark.createDataFrame([("k", i, n) for i, n in enumerate((60, 30, 20, 90, 200, 1))] + [("m", 0, 10)], "key string, i int, n long")
-    done = {(r["key"], r["i"]): r["batch"] for r in batches.split_by_size(items, "key", "n", 100, ["i"]).collect()}
+    done = {(r["key"], r["i"]): r["batch"] for r in greedy_batches.split_by_size(items, "key", "n", 100, ["i"]).collect()}
     assert [done["k", i] for i in range(6)] == [0, 0, 1, 2, 3, 4] and done["m", 0] == 0
     sizes = spark.createDataFrame([("a", 5), ("b", 5), ("c", 7), ("d", 1)], "subject string, bytes long")
     odd = spark.createDataFrame([(None, i, 60) for i in range(3)] + [("a", 1, None), ("a", 2, 70), ("a", 3, 70)], "key string, i int, n int")
-    assert sorted(r["batch"] for r in batches.split_by_size(odd, "key", "n", 100, ["i"]).where("key IS NULL").collect()) == [0, 1, 2]
-    assert [r["batch"] for r in batches.split_by_size(odd, "key", "n", 100, ["i"]).where("key = 'a'").orderBy("i").collect()] == [0, 0, 1]
+    assert sorted(r["batch"] for r in greedy_batches.split_by_size(odd, "key", "n", 100, ["i"]).where("key IS NULL").collect()) == [0, 1, 2]
+    assert [r["batch"] for r in greedy_batches.split_by_size(odd, "key", "n", 100, ["i"]).where("key = 'a'").orderBy("i").collect()] == [0, 0, 1]
     assert {r["subject"]: r["running_bytes"] for r in batches.quota_prefix(sizes, 11).collect()} == {"d": 1, "a": 6, "b": 11}
     keys = {r["subject"]: r["key_id"] for r in batches.spread_over_keys(sizes, 2).collect()}
     assert keys == {"c": 0, "a": 1, "b": 1, "d": 0}
