@@ -4,6 +4,7 @@ import base64
 import math
 import random
 import re
+import time
 
 import pytest
 
@@ -65,6 +66,27 @@ def test_random_values_after_an_equals_sign(spark):
     assert {r["id"]: [text[r["id"]][s["start"]:s["end"]] for s in r["found"] if s["kind"] == "random"] for r in found} == {i: [key] for i in text}
 
 
+def test_very_long_tokens(spark):
+    """Millions of characters in one run take seconds: the work is linear in a token's length."""
+    rng = random.Random(6)
+    noise = base64.b64encode(rng.randbytes(3_000_000)).decode()
+    rows = [(1, f"data:image/png;base64,{noise} end"), (2, "z1" * 2_000_000), (3, "x" * 4_000_000), (4, "token = " + "zy9" * 700_000)]
+    began = time.monotonic()
+    found = {r["id"]: [(s["kind"], s["start"], s["end"]) for s in r["found"]] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert time.monotonic() - began < 60
+    assert found == {1: [("random", 22, 22 + len(noise))], 2: [], 3: [], 4: [("assign", 0, 8 + 2_100_000)]}
+
+
+def test_pieces(spark, monkeypatch):
+    """Sums over pieces of any length are those of the whole."""
+    rng = random.Random(7)
+    tokens = ["".join(rng.choices(a, k=rng.randint(20, 80))) for a in ALPHABETS.values() for _ in range(4)]
+    for piece in (1, 7, 20, 1000):
+        monkeypatch.setattr(secrets, "PIECE", piece)
+        for r in secrets.randomness(spark.createDataFrame([(t,) for t in tokens], "match string"), "match").collect():
+            assert r["r"]["p"] == pytest.approx(slow_battery(r["match"])[1], abs=2e-6) and r["r"]["gain"] == pytest.approx(slow_battery(r["match"])[2], abs=1e-6)
+
+
 def test_empty(none):
     assert secrets.scan(none).count() == 0
 
