@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallygrid.functions.text import build_key, labelled_block, mime_type, slashes, split_key
+from tallygrid.sources.file_table import FileTable
 
 GB = 1 << 30
 #: Storage of a key, fixed values: so much of it may be used by media.
@@ -131,6 +132,22 @@ def upsert_jobs(log: DataFrame, entries: DataFrame, now: str) -> DataFrame:
     return both.select(*[F.col("job_name") if c == "job_name" else value(c).alias(c) for c in names])
 
 
+def merge_jobs(table: FileTable, entries: DataFrame, now: str) -> dict[str, int]:
+    """:func:`upsert_jobs` on a log kept as a table of files (X6): files with a changed job are
+    rewritten, new jobs are added. Columns that the log does not have are left out."""
+    name = F.col("job_name")
+
+    def changed(rows: DataFrame, changes: DataFrame) -> DataFrame:
+        return upsert_jobs(rows, changes.join(rows.select("job_name"), "job_name", "left_semi"), now)
+
+    def added(changes: DataFrame) -> DataFrame:
+        log = table.read()
+        new = upsert_jobs(log.limit(0), changes, now)
+        return new.select(*log.columns)
+
+    return table.merge(entries, name, name, changed, added)
+
+
 def strategy(subjects: DataFrame, urgent: bool = False) -> DataFrame:
     """``batch`` or ``live`` (X14): batch above 5 GB or 10 subjects unless it is urgent."""
     many = (F.sum("bytes") > 5 * GB) | (F.count(F.lit(1)) > 10)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallygrid.functions.text import slashes
+from tallygrid.sources.file_table import FileTable
 
 #: Failed rows are retried so often, and results below this share of a subject need a look.
 MOST_RETRIES, GOOD_COVERAGE = 3, 0.9
@@ -132,6 +133,12 @@ def apply_retries(checkpoint: DataFrame, retries: DataFrame, file_col: str, fiel
     return joined.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in checkpoint.columns])
 
 
+def merge_retries(table: FileTable, retries: DataFrame, file_col: str, fields: Sequence[str]) -> dict[str, int]:
+    """:func:`apply_retries` on a table of files: only files with a retried row are rewritten."""
+    path = slashes(F.col(file_col))
+    return table.merge(retries, path, path, lambda rows, changes: apply_retries(rows, changes, file_col, fields))
+
+
 def not_blank(x: Column) -> Column:
     """Neither null nor white space."""
     return F.coalesce(F.trim(x.cast("string")) != "", F.lit(False))

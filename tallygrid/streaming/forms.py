@@ -5,7 +5,7 @@ They use the batch expressions; late rows are bounded by watermarks, so state is
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tallygrid.operators.checkpoints import keep_last
+from tallygrid.sources.file_table import FileTable
 
 
 def windowed_trend(stream: DataFrame, time: str, measure: str, every: str = "1 day", late: str = "7 days", keys: Sequence[str] = ()) -> DataFrame:
@@ -37,12 +38,25 @@ def ingest_available(stream: DataFrame, path: str, checkpoint: str) -> Streaming
     return stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
 
 
-def upsert_last(stream: DataFrame, keys: Sequence[str], order: str, read: Callable[[], DataFrame | None], write: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
-    """Keep the last row of each key in a table: each micro-batch merges with what is there."""
-
-    def merge(batch: DataFrame, _: int) -> None:
-        old = read()
-        rows = batch if old is None else old.unionByName(batch)
-        write(keep_last(rows, keys, [F.col(order)]))
+def upsert_last(stream: DataFrame, keys: Sequence[str], order: str, table: FileTable, checkpoint: str) -> StreamingQuery:
+    """Keep the last row of each key in a table of files: a micro-batch rewrites the files that hold
+    one of its keys and adds new keys. The table's manifest notes the batch, so one that runs again
+    after a failure changes nothing."""
+    name = F.struct(*[F.col(k) for k in keys])
+
+    def later(rows: DataFrame, changes: DataFrame) -> DataFrame:
+        met = changes.join(rows.select(*keys), list(keys), "left_semi")
+        return keep_last(rows.unionByName(met), keys, [F.col(order)])
+
+    def merge(batch: DataFrame, number: int) -> None:
+        note, rows = f"{checkpoint}:{number}", keep_last(batch, keys, [F.col(order)])
+        own = FileTable(batch.sparkSession, table.path)  # of the batch's session
+        held = own.manifest()
+        if held["note"] == note:
+            return
+        if held["schema"] is None:
+            own.append(rows, note)
+        else:
+            own.merge(rows, name, name, later, lambda fresh: fresh, note)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

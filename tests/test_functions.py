@@ -9,6 +9,7 @@ from tallygrid.functions import jsons, measures, text
 from tallygrid.operators import model_calls
 from tallygrid.sources import readers, writers
 from tallygrid.sources.xlsx import read_sheet, register, sheet_rows, workbook
+from tallygrid.sources.file_table import FileTable
 from tallygrid.streaming import forms
 
 
@@ -174,7 +175,11 @@ def test_streams(spark, tmp_path):
     q = forms.windowed_trend(stream(), "ts", "v").writeStream.format("memory").queryName("trend").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r["count"], r["v_mean"]) for r in spark.table("trend").collect()} == {(2, 3.0), (1, 6.0)}
-    kept = {}
-    forms.upsert_last(stream(), ["k"], "ts", lambda: kept.get("t"), lambda df: kept.update(t=spark.createDataFrame(df.collect(), df.schema)), str(tmp_path / "c2")).awaitTermination()
-    assert {(r["k"], r["v"]) for r in kept["t"].collect()} == {(1, 6.0), (2, 4.0)}
+    table = FileTable(spark, str(tmp_path / "last"))
+    for _ in range(2):  # the second run finds nothing new
+        forms.upsert_last(stream(), ["k"], "ts", table, str(tmp_path / "c2")).awaitTermination()
+    assert {(r["k"], r["v"]) for r in table.read().collect()} == {(1, 6.0), (2, 4.0)} and table.version() == 1
+    spark.createDataFrame([(2, "2023-01-01 00:00:00", 9.0), (3, "2024-01-05 00:00:00", 1.0), (1, "2024-02-01 00:00:00", 8.0)], "k int, ts string, v double").withColumn("ts", F.to_timestamp("ts")).write.mode("append").parquet(source)
+    forms.upsert_last(stream(), ["k"], "ts", table, str(tmp_path / "c2")).awaitTermination()
+    assert {(r["k"], r["v"]) for r in table.read().collect()} == {(1, 8.0), (2, 4.0), (3, 1.0)} and table.version() == 2
     assert forms.distinct_events(stream(), ["k"], "ts").isStreaming
