@@ -9,15 +9,17 @@ in any dimension is placed by its own vector; at most ``3 * shards / single_shar
 that heavy, so the driver sees some ten thousand rows of sums, whatever the input, and no
 document. The groups below that weight, whose number grows with the input, hash into ``cells``
 cells, which are placed like groups. A group heavier than ``whole_share`` of a shard fits nowhere
-in balance: it is cut by a hash of the document ids into pieces of at most half that weight. The
-tables broadcast have the same bounds.
+in balance: it is cut by a hash of the document ids into pieces of at most half that weight. Rows of
+such a group that share an id, or have none, are dealt to its pieces in turn: how many each piece
+gets follows from their number, so any numbering of them will do. The tables broadcast have the
+same bounds.
 
 Within a shard the slot is the number of documents in earlier (cell, bucket) pairs plus the row
 number within the pair; a cell has ``buckets`` pairs, and a single group one more for each
 ``1 / buckets`` of the weight at which groups are cut.
 
-Edge cases: a null text counts no bytes and no tokens; null ids and repeated rows are placed
-like any other row; equal texts stay in one shard unless their group is heavier than
+Edge cases: a null text counts no bytes and no tokens; null and equal ids are dealt in turn where
+their group is cut, and placed like any other row elsewhere; equal texts stay in one shard unless their group is heavier than
 ``whole_share`` of it; an empty table gives an empty result. Extra columns travel inside one
 struct and cannot clash.
 """
@@ -97,8 +99,23 @@ def shard(
             "bucket", F.pmod(F.xxhash64("h", F.lit("slot")), F.coalesce("buckets", F.lit(buckets)))
         )
 
+    # Rows of a group that is cut which the hash of their ids does not tell apart: text and so size are the same.
+    cut_up = facts.join(split.where("pieces > 1"), "g")
+    alike = cut_up.groupBy("g", "h", "first", "pieces", "buckets").agg(F.count(F.lit(1)).alias("n"), F.first("bytes").alias("bytes"), F.first("tokens").alias("tokens")).where("n > 1")
+    alike = cut(alike.withColumn("turns", F.col("pieces") * F.col("buckets")))
+    some_alike = not alike.isEmpty()
+
+    def dealt(df: DataFrame, turn: Column) -> DataFrame:
+        place = F.pmod(F.col("h") + turn, F.col("turns"))
+        return df.withColumn("cell", F.col("first") + F.pmod(place, F.col("pieces"))).withColumn("bucket", F.floor(place / F.col("pieces")))
+
     # One row per (cell, bucket): its number is bounded by the parameters.
-    held = celled(facts).groupBy("cell", "bucket").agg(*sums).toPandas().sort_values(["cell", "bucket"])
+    counted = celled(facts.join(alike, ["g", "h"], "left_anti") if some_alike else facts).select("cell", "bucket", *DIMENSIONS)
+    if some_alike:
+        in_turn = alike.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.least("n", "turns") - 1)))
+        in_turn = dealt(in_turn, F.col("turn")).withColumn("rows", F.floor(F.col("n") / F.col("turns")) + F.when(F.col("turn") < F.col("n") % F.col("turns"), 1).otherwise(0))
+        counted = counted.unionByName(in_turn.select("cell", "bucket", (F.col("bytes") * F.col("rows")).alias("bytes"), (F.col("tokens") * F.col("rows")).alias("tokens"), "rows"))
+    held = counted.groupBy("cell", "bucket").agg(*sums).toPandas().sort_values(["cell", "bucket"])
     items = held.groupby("cell")[list(DIMENSIONS)].sum()
     place = dict(zip(items.index, pack(items.to_numpy(dtype=float), shards), strict=True)) if len(items) else {}
     held["shard"] = held["cell"].map(place)
@@ -107,10 +124,16 @@ def shard(
         [(int(c), int(b), int(s), int(a)) for c, b, s, a in held[["cell", "bucket", "shard", "ahead"]].itertuples(index=False)],
         "cell long, bucket long, shard int, ahead long",
     ))
-    rows = celled(docs.select(
+    plain = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in columns or docs.columns]).alias("row"),
         group.alias("g"), spread.alias("h"), size.alias("size"), F.col(id_col).alias("id"),
-    ))
+    )
+    rows = celled(plain.join(alike, ["g", "h"], "left_anti") if some_alike else plain)
+    if some_alike:
+        turn = F.row_number().over(Window.partitionBy("g", "h").orderBy("id")) - 1
+        again = dealt(plain.join(alike.select("g", "h", "first", "pieces", "turns"), ["g", "h"]).withColumn("turn", turn), F.col("turn"))
+        kept = ["row", "g", "size", "id", "cell", "bucket"]
+        rows = rows.select(*kept).unionByName(again.select(*kept))
     within = Window.partitionBy("cell", "bucket").orderBy("id", "g")
     return (
         rows.withColumn("n", F.row_number().over(within))

@@ -78,3 +78,26 @@ def test_each_group_is_placed_by_its_own_vector(spark, docs):
         want[g] = max(range(4), key=lambda b: (left[b] @ vectors[g], -b))
         left[want[g]] = left[want[g]] - vectors[g]
     assert homes == want
+
+
+@pytest.mark.parametrize("ids", ["CAST(NULL AS long)", "7L", "CASE WHEN id % 3 = 0 THEN id WHEN id % 3 = 1 THEN NULL ELSE 5L END"])
+def test_a_hot_group_without_ids_is_cut(spark, ids):
+    """Rows that no id tells apart are dealt in turn: half of the rows are one text with such ids."""
+    texts = F.when(F.col("id") < 480, F.lit("hot " * 2000)).otherwise(F.concat(F.lit("text "), F.col("id").cast("string"), F.repeat(F.lit(" word"), 1500)))
+    df = spark.range(960).select(F.expr(ids).alias("doc_id"), texts.alias("text"), F.col("id").alias("own")).repartition(3)
+    rows = sharding.shard(df, shards=24).collect()
+    check(rows, 24)
+    assert sorted(r["row"]["own"] for r in rows) == list(range(960))
+    load = Counter()
+    for r in rows:
+        load[r["shard"]] += r["size"]
+    fair = sum(load.values()) / 24
+    assert len(load) == 24 and max(load.values()) < 1.05 * fair and min(load.values()) > 0.95 * fair, load
+
+
+def test_repeated_rows_in_a_cut_group(spark):
+    """Equal ids in a group that is cut, and no ids elsewhere: every row has one place."""
+    df = spark.range(600).select((F.col("id") % 40).alias("doc_id"), F.when(F.col("id") % 2 == 0, "hot").alias("text"))
+    rows = sharding.shard(df, shards=5, cells=16, buckets=2).collect()
+    check(rows, 5)
+    assert len(rows) == 600 and max(Counter(r["shard"] for r in rows).values()) <= 130
