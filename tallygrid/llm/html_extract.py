@@ -74,8 +74,9 @@ THRESHOLD = 0.5
 HOLDS = 0.9
 
 
-#: How furniture is known: surely (tag, role, state, reader comments) or by the words of a name only.
-SURE, NAMED = 1, 2
+#: How furniture is known: surely (tag, role, state, reader comments), by the words of a name only, or
+#: only hinted at by one of several words, so that its text decides.
+SURE, NAMED, HINTED = 3, 2, 1
 READER_WORDS = frozenset("comment comments disqus respond replies hidden".split())
 #: Words beside those above in the name of a part of a page.
 PART_WORDS = frozenset(
@@ -83,6 +84,13 @@ PART_WORDS = frozenset(
     "js left link links list main meta outer panel region right row section side slot text thread title top unit wrap wrapper".split())
 #: The only names that make a paragraph furniture.
 ADVERT_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored copyright cookie cookies breadcrumb breadcrumbs share social".split())
+#: With these a paragraph's name must have no other words.
+OFFER_WORDS = ADVERT_WORDS | frozenset("promo promotion notice notices newsletter signup subscribe subscription gdpr consent".split())
+#: What is hinted at is furniture unless so much of its text lies on content paths, in text nodes of
+#: this share of the others' mean length.
+PROSE, LONG = 0.5, 0.4
+#: How a line begins that is no part of an article outside of one.
+RIGHTS = re.compile(r"\W*(?:©|\(c\)|copyright\b)[^\n]{0,200}\Z", re.I)
 #: An element that is furniture by its name only, but holds so many times the text of the rest, is a wrapper.
 WRAPPER = 3.0
 #: Share of the content paths' text by which a main or article element is taken for the page's.
@@ -97,11 +105,13 @@ def named(name: str, key: str, word: str) -> int:
     own = [w for w in words if w in FURNITURE_WORDS]
     whole = bool(own) and all(w in FURNITURE_WORDS or w in PART_WORDS or w.isdigit() for w in words)
     if name == "p":
-        return NAMED if whole and ADVERT_WORDS.issuperset(own) else 0
+        return NAMED if whole and ADVERT_WORDS.issuperset(own) or OFFER_WORDS.issuperset(words) else 0
+    if name == "blockquote":
+        return HINTED if own else 0
     if whole and (words[0] in READER_WORDS or words[-1] in READER_WORDS):
         return SURE
     # An id can be made from a heading's words, so all of it must name a part of a page.
-    return NAMED if whole or key == "class" and (words[0] in FURNITURE_WORDS or words[-1] in FURNITURE_WORDS) else 0
+    return NAMED if whole else HINTED if key == "class" and (words[0] in FURNITURE_WORDS or words[-1] in FURNITURE_WORDS) else 0
 
 
 def furniture(name: str, attributes: str, in_article: bool) -> int:
@@ -264,6 +274,20 @@ class Page:
         return keep
 
 
+    def hinted_away(self, element: list[int], content: np.ndarray, length: np.ndarray) -> list[bool]:
+        """Whether each element is, or is in, one that a name hints at and whose text is no prose."""
+        region = [0] * len(self.name)  # the outermost element hinted at
+        for e in range(1, len(region)):
+            region[e] = region[self.parent[e]] or (e if self.own[e] == HINTED else 0)
+        of = np.array([region[e] for e in element])
+        sums = {key: np.bincount(of, x, len(region)) for key, x in (("all", length), ("prose", length * content), ("n", np.ones(len(of))))}
+        rest = content & (of == 0)
+        usual = length[rest].mean() if rest.any() else 0.0
+        stays = (sums["prose"] >= PROSE * sums["all"]) & (sums["all"] >= LONG * usual * sums["n"])
+        stays[0] = True
+        return [not stays[r] for r in region]
+
+
 def own_element(page: Page, sums: list[float]) -> int:
     """The outermost main, or else article, element that holds most of the text and nearly all
     that elements like it hold; the page as a whole if there is none."""
@@ -275,18 +299,9 @@ def own_element(page: Page, sums: list[float]) -> int:
     return 0
 
 
-def main_text(source: str | None) -> str:
-    """The main text of one page."""
-    if not source:
-        return ""
-    page = Page(source)
-    keep = page.kept()
-    page.nodes = [node for node in page.nodes if keep[node[0]]]
-    nodes = [(e, t, b) for e, t, b in page.nodes if not t.isspace()]
-    if not nodes:
-        return ""
-    element = np.array([e for e, _, _ in nodes])
-    path = np.array(page.path)[element]
+def content_nodes(page: Page, nodes: list[tuple[int, str, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Which text nodes lie on content paths, by tag-path ratios, and the length of each."""
+    path = np.array(page.path)[np.array([e for e, _, _ in nodes])]
     length = np.array([len(" ".join(t.split())) for _, t, _ in nodes], float)
     marks = np.array([len(PUNCTUATION.findall(t)) for _, t, _ in nodes], float)
     count = np.bincount(path)
@@ -299,7 +314,25 @@ def main_text(source: str | None) -> str:
 
     fused = per_path(smooth(per_path(length)[path])) * (1 + per_path(smooth(per_path(marks)[path])))
     of_node = fused[path]
-    content = of_node >= min(THRESHOLD * of_node.std(), of_node.max())
+    return of_node >= min(THRESHOLD * of_node.std(), of_node.max()), length
+
+
+def main_text(source: str | None) -> str:
+    """The main text of one page."""
+    if not source:
+        return ""
+    page = Page(source)
+    keep = page.kept()
+    page.nodes = [node for node in page.nodes if keep[node[0]]]
+    nodes = [(e, t, b) for e, t, b in page.nodes if not t.isspace()]
+    if HINTED in page.own and nodes:
+        gone = page.hinted_away([e for e, _, _ in nodes], *content_nodes(page, nodes))
+        page.nodes = [node for node in page.nodes if not gone[node[0]]]
+        nodes = [node for node in nodes if not gone[node[0]]]
+    if not nodes:
+        return ""
+    element = np.array([e for e, _, _ in nodes])
+    content, length = content_nodes(page, nodes)
 
     # Text of content paths below every element; children come after their parents.
     held = np.zeros(len(page.name))
@@ -344,14 +377,23 @@ def main_text(source: str | None) -> str:
                 page.name[e] in HEADINGS and e < root or page.name[e] == "p" and page.name[parent[e]] not in ("html", "body", "#root")):
             below[e] = True
         below[e] = below[e] or (parent[e] not in beside and below[parent[e]])
+    following: dict[int, int] = {}  # the element after each, with the same parent
+    for e in range(len(below) - 1, root, -1):
+        after = following.get(parent[e], 0)
+        if page.name[e] in HEADINGS and parent[e] in beside and not below[e] and below[after] and page.name[after] in ("p", *HEADINGS):
+            below[e] = True  # a heading after the root that heads a paragraph of the article
+            for inside in range(e + 1, after):
+                below[inside] = True
+        following[parent[e]] = e
     kept = {b for (e, _, b), own in zip(nodes, content.tolist(), strict=True) if own and inner[e]}
 
     blocks: dict[int, list[str]] = {}
     for e, t, b in page.nodes:
         if below[e] or b in kept:
             blocks.setdefault(b, []).append(t)
-    lines = (" ".join("".join(parts).split()) for parts in blocks.values())
-    return "\n".join(line for line in lines if line)
+    in_article = {b for e, _, b in page.nodes if page.article[e]}
+    lines = ((b, " ".join("".join(parts).split())) for b, parts in blocks.items())
+    return "\n".join(line for b, line in lines if line and (b in in_article or not RIGHTS.match(line)))
 
 
 def extract(source: Column) -> Column:

@@ -87,6 +87,33 @@ def test_furniture_within_an_article(part):
     assert main_text(f"<body><article><p>{P}</p>{part}<p>{P}</p></article></body>") == f"{P.strip()}\n{P.strip()}"
 
 
+@pytest.mark.parametrize("start", ['<div class="market-share">', '<div class="social-policy">', '<section class="login-problem">', '<blockquote class="comment">', '<div class="notice-period">', '<div class="search-engines">'])
+def test_prose_stays_whatever_hints_at_it(start):
+    end = "</" + start[1:].split()[0] + ">"
+    for inner in (P * 2, f"<p>{P * 2}</p>", f"<p>{P}</p><p>{P}</p>"):
+        page = f"<body><nav><a href=1>Home</a></nav><article>{f'<p>{P * 2}</p>' * 3}{start}{inner}{end}<p>{P * 2}</p></article></body>"
+        assert main_text(page).replace("\n", " ").count("The quick brown fox") == 10, (start, inner)
+
+
+@pytest.mark.parametrize("part", ['<div class="related-stories"><a href=1>One</a><a href=2>Two</a></div>', '<div class="share-this">Tweet it</div>', '<div class="newsletter-cta">Join now.</div>', '<p class="promo">Buy, now.</p>',
+                                  '<p class="newsletter-signup">Get it, weekly.</p>', '<p class="notice">We moved.</p>'])
+def test_short_text_goes_that_a_name_hints_at(part):
+    assert main_text(f"<body><article>{f'<p>{P * 2}</p>' * 3}{part}<p>{P}</p></article></body>") == "\n".join([(P * 2).strip()] * 3 + [P.strip()])
+
+
+def test_headings_after_the_root():
+    page = f"<body><div class=post><h1>Title</h1><div class=entry>{f'<p>{P * 3}</p>' * 12}</div><h2>Appendix <i>A</i></h2><p>{P}</p><h2>More to read</h2><ul><li><a href=1>x</a></ul></div></body>"
+    assert main_text(page) == "\n".join(["Title", *[(P * 3).strip()] * 12, "Appendix A", P.strip()])
+
+
+def test_copyright_lines_outside_an_article():
+    for line in ("Copyright 2020 The Example Company, Inc. All rights reserved.", "&copy; 2019-2024 Example, all rights reserved.", "(c) Example, 2001."):
+        page = f"<body><div><h1>Title</h1>{f'<p>{P * 2}</p>' * 4}</div><div>{line}</div></body>"
+        assert main_text(page) == "\n".join(["Title", *[(P * 2).strip()] * 4]), line
+    page = f"<body><article><p>{P}</p><p>Copyright is a right, says the law of 1710.</p></article></body>"
+    assert main_text(page).endswith("1710.")
+
+
 def test_wrappers_as_deep_as_they_are():
     for deep in (1, 5, 40):
         page = "<body>" + '<div class="sidebar">' * deep + f"<div><p>{P * 3}</p><p>Tiny.</p></div>" + "</div>" * deep + "<div>x, y</div></body>"
@@ -119,7 +146,7 @@ def generated(rng):
         text = sentence(1, 8)
         return rng.choice([
             f"<nav><ul><li><a href=/>{text}</a></li></ul></nav>", f"<aside><p>{text}</p></aside>", f"<div class='ad-slot'>{text}</div>", f"<div id=cookie-banner><p>{text}</p></div>", f"<form>{text}<input></form>",
-            f"<script>var a = '<p>{text}</p>';</script>", f"<style>p {{}} /* {text} */</style>", f"<footer><p>{text}</p></footer>", f"<!-- <p>{text}</p> -->", f"<section class='comments'><p>{text} {text}</p></section>", f"<div hidden>{text}</div>", f"<div role=navigation>{text}</div>",
+            f"<script>var a = '<p>{text}</p>';</script>", f"<style>p {{}} /* {text} */</style>", f"<footer><p>{text}</p></footer>", f"<!-- <p>{text}</p> -->", f"<section class='comments'><p>{text} {text}</p></section>", f"<p class='promo'>{text}</p>", f"<p class=newsletter-signup>{text}</p>", f"<div hidden>{text}</div>", f"<div role=navigation>{text}</div>",
         ])
 
     lines, body = [], []
