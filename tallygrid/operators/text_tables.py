@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallygrid.functions.text import bigrams, tokens, word_count
+from tallygrid.operators.heavy_items import top_items
 
 
 def text_summary(df: DataFrame, column: str, stopwords: Sequence[str] = ()) -> DataFrame:
@@ -19,16 +20,23 @@ def text_summary(df: DataFrame, column: str, stopwords: Sequence[str] = ()) -> D
     return totals.crossJoin(F.broadcast(vocabulary)).select("avg_word_count", "vocab_size", "total_docs")  # one row each
 
 
+def ngrams(column: str, n: int = 1, stopwords: Sequence[str] = ()) -> Column:
+    """The words of a text, or its pairs of neighbouring words left by the stop words."""
+    words = tokens(F.col(f"`{column}`").cast("string"), stopwords)
+    return words if n == 1 else bigrams(words)
+
+
 def ngram_counts(df: DataFrame, column: str, n: int = 1, stopwords: Sequence[str] = ()) -> DataFrame:
-    """``item`` and ``count`` of words, or of neighbouring words left by the stop words."""
+    """``item`` and ``count`` of all words, or of all pairs of neighbouring words."""
     # Pairs name the words several times, so these are a column of their own, made once.
-    words = df.select(tokens(F.col(f"`{column}`").cast("string"), stopwords).alias("w"))
+    words = df.select(ngrams(column, 1, stopwords).alias("w"))
     return words.select(F.explode("w" if n == 1 else bigrams(F.col("w"))).alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("count"))
 
 
 def top_ngrams(df: DataFrame, column: str, n: int = 1, top_n: int = 10, stopwords: Sequence[str] = ()) -> DataFrame:
-    """The ``top_n`` most frequent, ties by item."""
-    return ngram_counts(df, column, n, stopwords).orderBy(F.desc("count"), "item").limit(top_n)
+    """The ``top_n`` most frequent, ties by item; only items that can be among them are counted."""
+    words = df.select(ngrams(column, 1, stopwords).alias("w"))
+    return top_items(words, F.col("w") if n == 1 else bigrams(F.col("w")), top_n)
 
 
 def text_analysis(df: DataFrame, columns: Sequence[str], top_n: int = 10, stopwords: Sequence[str] = ()) -> DataFrame:
