@@ -72,38 +72,59 @@ def numbered(sizes: np.ndarray, most: int, first: int = 0) -> np.ndarray:
     return np.cumsum(starts) - 1
 
 
-def split_by_size(items: DataFrame, key: str, size: str, most: int, order: Sequence[str]) -> DataFrame:
-    """``items`` with ``batch`` from 0 within each key: consecutive items by ``order``, a new batch
-    where the next item would exceed ``most``. A null key is a key, and a null size counts as 0."""
-    spark = items.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    named = items.select(F.struct(*[F.col(f"`{c}`") for c in items.columns]).alias("row"), F.struct(F.col(f"`{key}`").alias("key")).alias("k"), F.coalesce(F.col(f"`{size}`"), F.lit(0)).cast("long").alias("size"), *[F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate(order)])
-    by = ["k", *[f"o{i}" for i in range(len(order))]]
-    ranged = named.repartitionByRange(parts, *by).sortWithinPartitions(*by).select("row", "k", "size")
-    schema = T.StructType([*ranged.schema.fields, *T.StructType.fromDDL("part long, run long, pos long, batch long")])
+def own_runs(schema: T.StructType, most: int):
+    """A function that gives the ordered rows of a task (``row``, ``k``, ``size``) their ``part``, ``run``
+    of equal keys, ``pos`` in it and ``batch``, as if a batch began where each run does."""
 
-    def own_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def batched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A run may go on in the next batch of rows: of it only the open batch's total is held.
         part, run, last, pos, batch, total = TaskContext.get().partitionId(), -1, None, 0, 0, 0
         for rows in batches:
             if not rows.num_rows:
                 continue
             keys, sizes = rows.column("k").to_pylist(), rows.column("size").to_numpy()
-            changes = [i for i in range(len(keys)) if (keys[i - 1] if i else last) != keys[i]]
+            changes = {i for i in range(len(keys)) if (keys[i - 1] if i else last) != keys[i]}
             out = np.empty((3, len(keys)), np.int64)
-            edges = [*([0] if 0 not in changes else []), *changes, len(keys)]
+            edges = sorted({0, *changes, len(keys)})
             for a, b in zip(edges, edges[1:]):
-                if a in changes[:1] or a:
+                if a in changes:
                     run, pos, batch, total = run + 1, 0, 0, 0
                 own = numbered(np.concatenate([[total], sizes[a:b]]), most)[1:]
                 out[0, a:b], out[1, a:b], out[2, a:b] = run, np.arange(pos, pos + b - a), batch + own
-                of_last = own == own[-1]
-                total = int(sizes[a:b][of_last].sum()) + (total if own[-1] == 0 else 0)
+                total = int(sizes[a:b][own == own[-1]].sum()) + (total if own[-1] == 0 else 0)
                 pos, batch = pos + b - a, batch + int(own[-1])
             last = keys[-1]
             yield pa.record_batch([*rows.columns, pa.array(np.full(len(keys), part)), *map(pa.array, out)], schema.names)
 
-    placed = stored(ranged.mapInArrow(own_runs, schema))
+    return batched
+
+
+def split_by_size(items: DataFrame, key: str, size: str, most: int, order: Sequence[str], hot: int = 1_000_000) -> DataFrame:
+    """``items`` with ``batch`` from 0 within each key: consecutive items by ``order``, a new batch
+    where the next item would exceed ``most``. A null key is a key, and a null size counts as 0.
+
+    Keys of up to ``hot`` items are a run within one task; longer ones are spread over ranges, to
+    the same result."""
+    many = items.groupBy(F.struct(F.col(f"`{key}`").alias("key")).alias("k")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("k")
+    named = items.select(
+        F.struct(*[F.col(f"`{c}`") for c in items.columns]).alias("row"), F.struct(F.col(f"`{key}`").alias("key")).alias("k"), F.coalesce(F.col(f"`{size}`"), F.lit(0)).cast("long").alias("size"),
+        *[F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate(order)])
+    by = ["k", *[f"o{i}" for i in range(len(order))]]
+    schema = T.StructType([*named.schema.fields[:3], *T.StructType.fromDDL("part long, run long, pos long, batch long")])
+
+    def in_tasks(rows: DataFrame) -> DataFrame:
+        ordered = rows.repartition("k").sortWithinPartitions(*by).select("row", "k", "size")
+        return ordered.mapInArrow(own_runs(schema, most), schema).select("row.*", "batch")
+
+    if many.isEmpty():
+        return in_tasks(named)
+    return in_tasks(named.join(many, "k", "left_anti")).unionByName(_over_ranges(named.join(many, "k", "left_semi"), by, most, schema))
+
+
+def _over_ranges(named: DataFrame, by: Sequence[str], most: int, schema: T.StructType) -> DataFrame:
+    spark = named.sparkSession
+    ranged = named.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *by).sortWithinPartitions(*by).select("row", "k", "size")
+    placed = stored(ranged.mapInArrow(own_runs(schema, most), schema))
     lasts = placed.groupBy("part").agg(F.max("run").alias("last"))
     ends = placed.join(F.broadcast(lasts), "part").where("run = 0 OR run = last").groupBy("part", "run", "last").agg(F.first("k").alias("k"), F.sum("size").alias("total"))
     found = ends.orderBy("part", "run").collect()  # at most two rows a range

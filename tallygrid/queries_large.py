@@ -18,7 +18,7 @@ from tallygrid.sources.file_table import FileTable
 def batch_split_hot(spark, d):
     """All order lines as one key."""
     lines = table(spark, d, "lineitem").select(F.lit("all").alias("key"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.col("l_quantity").cast("long").alias("n"))
-    return greedy_batches.split_by_size(lines, "key", "n", 30_000, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]).select("l_orderkey", "l_linenumber", "l_partkey", "batch")
+    return greedy_batches.split_by_size(lines, "key", "n", 30_000, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], hot=5_000).select("l_orderkey", "l_linenumber", "l_partkey", "batch")
 
 
 def new_table(spark: SparkSession, name: str) -> FileTable:

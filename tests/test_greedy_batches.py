@@ -32,7 +32,7 @@ def test_hot_key(spark, most, shape):
     items = spark.createDataFrame(rows, "key string, i int, n long").withColumn("batches", F.lit("x"))
     spark.conf.set("spark.sql.shuffle.partitions", "7")
     try:
-        found = greedy_batches.split_by_size(items, "key", "n", most, ["i"]).collect()
+        found = greedy_batches.split_by_size(items, "key", "n", most, ["i"], hot=30).collect()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert {(r["key"], r["i"]): r["batch"] for r in found} == loop(rows, most) and len(found) == len(rows)
@@ -40,7 +40,7 @@ def test_hot_key(spark, most, shape):
 
 def test_one_key_fills_every_task(spark):
     items = spark.range(4000).select(F.lit("k").alias("key"), "id", F.lit(1).alias("n"))
-    found = greedy_batches.split_by_size(items, "key", "n", 100, ["id"])
+    found = greedy_batches.split_by_size(items, "key", "n", 100, ["id"], hot=1000)
     assert found.groupBy("batch").count().where("count <> 100").count() == 0
     ranges = found.inputFiles()
     assert len(ranges) >= 4  # each range was written by a task of its own
