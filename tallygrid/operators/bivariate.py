@@ -1,7 +1,7 @@
 """Correlations, grouped statistics and cross-tabulations.
 
-All Pearson correlations are aggregates of one pass. Spearman ranks come from value histograms, so
-no window ever orders the data itself.
+All Pearson correlations are aggregates of one pass, and so are Spearman's over ranks. Ranks come
+from value histograms, so no window ever orders the data itself.
 """
 
 from __future__ import annotations
@@ -12,11 +12,11 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tallygrid.functions.stats import correlation_p_value
 from tallygrid.operators.profile import long_form
 from tallygrid.operators.quantiles import exact_quantiles
+from tallygrid.operators.ranks import with_ranks
 from tallygrid.session import nan_to_null
 
 
@@ -32,16 +32,6 @@ def kept_rows(df: DataFrame, columns: Sequence[str], deletion: str) -> DataFrame
     return df.dropna(subset=list(columns)) if deletion == "listwise" else df
 
 
-def complete_pairs(df: DataFrame, columns: Sequence[str], deletion: str) -> DataFrame:
-    """A row per pair of columns and row in which both are known: ``col1``, ``col2``, ``x``, ``y``."""
-    df = kept_rows(df, columns, deletion)
-    pairs = F.array(*[
-        F.struct(F.lit(a).alias("col1"), F.lit(b).alias("col2"), F.col(f"`{a}`").cast("double").alias("x"), F.col(f"`{b}`").cast("double").alias("y"))
-        for a, b in combinations(columns, 2)
-    ])
-    return df.select(F.explode(pairs).alias("p")).select("p.*").where("x IS NOT NULL AND y IS NOT NULL")
-
-
 def pearson(df: DataFrame, columns: Sequence[str], deletion: str = "pairwise", p_values: bool = True) -> DataFrame:
     """Pearson correlations (E8): ``col1``, ``col2``, ``r``, ``p_value``, ``N``; pairs with
     under 3 rows are left out, and r is null for a constant column."""
@@ -49,14 +39,13 @@ def pearson(df: DataFrame, columns: Sequence[str], deletion: str = "pairwise", p
     p = [F.round(correlation_p_value("r", "N"), 4).alias("p_value")] if p_values else []
     found, pairs = [], list(combinations(columns, 2))
     for at in range(0, len(pairs), PAIRS):  # an aggregate of thousands of columns is no use
-        some = F.array(*[pair_row(a, b) for a, b in pairs[at:at + PAIRS]])
+        some = F.array(*[pair_row(a, b, *(F.col(f"`{c}`").cast("double") for c in (a, b))) for a, b in pairs[at:at + PAIRS]])
         found.append(df.agg(some.alias("pairs")).select(F.explode("pairs").alias("p")).select("p.*").where("N >= 3"))
     return reduce(DataFrame.unionByName, found).select("col1", "col2", F.round("r", 4).alias("r"), *p, "N")
 
 
-def pair_row(a: str, b: str) -> Column:
-    """``col1``, ``col2``, ``r`` and ``N`` of the rows in which both columns are known."""
-    x, y = (F.col(f"`{c}`").cast("double") for c in (a, b))
+def pair_row(a: str, b: str, x: Column, y: Column) -> Column:
+    """``col1``, ``col2``, ``r`` and ``N`` of the rows in which both numbers are known."""
     both = x.isNotNull() & y.isNotNull()
     # Not ``corr``, which divides by zero where a column is constant.
     r = F.try_divide(F.covar_samp(x, y), F.stddev_samp(F.when(both, x)) * F.stddev_samp(F.when(both, y)))
@@ -64,23 +53,23 @@ def pair_row(a: str, b: str) -> Column:
 
 
 def spearman(df: DataFrame, columns: Sequence[str], deletion: str = "pairwise", p_values: bool = True) -> DataFrame:
-    """Spearman correlations (E9) over average ranks of each pair's complete rows."""
-    joint = complete_pairs(df, columns, deletion).groupBy("col1", "col2", "x", "y").agg(F.count(F.lit(1)).alias("k"))
-    pair = ["col1", "col2"]
+    """Spearman correlations (E9) over average ranks of each pair's complete rows. Every column is
+    ranked once, and all pairs are aggregates of one pass over the ranks."""
+    df = kept_rows(df, columns, deletion)
+    # After listwise deletion all columns are known everywhere; pairs may each leave out other rows.
+    ranked = with_ranks(df, columns, [[]] if deletion == "listwise" else [[c] for c in columns])
+    place = {c: i for i, c in enumerate(columns)}
 
-    def ranked(axis: str) -> DataFrame:
-        sums = joint.groupBy(*pair, axis).agg(F.sum("k").alias("own"))
-        before = Window.partitionBy(*pair).orderBy(axis).rowsBetween(Window.unboundedPreceding, -1)
-        return sums.select(*pair, axis, (F.coalesce(F.sum("own").over(before), F.lit(0)) + (F.col("own") + 1) / 2).alias(f"r{axis}"))
+    def rank(c: str, other: str) -> Column:
+        of = F.get(F.col(f"r{place[c]}"), F.lit(0 if deletion == "listwise" else place[other]))
+        return F.when(F.col(f"`{other}`").isNotNull(), of)
 
-    ranks = joint.join(ranked("x"), [*pair, "x"]).join(ranked("y"), [*pair, "y"])
-    n = F.sum("k").cast("double")
-    sx, sy = F.sum(F.col("k") * F.col("rx")), F.sum(F.col("k") * F.col("ry"))
-    sxy, sxx, syy = (F.sum(F.col("k") * F.col(a) * F.col(b)) for a, b in (("rx", "ry"), ("rx", "rx"), ("ry", "ry")))
-    rho = F.try_divide(n * sxy - sx * sy, F.sqrt(n * sxx - sx * sx) * F.sqrt(n * syy - sy * sy))
-    found = ranks.groupBy(*pair).agg(rho.alias("rho"), F.sum("k").alias("N")).where("N >= 3")
-    p = [F.round(correlation_p_value("rho", "N"), 4).alias("p_value")] if p_values else []
-    return found.select(*pair, F.round("rho", 4).alias("rho"), *p, "N")
+    found, pairs = [], list(combinations(columns, 2))
+    for at in range(0, len(pairs), PAIRS):
+        some = F.array(*[pair_row(a, b, rank(a, b), rank(b, a)) for a, b in pairs[at:at + PAIRS]])
+        found.append(ranked.agg(some.alias("pairs")).select(F.explode("pairs").alias("p")).select("p.*").where("N >= 3"))
+    p = [F.round(correlation_p_value("r", "N"), 4).alias("p_value")] if p_values else []
+    return reduce(DataFrame.unionByName, found).select("col1", "col2", F.round("r", 4).alias("rho"), *p, "N")
 
 
 def grouped_stats(df: DataFrame, groups: Sequence[str], measures: Sequence[str], ordinal: Sequence[str] = ()) -> DataFrame:
@@ -101,19 +90,29 @@ def grouped_stats(df: DataFrame, groups: Sequence[str], measures: Sequence[str],
     )
 
 
+def cross_tabulate_all(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Counts of pairs of columns with ``Total`` margins, in long form (E11): ``row_column``,
+    ``column_column``, ``row``, ``column``, ``count``. One scan makes one histogram over pair and
+    values, which combines before the shuffle; rows with a null on either side count nowhere.
+    ``row_margin`` and ``column_margin`` tell a margin from a value ``Total``."""
+    text = {c: F.col(f"`{c}`").cast("string") for pair in pairs for c in pair}
+    each = F.array(*[F.struct(F.lit(i).alias("pair"), text[a].alias("row_value"), text[b].alias("column_value")) for i, (a, b) in enumerate(pairs)])
+    both = df.select(F.explode(each).alias("p")).select("p.*").where("row_value IS NOT NULL AND column_value IS NOT NULL")
+    cells = both.groupBy("pair", "row_value", "column_value").agg(F.count(F.lit(1)).alias("count"))
+    margins = F.array(*[
+        F.struct(F.when(F.lit(not r), F.col("row_value")).alias("r"), F.when(F.lit(not c), F.col("column_value")).alias("c"), F.lit(r).alias("row_margin"), F.lit(c).alias("column_margin"))
+        for r in (False, True) for c in (False, True)])
+    summed = cells.select("pair", "count", F.explode(margins).alias("m")).groupBy("pair", "m").agg(F.sum("count").alias("count"))
+    names = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
+    named = summed.withColumn("names", F.get(names, F.col("pair")))
+    return named.select(
+        F.col("names.a").alias("row_column"), F.col("names.b").alias("column_column"), F.when(F.col("m.row_margin"), "Total").otherwise(F.col("m.r")).alias("row"),
+        F.when(F.col("m.column_margin"), "Total").otherwise(F.col("m.c")).alias("column"), "count", "m.row_margin", "m.column_margin")
+
+
 def cross_tabulate(df: DataFrame, row: str, column: str) -> DataFrame:
-    """Counts of two columns with ``Total`` margins, in long form (E11); rows with a null on
-    either side count nowhere. ``row_margin`` and ``column_margin`` tell a margin from a value ``Total``."""
-    both = df.select(F.col(f"`{row}`").cast("string").alias("row_value"), F.col(f"`{column}`").cast("string").alias("column_value")).dropna()
-    cells = both.groupBy("row_value", "column_value").agg(F.count(F.lit(1)).alias("count"))
-
-    def named(c: str) -> Column:
-        return F.when(F.grouping(c) == 1, "Total").otherwise(F.col(c))
-
-    return cells.cube("row_value", "column_value").agg(
-        named("row_value").alias("row"), named("column_value").alias("column"), F.sum("count").alias("count"),
-        (F.grouping("row_value") == 1).alias("row_margin"), (F.grouping("column_value") == 1).alias("column_margin"),
-    ).select("row", "column", "count", "row_margin", "column_margin")
+    """Counts of two columns with ``Total`` margins, in long form (E11), as in :func:`cross_tabulate_all`."""
+    return cross_tabulate_all(df, [(row, column)]).drop("row_column", "column_column")
 
 
 def contingency_table(df: DataFrame, row: str, column: str) -> DataFrame:

@@ -51,8 +51,8 @@ class Profiler:
             out["10_spearman"] = bivariate.spearman(df, ordinal, self.deletion)
         if self.groups and (numeric or ordinal):
             out["11_grouped_stats"] = bivariate.grouped_stats(df, self.groups, numeric, ordinal)
-        for a, b in combinations(of_level(levels, Level.NOMINAL, Level.BINARY), 2):
-            out[f"12_crosstab_{a}_{b}"] = bivariate.cross_tabulate(df, a, b)
+        if pairs := list(combinations(of_level(levels, Level.NOMINAL, Level.BINARY), 2)):
+            out["12_crosstabs"] = bivariate.cross_tabulate_all(df, pairs)
         if text:
             out["13_text_analysis"] = text_tables.text_analysis(df, text, self.top_n, self.stopwords)
         if temporal:

@@ -5,11 +5,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrid.operators import batches, checkpoints, greedy_batches
+from tallygrid.operators import batches, bivariate, checkpoints, greedy_batches, text_tables
 from tallygrid.queries_more import job_log, table
 from tallygrid.shared import shared_folder
 from tallygrid.sources.file_table import FileTable
@@ -46,15 +47,80 @@ def job_file_merge(spark, d):
     return held.read()
 
 
+RANKED = "SELECT l_linenumber AS a, nullif(l_quantity, 7) AS b, CASE WHEN l_discount > 0.02 THEN l_discount END AS c, CASE WHEN l_orderkey % 3 > 0 THEN l_extendedprice END AS d FROM lineitem"
+
+
+def ranked(spark: SparkSession, d: str) -> DataFrame:
+    """Columns of order lines, three with missing values in different rows."""
+    return table(spark, d, "lineitem").select(
+        F.col("l_linenumber").alias("a"), F.nullif("l_quantity", F.lit(7)).alias("b"), F.when(F.col("l_discount") > 0.02, F.col("l_discount")).alias("c"),
+        F.when(F.col("l_orderkey") % 3 > 0, F.col("l_extendedprice")).alias("d"))
+
+
+def eda_spearman_pairwise(spark, d):
+    return bivariate.spearman(ranked(spark, d), ["a", "b", "c", "d"], p_values=False)
+
+
+def eda_spearman_listwise(spark, d):
+    return bivariate.spearman(ranked(spark, d), ["a", "b", "c", "d"], "listwise", p_values=False)
+
+
+NOMINAL = ("l_returnflag", "l_linestatus", "l_linenumber", "l_tax")
+
+
+def eda_crosstabs(spark, d):
+    """All pairs of four columns of order lines; one of them is null where it is 1."""
+    rows = table(spark, d, "lineitem").withColumn("l_linenumber", F.nullif("l_linenumber", F.lit(1)))
+    return bivariate.cross_tabulate_all(rows, list(combinations(NOMINAL, 2)))
+
+
+def eda_text_report(spark, d):
+    """Summary, words and pairs of the documents and of the conversations."""
+    both = table(spark, d, "documents").select("text", F.lit(None).cast("string").alias("said")).unionByName(table(spark, d, "conversations").select(F.lit(None).cast("string").alias("text"), F.col("text").alias("said")))
+    return text_tables.text_analysis(both, ["text", "said"], 12, ["the", "de", "la"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (batch_split_hot, ckpt_file_merge, job_file_merge)
+    made = (batch_split_hot, ckpt_file_merge, job_file_merge, eda_spearman_pairwise, eda_spearman_listwise, eda_crosstabs, eda_text_report)
     return {f.__name__: f for f in made}
 
 
+def spearman_sql(pairs_of: str) -> str:
+    """Spearman by ranks within each pair's rows, of ``t`` with columns a to d."""
+    parts = []
+    for x, y in combinations("abcd", 2):
+        parts.append(f"""SELECT '{x}' AS col1, '{y}' AS col2, round(corr(rx, ry), 4) AS rho, count(*) AS "N" FROM (
+            SELECT rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2.0 AS rx, rank() OVER (ORDER BY {y}) + (count(*) OVER (PARTITION BY {y}) - 1) / 2.0 AS ry
+            FROM t WHERE {x} IS NOT NULL AND {y} IS NOT NULL {pairs_of})""")
+    return f"WITH t AS ({RANKED}) " + " UNION ALL ".join(parts)
+
+
+def crosstabs_sql() -> str:
+    parts = [f"""SELECT '{a}' AS row_column, '{b}' AS column_column, coalesce({a}, 'Total') AS "row", coalesce({b}, 'Total') AS "column", count(*) AS count, grouping({a}) = 1 AS row_margin, grouping({b}) = 1 AS column_margin
+        FROM t WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY CUBE ({a}, {b})""" for a, b in combinations(NOMINAL, 2)]
+    return "WITH t AS (SELECT l_returnflag, l_linestatus, nullif(l_linenumber, 1)::VARCHAR AS l_linenumber, l_tax::VARCHAR AS l_tax FROM lineitem) " + " UNION ALL ".join(parts)
+
+
+def report_sql() -> str:
+    """Words are of two ASCII letters or more, in lower case, without three stop words."""
+    words = r"""list_filter(list_transform(list_filter(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[a-zA-Z]+')), lambda x: lower(x)),
+        lambda w: len(w) > 1 AND w NOT IN ('the', 'de', 'la'))"""
+    parts = []
+    for column, source in (("text", "documents"), ("said", "conversations")):
+        pairs = f"SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS item FROM (SELECT {words} AS w FROM {source})"
+        summary = f"SELECT round(avg(len(regexp_extract_all(text, '\\S+'))), 2) AS a, (SELECT count(DISTINCT w) FROM (SELECT unnest({words}) AS w FROM {source}))::DOUBLE AS v, count(*)::DOUBLE AS t FROM {source} WHERE text IS NOT NULL"
+        parts += [f"SELECT '{column}' AS \"column\", 'summary' AS type, unnest(['avg_word_count', 'vocab_size', 'total_docs']) AS item, unnest([a, v, t]) AS count FROM ({summary})"]
+        for kind, items in (("unigram", f"SELECT unnest({words}) AS item FROM {source}"), ("bigram", pairs)):
+            parts.append(f"SELECT * FROM (SELECT '{column}', '{kind}', item, count(*)::DOUBLE FROM ({items}) GROUP BY item ORDER BY count(*) DESC, item LIMIT 12)")
+    return " UNION ALL ".join(parts)
+
+
 def oracle_sql() -> dict[str, str]:
     from tallygrid.queries_more import JOBS_SQL
 
     return {
+        "eda_spearman_pairwise": spearman_sql(""), "eda_spearman_listwise": spearman_sql("AND a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL AND d IS NOT NULL"),
+        "eda_crosstabs": crosstabs_sql(), "eda_text_report": report_sql(),
         "batch_split_hot": """WITH RECURSIVE o AS (SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_quantity AS BIGINT) AS n, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS i FROM lineitem),
             p AS (SELECT *, sum(n) OVER (ORDER BY i) AS t FROM o),
             b(batch, i, t0) AS (SELECT 0::BIGINT, 1::BIGINT, 0::HUGEINT UNION ALL SELECT batch + 1, j, tj FROM (SELECT b.batch, min(p.i) AS j, min(p.t - p.n) AS tj FROM b JOIN p ON p.t > b.t0 + 30000 AND p.i > b.i GROUP BY b.batch)),

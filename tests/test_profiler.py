@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -96,6 +97,33 @@ def test_correlations(survey):
     assert found["views", "const"]["r"] is None and ("views", "one_valid") not in found
 
 
+def test_ranks_of_many_columns(spark):
+    """All pairs of columns with missing values in different rows, against ranks by pandas."""
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({c: np.where(rng.random(400) < 0.15, np.nan, rng.integers(0, high, 400)) for c, high in (("a", 4), ("b", 300), ("c c", 12), ("d", 2))})
+    pdf["whole"] = rng.integers(0, 9, 400).astype(float)
+    df = spark.createDataFrame(pdf).repartition(3)
+    for deletion in ("pairwise", "listwise"):
+        found = {(r["col1"], r["col2"]): (r["rho"], r["N"]) for r in bivariate.spearman(df, list(pdf.columns), deletion, p_values=False).collect()}
+        assert len(found) == 10
+        for (a, b), (rho, n) in found.items():
+            both = (pdf if deletion == "listwise" else pdf[[a, b]]).dropna()
+            assert n == len(both) and rho == pytest.approx(both[a].rank().corr(both[b].rank()), abs=1e-4)
+    assert bivariate.spearman(df.where("false"), ["a", "b"]).count() == 0
+
+
+def test_all_cross_tables_in_one_scan(survey):
+    pairs = [("platform", "tier"), ("platform", "rating"), ("tier", "rating")]
+    every = bivariate.cross_tabulate_all(survey, pairs)
+    for a, b in pairs:
+        one = every.where((F.col("row_column") == a) & (F.col("column_column") == b)).drop("row_column", "column_column")
+        assert sorted(map(str, one.collect())) == sorted(map(str, bivariate.cross_tabulate(survey, a, b).collect()))
+    crossed = pd.crosstab(survey.toPandas()["platform"], survey.toPandas()["tier"], margins=True, margins_name="Total")
+    assert {(r["row"], r["column"]): r["count"] for r in every.where("row_column = 'platform' AND column_column = 'tier'").collect()} == {(i, c): n for i, row in crossed.iterrows() for c, n in row.items() if n}
+    plan = every._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 2 + plan.count("AdaptiveSparkPlan") * 2
+
+
 def test_p_values():
     assert stats.correlation_p(0.632, 10) == pytest.approx(0.05, abs=1e-3)
     assert stats.correlation_p(0.765, 10) == pytest.approx(0.01, abs=1e-3)
