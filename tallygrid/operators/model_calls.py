@@ -14,10 +14,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallygrid.functions.jsons import response_fields, response_text
+from tallygrid.operators.shared_stop import Pace, SharedStop
 
 #: Answers that are worth another try.
 AGAIN = frozenset({429, 500, 502, 503, 504})
 OUTCOME = "ok boolean, text string, error string, tries int"
+#: What an error says when the storage of uploads is full, a fixed value; no further call can succeed.
+QUOTA = "file_storage_bytes"
+#: The error of rows that were not tried after a stop.
+STOPPED = "stopped"
 
 
 def with_retry(call: Callable[[], str], tries: int = 3, pause: Callable[[float], None] = time.sleep) -> tuple[bool, str | None, str, int]:
@@ -35,31 +40,64 @@ def with_retry(call: Callable[[], str], tries: int = 3, pause: Callable[[float],
     raise AssertionError
 
 
-def analyze(rows: DataFrame, client: object, columns: Sequence[str], tries: int = 3, pause: Callable[[float], None] = time.sleep) -> DataFrame:
+def calls(call: Callable[..., str], tries: int, pause: Callable[[float], None], stop: SharedStop | None, per_second: float | None, tasks: int) -> Callable[..., tuple[bool, str | None, str, int]]:
+    """A task's calls, at its share of the rate: each looks for the stop first, and one whose error
+    names the quota sets it. Rows after a stop have no tries and the error ``stopped``."""
+    pace = Pace(per_second, tasks, pause=pause)
+
+    def one(*values) -> tuple[bool, str | None, str, int]:
+        if stop is not None and stop.reason() is not None:
+            return False, None, STOPPED, 0
+        pace.wait()
+        found = with_retry(lambda: call(*values), tries, pause)
+        if stop is not None and QUOTA in found[2]:
+            stop.set(found[2])
+        return found
+
+    return one
+
+
+def _tasks(rows: DataFrame, per_second: float | None, tasks: int) -> DataFrame:
+    """Rows dealt to so many tasks if a rate is to be shared."""
+    return rows.repartition(tasks) if per_second else rows
+
+
+def analyze(
+    rows: DataFrame, client: object, columns: Sequence[str], tries: int = 3, pause: Callable[[float], None] = time.sleep,
+    stop: SharedStop | None = None, per_second: float | None = None, tasks: int = 16,
+) -> DataFrame:
     """``rows`` with the outcome of ``client.analyze(values of columns)`` and its fields as a map
-    (X1, X7). An empty answer counts as blocked."""
+    (X1, X7). An empty answer counts as blocked. With ``per_second`` the rows go to ``tasks`` tasks,
+    which share that rate; ``stop`` is looked for before each call."""
 
     def stream(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        call = calls(client.analyze, tries, pause, stop, per_second, tasks)
         for part in parts:
-            found = [with_retry(lambda v=v: client.analyze(*v), tries, pause) for v in part[list(columns)].itertuples(index=False, name=None)]
+            found = [call(*v) for v in part[list(columns)].itertuples(index=False, name=None)]
             ok, text, error, n = zip(*found, strict=True) if found else ((), (), (), ())
             blocked = [o and not t for o, t in zip(ok, text, strict=True)]
             yield part.assign(ok=[o and not b for o, b in zip(ok, blocked, strict=True)], text=list(text), error=["blocked" if b else e for b, e in zip(blocked, error, strict=True)], tries=list(n))
 
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields], OUTCOME])
-    return rows.mapInPandas(stream, schema).withColumn("fields", response_fields("text")).withColumn("ok", F.col("ok") & F.col("fields").isNotNull())
+    done = _tasks(rows, per_second, tasks).mapInPandas(stream, schema)
+    return done.withColumn("fields", response_fields("text")).withColumn("ok", F.col("ok") & F.col("fields").isNotNull())
 
 
-def upload(files: DataFrame, client: object, tries: int = 3, pause: Callable[[float], None] = time.sleep) -> DataFrame:
-    """``files`` (subject, path) with ``uri`` by ``client.upload(path)`` (X11)."""
+def upload(
+    files: DataFrame, client: object, tries: int = 3, pause: Callable[[float], None] = time.sleep,
+    stop: SharedStop | None = None, per_second: float | None = None, tasks: int = 16,
+) -> DataFrame:
+    """``files`` (subject, path) with ``uri`` by ``client.upload(path)`` (X11), with a stop and a rate
+    as in :func:`analyze`. What was not uploaded is uploaded by the next run, once the stop is cleared."""
 
     def stream(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        call = calls(client.upload, tries, pause, stop, per_second, tasks)
         for part in parts:
-            found = [with_retry(lambda p=p: client.upload(p), tries, pause) for p in part["path"]]
+            found = [call(p) for p in part["path"]]
             yield part.assign(ok=[x[0] for x in found], uri=[x[1] for x in found], error=[x[2] for x in found])
 
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields], "ok boolean, uri string, error string"])
-    return files.mapInPandas(stream, schema)
+    return _tasks(files, per_second, tasks).mapInPandas(stream, schema)
 
 
 def expired(uris: DataFrame, uploaded_at: str, now: str, hours: int = 48) -> DataFrame:

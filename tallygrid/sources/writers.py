@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tallygrid.operators.checkpoints import not_blank
+from tallygrid.sources.atomic_lines import AtomicLines
 from tallygrid.sources.xlsx import workbook
 
 #: A sheet holds so many rows; larger tables belong in Parquet.
@@ -36,6 +38,40 @@ def write_lines(df: DataFrame, path: str, line: str = "line") -> None:
     df.select(F.col(line).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_lines_whole(df: DataFrame, path: str, line: str = "line", append: bool = False) -> None:
+    """JSON lines that appear all together or not at all (K5, K6)."""
+    df.sparkSession.dataSource.register(AtomicLines)
+    df.select(F.col(line).alias("value")).write.format(AtomicLines.name()).mode("append" if append else "overwrite").save(path)
+
+
+def read_lines_whole(spark: SparkSession, path: str) -> DataFrame:
+    """``value``: the lines that :func:`write_lines_whole` committed last."""
+    spark.dataSource.register(AtomicLines)
+    return spark.read.format(AtomicLines.name()).load(path)
+
+
+def observed_write(df: DataFrame, path: str, fields: Sequence[str] = (), subjects: Sequence[str] = (), subject: str = "subject", ok: str = "ok") -> dict[str, dict]:
+    """Write a checkpoint and count it meanwhile (E18, E24, E27): the rows are not read again.
+
+    ``total``: ``ok``, ``failed`` and ``total``; ``fields``: per field the ``n_filled`` and ``pct`` of
+    :func:`field_coverage`; ``subjects``: the same counts for each subject asked for. The metrics are
+    of the stage that writes, so a task that runs again is counted once.
+    """
+    good, metrics = F.coalesce(F.col(ok), F.lit(False)), {"total": F.lit(True)} | {f"s{i}": F.col(subject).eqNullSafe(s) for i, s in enumerate(subjects)}
+    wanted = [F.count_if(where & good).alias(f"{name}_ok") for name, where in metrics.items()] + [F.count_if(where).alias(f"{name}_all") for name, where in metrics.items()]
+    seen = Observation()
+    df.observe(seen, *wanted, *[F.count_if(not_blank(F.col(f))).alias(f"f{i}") for i, f in enumerate(fields)]).write.mode("overwrite").parquet(path)
+    got = seen.get
+
+    def outcome(name: str) -> dict[str, int]:
+        return {"ok": got[f"{name}_ok"], "failed": got[f"{name}_all"] - got[f"{name}_ok"], "total": got[f"{name}_all"]}
+
+    n = got["total_all"]
+    return {
+        "total": outcome("total"), "subjects": {s: outcome(f"s{i}") for i, s in enumerate(subjects)},
+        "fields": {f: {"n_filled": got[f"f{i}"], "pct": round(got[f"f{i}"] * 100.0 / n, 2) if n else None} for i, f in enumerate(fields)}}
+
+
 def save_workbook(tables: Mapping[str, DataFrame], path: str, note: str | None = None, widest: int = 40) -> None:
     """Small result tables as one workbook (K2, K3); a table beyond a sheet's rows is refused."""
     sheets = {}
