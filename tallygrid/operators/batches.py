@@ -3,9 +3,9 @@
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,42 +38,64 @@ def quota_prefix(subjects: DataFrame, limit: int = KEY_BYTES, subject: str = "su
     return placed.withColumn("running_bytes", (F.col("_ahead") + F.col("_n") * F.col("bytes")).cast("long")).where(F.col("running_bytes") <= limit).drop("_n", "_ahead")
 
 
-#: Subjects that are placed one by one; smaller ones are placed in so many cells.
-PLACED_SUBJECTS, SUBJECT_CELLS = 100_000, 10_000
+def level(loads: np.ndarray, size: int, ranks: np.ndarray) -> np.ndarray:
+    """For each of ``ranks`` the load, before it, of the bin that takes that item, by bisection."""
+    low, high = np.full(len(ranks), loads.min()), loads.min() + size * (ranks + 1)
+    while (open_ := low < high).any():
+        middle = (low + high) // 2
+        reached = np.maximum(0, (middle[:, None] - loads) // size + 1).sum(axis=1) > ranks
+        high, low = np.where(open_ & reached, middle, high), np.where(open_ & ~reached, middle + 1, low)
+    return low
+
+
+def placed_in_turn(loads: Sequence[int], size: int, ranks: np.ndarray) -> np.ndarray:
+    """The bins of items of one size, numbered by ``ranks`` from 0, each put into the least loaded
+    bin, ties to the first: the item of rank i takes the i-th least of all sums (load + a multiple of
+    the size), in order of the sum and the bin."""
+    loads = np.asarray(loads, np.int64)
+    if size == 0:
+        return np.full(len(ranks), int(loads.argmin()))
+    sums = level(loads, size, ranks)
+    # Of the bins with the sum, those before it in order took the ranks before.
+    before = np.maximum(0, -((loads - sums[:, None]) // size)).sum(axis=1)
+    at = (sums[:, None] >= loads) & ((sums[:, None] - loads) % size == 0)
+    return np.array([np.flatnonzero(own)[r] for own, r in zip(at, ranks - before, strict=True)], np.int64)
+
+
+def spread_over_keys(subjects: DataFrame, keys: int, subject: str = "subject") -> DataFrame:
+    """Subjects on API keys, largest first onto the least loaded (C9), ties by subject and by key:
+    ``key_id``. Null bytes count as 0.
+
+    Only the loads depend on what was placed before, and they change by sizes, not by subjects: a
+    stream over the different sizes, from the largest, finds the ``keys`` loads before each, and
+    the subjects of a size take their places from these in parallel.
+    """
+    held = F.coalesce("bytes", F.lit(0)).cast("long")
+    sizes = subjects.groupBy(held.alias("_b")).agg(F.count(F.lit(1)).alias("n"))
 
+    def fill(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        loads = np.zeros(keys, np.int64)
+        for part in parts:
+            before = []
+            for size, n in zip(part["_b"].tolist(), part["n"].tolist(), strict=True):
+                before.append(loads.tolist())
+                if size:  # all bins fill up to the load that the last item meets
+                    last = level(loads, size, np.array([n - 1]))[0]
+                    taken = np.maximum(0, -((loads - last) // size))
+                    taken[np.flatnonzero((last >= loads) & ((last - loads) % size == 0))[:n - int(taken.sum())]] += 1
+                    loads = loads + size * taken
+            yield pd.DataFrame({"_b": part["_b"], "_loads": before})
 
-def spread_over_keys(subjects: DataFrame, keys: int, subject: str = "subject", placed: int = PLACED_SUBJECTS, cells: int = SUBJECT_CELLS) -> DataFrame:
-    """Subjects on API keys, largest first onto the least loaded (C9), ties by key: ``key_id``.
+    # One row a size in one task, of which it holds one at a time.
+    loads = sizes.repartition(1).sortWithinPartitions(F.desc("_b")).mapInPandas(fill, "_b long, _loads array<long>")
+    rank = F.row_number().over(Window.partitionBy("_b").orderBy(subject)) - 1
 
-    The order of placing is one after another, so what is placed is bounded: the ``placed`` largest
-    subjects one by one, and all smaller ones, if there are more, as ``cells`` groups by a hash of
-    the subject, a group as one item of their bytes. Null bytes count as 0.
-    """
-    held = F.coalesce("bytes", F.lit(0)).cast("long")
-    top = subjects.select(F.col(subject).alias("_s"), held.alias("_b")).orderBy(F.desc("_b"), "_s").limit(placed)
-    cell = F.pmod(F.xxhash64(F.col(subject)), F.lit(cells))
-    named = subjects.withColumn("_s", F.struct(F.col(subject)))
-    known = top.select(F.struct(F.col("_s").alias(subject)).alias("_s"), F.lit(True).alias("_top"))
-    told = named.join(known, "_s", "left").withColumn("_cell", F.when(F.col("_top").isNull(), cell))
-    rest = told.where("_top IS NULL").groupBy("_cell").agg(F.sum(held).alias("_b")).select("_cell", F.lit(None).cast(subjects.schema[subject].dataType).alias("_s"), "_b")
-    items = top.select(F.lit(None).cast("long").alias("_cell"), "_s", "_b").unionByName(rest)
-    kind = subjects.schema[subject].dataType.simpleString()
-
-    def place(rows: pd.DataFrame) -> pd.DataFrame:
-        load = [(0, k) for k in range(keys)]
-        rows = rows.sort_values(["_b", "_cell", "_s"], ascending=[False, True, True], na_position="first")
-        out = []
-        for n in rows["_b"].tolist():
-            used, k = heapq.heappop(load)
-            out.append(k)
-            heapq.heappush(load, (used + n, k))
-        return rows.drop(columns="_b").assign(key_id=out)
-
-    # At most placed + cells rows.
-    plan = items.groupBy().applyInPandas(place, f"_cell long, _s {kind}, key_id long").withColumn("_s", F.struct(F.col("_s").alias(subject)))
-    ones = told.where("_top").join(plan.where("_cell IS NULL").select("_s", "key_id"), "_s")
-    more = told.where("_top IS NULL").join(plan.where("_cell IS NOT NULL").select("_cell", "key_id"), "_cell")
-    return ones.select(*subjects.columns, "key_id").unionByName(more.select(*subjects.columns, "key_id"))
+    @F.pandas_udf("long")
+    def place(loads: pd.Series, size: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([placed_in_turn(x, int(b), np.array([i]))[0] for x, b, i in zip(loads, size, n, strict=True)], dtype="int64")
+
+    numbered = subjects.withColumn("_b", held).withColumn("_n", rank).join(loads, "_b")
+    return numbered.select(*subjects.columns, place("_loads", "_b", "_n").alias("key_id"))
 
 
 def next_number(names: DataFrame, prefix: str, name: str = "name") -> DataFrame:
@@ -98,6 +120,11 @@ def requests(rows: DataFrame, uris: DataFrame, file_col: str, prompt: str, label
     return joined.select(key.alias("key"), F.to_json(F.struct(key.alias("key"), body.alias("request"))).alias("line"))
 
 
+def subject_count(rows: DataFrame, subject: str = "subject") -> DataFrame:
+    """How many different subjects there are (E30); a null is none."""
+    return rows.agg(F.count_distinct(subject).alias("subjects"))
+
+
 def subjects_of(keys: DataFrame, key: str = "key") -> DataFrame:
     """Different subjects of request keys, in order."""
     return keys.select(split_key(F.col(key))[0].alias("subject")).distinct().orderBy("subject")

@@ -103,6 +103,21 @@ def attention_flags(profile: DataFrame, described: DataFrame | None = None, corr
     return out
 
 
+def schema_summary(profile: DataFrame) -> DataFrame:
+    """``line``: a column's name, level, different and missing values, from its profile."""
+    return profile.select(F.format_string("%s: %s, %d different, %.2f %% missing", "column", "detected_type", "nunique", "missing_pct").alias("line"))
+
+
+#: Rows of a dry run, a fixed value.
+DRY_ROWS = 10
+
+
+def limited(df: DataFrame, limit: int | None = None, dry_run: bool = False) -> DataFrame:
+    """The first ``limit`` rows, or a few for a dry run (T5); all rows without either."""
+    rows = [n for n in (limit, DRY_ROWS if dry_run else None) if n is not None]
+    return df.limit(min(rows)) if rows else df
+
+
 def preview(df: DataFrame, rows: int = 5) -> dict[str, object]:
     """First rows and types of a table."""
     return {"head": df.limit(rows), "dtypes": dict(df.dtypes), "facts": column_facts(df)}
