@@ -30,7 +30,8 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{
 #: A space between two characters that are not white space.
 CHUNK_END = re.compile(r"(?<=\S) (?=\S)")
 ODD_SPACE = re.compile(r" \s|\s ")
-REMEMBERED = 400_000
+#: Chunks and pieces that are remembered, and characters of the longest: together they bound the bytes.
+REMEMBERED, LONGEST = 400_000, 64
 
 
 def byte_symbols() -> list[str]:
@@ -100,7 +101,7 @@ class PairMerger:
 
 
 class _Memory(dict):
-    """Values of a function, computed at the first use; emptied when full."""
+    """Values of a function for short keys, computed at the first use; emptied when full."""
 
     def __init__(self, of):
         super().__init__()
@@ -108,9 +109,10 @@ class _Memory(dict):
 
     def __missing__(self, key):
         value = self.of(key)
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[key] = value
+        if len(key) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[key] = value
         return value
 
 

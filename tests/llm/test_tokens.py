@@ -36,6 +36,13 @@ def test_tables(spark, docs, none, library, monkeypatch):
         assert count(r["text"]) == library(r["text"])
 
 
+def test_long_chunks_are_not_remembered(library):
+    merger = tokens.PairMerger(PATH)
+    text = " ".join(f"{i}" * 90 for i in range(200)) + " short"
+    assert merger.count(text) == library(text)
+    assert all(len(key) <= tokens.LONGEST for memory in (merger.chunks, merger.pieces) for key in memory) and "short" in merger.chunks
+
+
 def test_long_piece(library):
     text = "x" * 30_000 + " " + "ab" * 10_000
     assert tokens.PairMerger(PATH).count(text) == library(text)
