@@ -70,3 +70,32 @@ def test_hot_texts_do_not_fill_the_sample(spark, monkeypatch):
     assert seen == [(401, ["a", "b", "c"], 1)]
     with pytest.raises(ValueError):
         language.fit(frame, sample_rows=2)
+
+
+def test_decoding_by_hand(spark, sf_dir):
+    """Predictions of the query are those of a plain decoding: n-grams counted one by one, and for
+    each language the loss of its codeword's bits, weighted by how far each bit is trusted."""
+    from math import exp, log1p, sqrt
+
+    from pyspark.sql import functions as F
+
+    from tallygrid.llm.queries import held_out, op4_language_id
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = language.fit(docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id"))))
+    rows = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").limit(25).collect()}
+    found = {r["doc_id"]: r for r in op4_language_id(spark, sf_dir).where(F.col("doc_id").isin(list(rows))).collect()}
+    for i, text in rows.items():
+        data = b" " + bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 97 <= c <= 122 else 32 for c in text.encode()) + b" "
+        counts = {}
+        for factors in language.MULTIPLIERS:
+            for at in range(len(data) - len(factors) + 1):
+                mixed = sum(data[at + k] * m for k, m in enumerate(factors)) % 2**32
+                slot = (mixed * 2654435769 % 2**32) >> 20
+                counts[slot] = counts.get(slot, 0) + 1
+        whole = sum(counts.values())
+        margins = [model.bias[b] + sum(sqrt(n / whole) * float(model.weights[s, b]) for s, n in counts.items()) for b in range(model.code.shape[1])]
+        losses = [sum(model.trust[k][b] * log1p(exp(-model.code[k][b] * m)) for b, m in enumerate(margins)) for k in range(len(model.languages))]
+        best = min(range(len(losses)), key=losses.__getitem__)
+        assert found[i]["lang_pred"] == model.languages[best]
+        assert abs(found[i]["score"] - 1 / sum(exp(losses[best] - x) for x in losses)) < 1e-4
