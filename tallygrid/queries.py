@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrid import queries_large, queries_more
+from tallygrid import queries_large, queries_more, queries_sources
 from tallygrid.functions import jsons, text
 from tallygrid.operators import batches, bivariate, checkpoints, greedy_batches, levels, profile, text_tables, topics, trends, univariate
 from tallygrid.operators.levels import Level
@@ -278,7 +278,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ckpt_keep_last, ckpt_pending_anti, ckpt_retry_merge, ckpt_coverage, ckpt_review, ckpt_field_coverage, ckpt_scores, ckpt_retry_summary, ckpt_subjects,
         json_parse_fallback, json_greedy, jsonl_build, results_join, batch_bytes, batch_quota_prefix, batch_split_bytes, batch_bin_pack,
     )
-    return {f.__name__: f for f in made} | queries_more.queries() | queries_large.queries()
+    return {f.__name__: f for f in made} | queries_more.queries() | queries_large.queries() | queries_sources.queries()
 
 
 def unpivoted(tbl: str, columns: list[str], cast: str = "DOUBLE") -> str:
@@ -382,7 +382,7 @@ def oracle_sql() -> dict[str, str]:
             f"(SELECT count(*) FROM lineitem, (SELECT quantile_cont({c}::DOUBLE, 0.25) AS a, quantile_cont({c}::DOUBLE, 0.75) AS b FROM lineitem) WHERE {c} < a - 3 * (b - a) OR {c} > b + 3 * (b - a)) AS extreme_outliers"
             if level in (Level.CONTINUOUS, Level.DISCRETE) else "NULL::BIGINT AS mild_outliers, NULL::BIGINT AS extreme_outliers") + " FROM lineitem"
         for c, level in LINE_LEVELS.items())
-    return queries_more.oracle_sql() | queries_large.oracle_sql() | {
+    return queries_more.oracle_sql() | queries_large.oracle_sql() | queries_sources.oracle_sql() | {
         "eda_levels": " UNION ALL ".join(level_sql(t, c, kind) for t, columns in LEVEL_COLUMNS.items() for c, kind in columns.items()),
         "eda_type_counts": f"SELECT level AS detected_type, count(*) AS n_columns FROM ({' UNION ALL '.join(level_sql('lineitem', c, kind) for c, kind in LEVEL_COLUMNS['lineitem'].items())}) GROUP BY level",
         "eda_flags": FLAGS_SQL,

@@ -51,7 +51,7 @@ def read_log(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFram
     schema = ", ".join(f"`{c}` string" for c in columns)
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
-    return spark.read.option("header", True).schema(schema).csv(path)
+    return spark.read.option("header", True).option("escape", '"').schema(schema).csv(path)
 
 
 def exists(spark: SparkSession, path: str) -> bool:

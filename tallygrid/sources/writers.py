@@ -16,10 +16,10 @@ SHEET_ROWS = 1_048_575
 
 
 def save_csv(df: DataFrame, path: str) -> bool:
-    """A result table as one CSV with a header (K1); an empty one is not written."""
+    """A result table as one CSV with a header, quotes doubled (K1); an empty one is not written."""
     if df.isEmpty():
         return False
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    df.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     return True
 
 
@@ -87,4 +87,4 @@ def save_workbook(tables: Mapping[str, DataFrame], path: str, note: str | None =
 def rewrite_log(df: DataFrame, path: str) -> None:
     """A small log in place of the old one (K8); its rows are read before they are replaced."""
     spark, rows = df.sparkSession, df.collect()
-    spark.createDataFrame(rows, df.schema).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    spark.createDataFrame(rows, df.schema).coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
