@@ -133,14 +133,39 @@ def classify_with_retry(docs: DataFrame, classify: Callable[[DataFrame, int], Da
     return done
 
 
+#: Rows of the plan's first table, in order.
+PLAN_TOTALS = ("total_docs", "outlier_docs", "non_outlier_docs", "overlap_docs", "unassigned_docs", "grand_total")
+
+
+def plan_lines(topics: DataFrame, codes: DataFrame) -> DataFrame:
+    """The consolidation as lines of Markdown in order (K7): ``section``, ``k1`` to ``k3`` (what
+    orders a section's lines) and ``line``. Lines are made where their rows are, so a plan of any
+    number of topics is written like any table."""
+
+    def n(c: str) -> Column:
+        return F.format_number(c, 0)
+
+    def fixed(section: int, k1: int, line: Column | str) -> Column:
+        return F.struct(F.lit(section).alias("section"), F.lit(f"{k1:06}").alias("k1"), F.lit("").alias("k2"), F.lit("").alias("k3"), (F.lit(line) if isinstance(line, str) else line).alias("line"))
+
+    head = [fixed(0, i, x) for i, x in enumerate(["# Topic consolidation", "", "| Documents | n |", "|---|---:|"])]
+    head += [fixed(1, i, F.concat(F.lit(f"| {c.replace('_', ' ')} | "), n(c), F.lit(" |"))) for i, c in enumerate(PLAN_TOTALS)]
+    told = F.concat(F.lit("Reconciles: "), F.when(F.col("reconciles"), "yes").otherwise("no"), F.lit("; topics missing: "), F.col("topics_missing").cast("string"))
+    head += [fixed(2, i, x) for i, x in enumerate(["", told, "", "| Theme | Sub-theme | Code | Documents |", "|---|---|---|---:|"])]
+    head += [fixed(4, i, x) for i, x in enumerate(["", "| Topic in several codes | Codes | Documents |", "|---|---:|---:|"])]
+    first = reconciliation(topics, codes).select(F.explode(F.array(*head)).alias("l")).select("l.*")
+    # Totals come behind what they sum: a null sorts last.
+    parts = [F.coalesce(F.concat(F.lit("0"), c), F.lit("1")).alias(f"k{i}") for i, c in enumerate(("theme_group", "sub_theme", "code"), 1)]
+    cells = F.concat(F.lit("| "), F.coalesce("theme_group", F.lit("Total")), F.lit(" | "), F.coalesce("sub_theme", F.lit("")), F.lit(" | "), F.coalesce("code", F.lit("")), F.lit(" | "), n("n_docs"), F.lit(" |"))
+    second = code_totals(topics, codes).select(F.lit(3).alias("section"), *parts, cells.alias("line"))
+    # Largest first: the number of nines less the count sorts as text.
+    largest = F.lpad((F.lit(10**18 - 1) - F.col("Count")).cast("string"), 18, "0")
+    row = F.concat(F.lit("| "), F.col("topic_id").cast("string"), F.lit(" | "), F.col("n_codes").cast("string"), F.lit(" | "), n("Count"), F.lit(" |"))
+    third = overlap(topics, codes).select(F.lit(5).alias("section"), largest.alias("k1"), F.lpad(F.col("topic_id").cast("string"), 20, "0").alias("k2"), F.lit("").alias("k3"), row.alias("line"))
+    return first.unionByName(second).unionByName(third)
+
+
 def consolidation_plan(topics: DataFrame, codes: DataFrame) -> str:
-    """The consolidation as Markdown (K7); its rows are codes and topics, not documents."""
-    r = reconciliation(topics, codes).first()
-    lines = ["# Topic consolidation", "", "| Documents | n |", "|---|---:|"]
-    lines += [f"| {name.replace('_', ' ')} | {r[name]:,} |" for name in ("total_docs", "outlier_docs", "non_outlier_docs", "overlap_docs", "unassigned_docs", "grand_total")]
-    lines += ["", f"Reconciles: {'yes' if r['reconciles'] else 'no'}; topics missing: {r['topics_missing']}", "", "| Theme | Sub-theme | Code | Documents |", "|---|---|---|---:|"]
-    order = code_totals(topics, codes).orderBy(F.col("theme_group").asc_nulls_last(), F.col("sub_theme").asc_nulls_last(), F.col("code").asc_nulls_last())
-    lines += [f"| {x['theme_group'] or 'Total'} | {x['sub_theme'] or ''} | {x['code'] or ''} | {x['n_docs']:,} |" for x in order.collect()]
-    lines += ["", "| Topic in several codes | Codes | Documents |", "|---|---:|---:|"]
-    lines += [f"| {x['topic_id']} | {x['n_codes']} | {x['Count']:,} |" for x in overlap(topics, codes).collect()]
-    return "\n".join(lines) + "\n"
+    """The lines of :func:`plan_lines` as one text, for plans that a person reads."""
+    lines = plan_lines(topics, codes).orderBy("section", "k1", "k2", "k3").select("line")
+    return "\n".join(r[0] for r in lines.toLocalIterator()) + "\n"

@@ -166,6 +166,12 @@ def topic_reconcile(spark, d):
     return topics.reconciliation(counts, codes)
 
 
+def topic_plan(spark, d):
+    """The consolidation plan as lines."""
+    _, counts, codes = topic_tables(spark, d)
+    return topics.plan_lines(counts, codes).where("section IN (1, 3, 5)").select("section", "line")
+
+
 def topic_theme_counts(spark, d):
     docs, _, codes = topic_tables(spark, d)
     return topics.theme_counts(topics.label_documents(docs, codes))
@@ -274,7 +280,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         eda_grouped_event_type, eda_profile_orders, eda_levels, eda_quality_lineitem, eda_duplicates, eda_desc_continuous, eda_desc_shape,
         eda_desc_discrete, eda_desc_ordinal, eda_nominal_freq, eda_binary, eda_ordinal_dist, eda_pearson, eda_pearson_listwise, eda_pearson_p,
         eda_spearman, eda_crosstab, eda_trend_monthly, eda_text_summary, eda_text_unigrams, eda_text_bigrams, eda_type_counts, eda_flags,
-        topic_label_docs, topic_totals, topic_overlap, topic_unassigned, topic_reconcile, topic_theme_counts,
+        topic_label_docs, topic_totals, topic_overlap, topic_unassigned, topic_reconcile, topic_plan, topic_theme_counts,
         ckpt_keep_last, ckpt_pending_anti, ckpt_retry_merge, ckpt_coverage, ckpt_review, ckpt_field_coverage, ckpt_scores, ckpt_retry_summary, ckpt_subjects,
         json_parse_fallback, json_greedy, jsonl_build, results_join, batch_bytes, batch_quota_prefix, batch_split_bytes, batch_bin_pack,
     )
@@ -432,6 +438,13 @@ def oracle_sql() -> dict[str, str]:
             (SELECT CAST(coalesce(sum("Count"), 0) AS BIGINT) FROM t WHERE "Topic" <> -1 AND "Topic" NOT IN (SELECT topic_id FROM n)) AS unassigned_docs,
             (SELECT count(*) FROM t WHERE "Topic" <> -1 AND "Topic" NOT IN (SELECT topic_id FROM n)) AS topics_missing)
             SELECT total_docs, outlier_docs, total_docs - outlier_docs AS non_outlier_docs, grand_total, overlap_docs, unassigned_docs, topics_missing, total_docs - outlier_docs - unassigned_docs + overlap_docs = grand_total AS reconciles FROM x""",
+        "topic_plan": f"""WITH {TOPICS_SQL}, x AS (SELECT (SELECT sum("Count") FROM t) AS a, (SELECT coalesce(sum("Count"), 0) FROM t WHERE "Topic" = -1) AS b, (SELECT sum("Count") FROM n) AS g,
+            (SELECT sum(c * (k - 1)) FROM (SELECT max("Count") AS c, count(*) AS k FROM n GROUP BY topic_id)) AS o, (SELECT coalesce(sum("Count"), 0) FROM t WHERE "Topic" <> -1 AND "Topic" NOT IN (SELECT topic_id FROM n)) AS u),
+            g AS (SELECT CASE WHEN theme = 'Game-Specific' THEN theme ELSE split_part(theme, '-', 1) END AS theme_group, theme AS sub_theme, code, "Count" FROM n)
+            SELECT 1 AS section, '| ' || name || ' | ' || format('{{:,}}', v::BIGINT) || ' |' AS line FROM (SELECT unnest(['total docs', 'outlier docs', 'non outlier docs', 'overlap docs', 'unassigned docs', 'grand total']) AS name,
+            unnest([a, b, a - b, o, u, g]) AS v FROM x)
+            UNION ALL SELECT 3, '| ' || coalesce(theme_group, 'Total') || ' | ' || coalesce(sub_theme, '') || ' | ' || coalesce(code, '') || ' | ' || format('{{:,}}', sum("Count")::BIGINT) || ' |' FROM g GROUP BY ROLLUP (theme_group, sub_theme, code)
+            UNION ALL SELECT 5, '| ' || topic_id || ' | ' || count(*) || ' | ' || format('{{:,}}', max("Count")::BIGINT) || ' |' FROM n GROUP BY topic_id HAVING count(*) > 1""",
         "topic_theme_counts": f"""WITH {TOPICS_SQL}, m AS (SELECT topic_id, string_agg(theme, '; ' ORDER BY code) AS themes FROM n GROUP BY topic_id)
             SELECT coalesce(themes, 'Unknown') AS "Category_Theme", count(*) AS count FROM d LEFT JOIN m ON "Topic" = topic_id GROUP BY 1 ORDER BY count DESC, 1 LIMIT 10""",
         "ckpt_keep_last": """SELECT l_orderkey, l_linenumber, l_shipdate, l_partkey, l_suppkey, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey
