@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallygrid.functions.text import build_key, labelled_block, mime_type, slashes, split_key
+from tallygrid.operators.ranks import running_total
 from tallygrid.sources.file_table import FileTable
 
 GB = 1 << 30
@@ -25,17 +26,11 @@ def bytes_per_subject(files: DataFrame, subject: str = "subject", size: str = "l
 
 
 def quota_prefix(subjects: DataFrame, limit: int = KEY_BYTES, subject: str = "subject") -> DataFrame:
-    """The smallest subjects that fit the quota together (W7): adds ``running_bytes``.
-
-    Sizes are summed into a histogram first, so that the window over all of it holds distinct
-    sizes, not subjects; subjects of one size are ordered among themselves.
-    """
-    by_size = subjects.groupBy("bytes").agg(F.count(F.lit(1)).alias("n"))
-    smaller = Window.orderBy("bytes").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = by_size.select("bytes", F.coalesce(F.sum(F.col("bytes") * F.col("n")).over(smaller), F.lit(0)).alias("_ahead"))
-    own = F.row_number().over(Window.partitionBy("bytes").orderBy(subject))
-    placed = subjects.withColumn("_n", own).join(ahead, "bytes")
-    return placed.withColumn("running_bytes", (F.col("_ahead") + F.col("_n") * F.col("bytes")).cast("long")).where(F.col("running_bytes") <= limit).drop("_n", "_ahead")
+    """The smallest subjects that fit the quota together (W7), ties by subject: adds
+    ``running_bytes``. The running total is made by ranges of size and subject, so neither many
+    sizes nor many subjects of one size meet in a task."""
+    total = running_total(subjects, ["bytes", subject], "bytes", "running_bytes")
+    return total.withColumn("running_bytes", F.col("running_bytes").cast("long")).where(F.col("running_bytes") <= limit)
 
 
 def level(loads: np.ndarray, size: int, ranks: np.ndarray) -> np.ndarray:

@@ -1,4 +1,4 @@
-"""Average ranks of many columns without a window over the data.
+"""Average ranks of many columns, and running totals, without a window over all rows.
 
 A column's values become a histogram, and the histogram, not the data, is put in order: dealt by
 ranges of (column, value), with running sums inside a range and, from the sums of the ranges before
@@ -18,6 +18,18 @@ from pyspark.sql.window import Window
 from tallygrid.shared import stored
 
 
+def running_total(rows: DataFrame, by: Sequence[str], weight: str, name: str) -> DataFrame:
+    """``rows`` with ``name``, the sum of ``weight`` up to each row in the order of ``by``: by ranges,
+    with a sum of what lies before each, so no task sees all rows."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stored(rows.repartitionByRange(parts, *by).withColumn("_part", F.spark_partition_id()))
+    sums = ranged.groupBy("_part").agg(F.sum(weight).alias("_sum"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    offsets = F.broadcast(sums.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before")))
+    within = Window.partitionBy("_part").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+    return ranged.join(offsets, "_part").withColumn(name, F.col("_before") + F.sum(weight).over(within)).drop("_part", "_before")
+
+
 def rank_table(df: DataFrame, columns: Sequence[str], beside: Sequence[Sequence[str]]) -> DataFrame:
     """``column`` (its place in ``columns``), ``value`` and ``ranks``: the average rank of each value,
     one for each set of columns of ``beside``, among the rows in which all of the set are known."""

@@ -97,6 +97,18 @@ def test_requests_and_log(spark):
     assert batches.failed_sources(rows, rows.limit(1), "file").count() == 1
 
 
+def test_quota_prefix_of_many(spark):
+    """Running totals over ranges are those of the whole list, with many subjects of one size."""
+    sizes = sorted(((i * 37) % 11 if i % 2 else 5, f"s{i:04}") for i in range(600))
+    frame = spark.createDataFrame([(s, b) for b, s in sizes], "subject string, bytes long").repartition(3)
+    want, total = {}, 0
+    for b, s in sizes:
+        total += b
+        if total <= 1500:
+            want[s] = total
+    assert {r["subject"]: r["running_bytes"] for r in batches.quota_prefix(frame, 1500).collect()} == want
+
+
 def test_spread_over_keys(spark):
     """The placing is that of a heap, one by one, whether sizes differ or repeat."""
     for sizes in ([(f"s{i:03}", (i * 7919) % 1000 + 1) for i in range(300)] + [("none", None)], [(f"s{i:03}", (i * 7) % 5) for i in range(211)], [("a", 0), ("b", 0)]):
