@@ -96,6 +96,16 @@ def test_chunks(monkeypatch, plain):
         assert words.encode(text) == (words.a_whole.encode(" " + text, add_special_tokens=False).ids, words.b.encode(text))
 
 
+def test_every_kind_of_character():
+    """The rank form gives the library's tokens around any character."""
+    words = token_align.vocabularies(*PATHS)
+    points = [c for c in [*range(0x30000), *range(0xE0000, 0xE0200)] if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 20_000):
+        texts = [f"a{chr(c)}b {chr(c)}{chr(c)} 1{chr(c)}\n{chr(c)} " for c in points[at:at + 20_000]]
+        whole = words.a_whole.encode_batch(texts, add_special_tokens=False)
+        assert [e.ids for e in whole] == [words.a_ranks.encode_ordinary(t) for t in texts]
+
+
 @pytest.mark.parametrize("work", [1, 2, 3, 10, 64])
 def test_pieces(work):
     """Pieces of equal work, and their stitched cuts, for lists of any shape."""
