@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,6 +32,15 @@ def ascii_lower(text: Column) -> Column:
     )
 
 
+def once(make: Callable, *key: Hashable):
+    """What ``make`` gives for a key, made once in a worker. Functions travel by value, so a cache of
+    their own would be empty in each task; the interpreter's modules stay."""
+    held, name = vars(sys).setdefault("_tallygrid_once", {}), (make.__module__, make.__qualname__, key)
+    if name not in held:
+        held[name] = make(*key)
+    return held[name]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 

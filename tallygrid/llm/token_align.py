@@ -37,7 +37,6 @@ import json
 import re
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallygrid.llm._common import stored
+from tallygrid.llm._common import once, stored
 from tallygrid.llm.tokens import byte_symbols
 
 #: Merged ends of a piece, and characters from which a text is encoded in chunks.
@@ -135,14 +134,16 @@ class Vocabularies:
         return [sign + str(i).encode() for first, n in ((b";", len(self.a_bytes)), (b"|", len(self.b_bytes))) for i in range(n) for sign in (first, b",")]
 
 
-@cache
 def vocabularies(a_path: str, b_path: str) -> Vocabularies:
     """One pair of vocabularies per worker."""
-    return Vocabularies(a_path, b_path)
+    return once(Vocabularies, a_path, b_path)
 
 
-@cache
 def labels(a_path: str, b_path: str) -> list[bytes]:
+    return once(_labels, a_path, b_path)
+
+
+def _labels(a_path: str, b_path: str) -> list[bytes]:
     return vocabularies(a_path, b_path).labels
 
 

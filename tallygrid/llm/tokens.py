@@ -18,13 +18,14 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from functools import cache
 
 import pandas as pd
 import regex
 from pyspark.sql import Column
 from pyspark.sql.functions import pandas_udf
 
+from tallygrid.llm._common import once
+
 #: Fixed values of byte-level encodings: how a text falls into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?=\p{White_Space}|\Z)|\p{White_Space}+"
 #: A space between two characters that are not white space.
@@ -116,10 +117,9 @@ class _Memory(dict):
         return value
 
 
-@cache
 def merger(path: str) -> PairMerger:
     """One merger per worker and file."""
-    return PairMerger(path)
+    return once(PairMerger, path)
 
 
 def token_count(text: Column, path: str) -> Column:
