@@ -37,11 +37,22 @@ def source_lines(spark, d):
     return readers.read_lines(spark, path, "event_id long, event_type string, user_id long").select("event_id", "event_type", "user_id")
 
 
+#: Rows that the documents of one block hold together.
+BLOCK_ROWS = 100_000
+
+
+def uri_documents(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """URI maps of customers by subject. A subject has a document for each block of rows, so that no
+    document grows with the table; Spark numbers the rows of a partition without a gap."""
+    path, key = F.concat(F.lit("m\\"), F.col("c_custkey").cast("string")), F.col("c_custkey").cast("string")
+    blocks = rows.select(F.col("c_mktsegment").alias("subject"), path.alias("path"), F.concat(F.lit("u:"), key).alias("uri"), "c_name", F.floor(F.monotonically_increasing_id() / block_rows).alias("block"))
+    return blocks.groupBy("subject", "block").agg(
+        F.map_from_entries(F.collect_list(F.struct("path", "uri"))).alias("uri_map"), F.map_from_entries(F.collect_list(F.struct("path", "c_name"))).alias("name_map"), F.lit(3).alias("key_id")).drop("block")
+
+
 def source_documents(spark, d):
-    """URI maps as a JSON document for each subject, read back as rows."""
-    rows = table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("subject")).agg(
-        F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("m\\"), F.col("c_custkey").cast("string")), F.concat(F.lit("u:"), F.col("c_custkey").cast("string"))))).alias("uri_map"),
-        F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("m\\"), F.col("c_custkey").cast("string")), F.col("c_name")))).alias("name_map"), F.lit(3).alias("key_id"))
+    """URI maps as JSON documents of one subject each, read back as rows."""
+    rows = uri_documents(table(spark, d, "customer"))
     path = new_path(spark, "maps")
     rows.select(F.to_json(F.struct("subject", "uri_map", "name_map", "key_id")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     return readers.uri_rows(readers.read_document(spark, path, "subject string, uri_map map<string, string>, name_map map<string, string>, key_id int"))

@@ -72,9 +72,18 @@ def read_document(spark: SparkSession, path: str, schema: str | T.StructType | N
 
 
 def uri_rows(documents: DataFrame) -> DataFrame:
-    """Exploded ``subject``, ``path``, ``uri``, ``name``, ``key_id`` of URI map documents."""
-    return documents.select("subject", F.explode("uri_map").alias("path", "uri"), "name_map", "key_id").select(
-        "subject", F.replace("path", F.lit("\\"), F.lit("/")).alias("path"), "uri", F.try_element_at("name_map", F.col("path")).alias("name"), "key_id")
+    """Exploded ``subject``, ``path``, ``uri``, ``name``, ``key_id`` of URI map documents.
+
+    The maps meet by hash: a look-up of each path would search a document once for each of its
+    entries. Only a document that repeats a path is looked up, so that it keeps all its rows.
+    """
+    held = F.transform_values("uri_map", lambda path, uri: F.struct(uri.alias("uri")))
+    both = F.map_zip_with(held, F.coalesce("name_map", F.create_map()), lambda path, held, name: F.struct(held.alias("held"), name.alias("name")))
+    met = F.transform(F.map_entries(both), lambda e: F.struct(e["key"].alias("path"), e["value"]["held"].alias("held"), e["value"]["name"].alias("name")))
+    searched = F.transform(F.map_entries("uri_map"), lambda e: F.struct(e["key"].alias("path"), F.struct(e["value"].alias("uri")).alias("held"), F.try_element_at("name_map", e["key"]).alias("name")))
+    repeats = F.size(F.array_distinct(F.map_keys("uri_map"))) < F.size("uri_map")
+    return documents.select("subject", F.explode(F.when(repeats, searched).otherwise(met)).alias("e"), "key_id").where("e.held IS NOT NULL").select(
+        "subject", F.replace("e.path", F.lit("\\"), F.lit("/")).alias("path"), "e.held.uri", "e.name", "key_id")
 
 
 def read_checkpoints(spark: SparkSession, pattern: str, format: str = "parquet") -> DataFrame:
