@@ -25,7 +25,7 @@ def write_report(profiler: Profiler, folder: str, workbook: str | None = None) -
     With ``workbook`` the same tables, behind a summary, go to one xlsx file on the driver.
     """
     tables = {name: df.cache() for name, df in profiler.tables().items()}  # small results, written twice
-    written = [name for name, df in tables.items() if save_csv(df, f"{folder}/{name}.csv")]
+    written = [name for name, df in tables.items() if save_csv(df, f"{folder}/{name}.csv", parts=1)]
     if workbook:
         save_workbook({"Summary": summary(profiler)} | {n: tables[n] for n in written}, workbook, note="Counts and statistics are computed over all rows.")
     for df in tables.values():

@@ -21,7 +21,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def source_csv(spark, d):
-    """Orders as one CSV, whose keys stay text."""
+    """Orders as one CSV table, whose keys stay text."""
     rows = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.concat(F.col("o_orderstatus"), F.lit(', "so"')).alias("status"), "o_totalprice", F.when(F.col("o_custkey") % 5 > 0, F.col("o_orderpriority")).alias("priority"))
     path = new_path(spark, "orders.csv")
     writers.save_csv(rows, path)

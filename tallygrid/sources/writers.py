@@ -15,11 +15,20 @@ from tallygrid.sources.xlsx import workbook
 SHEET_ROWS = 1_048_575
 
 
-def save_csv(df: DataFrame, path: str) -> bool:
-    """A result table as one CSV with a header, quotes doubled (K1); an empty one is not written."""
+#: Rows of one CSV file: a reader that allows line breaks in fields reads a file in one task.
+CSV_ROWS = 1_000_000
+
+
+def save_csv(df: DataFrame, path: str, parts: int | None = None, rows: int = CSV_ROWS) -> bool:
+    """A table as CSV with a header, quotes doubled (K1); an empty one is not written.
+
+    The frame's partitions are written side by side, in files of at most ``rows`` rows that each have
+    the header. ``parts`` brings a small result table into so many partitions, usually one.
+    """
     if df.isEmpty():
         return False
-    df.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    made = df if parts is None else df.coalesce(parts)
+    made.write.mode("overwrite").option("header", True).option("escape", '"').option("maxRecordsPerFile", rows).csv(path)
     return True
 
 
